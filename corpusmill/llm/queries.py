@@ -32,10 +32,10 @@ ORACLES: dict[str, str] = {
         WITH ok AS (
           SELECT vec_id, min(embedding) AS e FROM embeddings
           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
           GROUP BY vec_id),
         usual AS (SELECT len(e) AS n FROM ok GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
-        v AS (SELECT vec_id, list_transform(e, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+        v AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
               FROM ok WHERE len(e) = (SELECT n FROM usual)),
         s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.w, v.w) AS BIGINT) AS score
               FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
