@@ -7,13 +7,31 @@ not set it (unit tests, a laptop) is a temporary local folder chosen, and only i
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="corpusmill-ship-"), f"{top.name}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +63,7 @@ def new_dir(spark: SparkSession, label: str) -> str:
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet and return it reread: what follows does not depend on executors."""
     spark = df.sparkSession
+    ship_package(spark)
     path = new_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
