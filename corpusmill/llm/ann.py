@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.plans.staging import stage
+from corpusmill.plans.staging import ship_package, stage
 
 BITS = 64
 #: Depth to which prefixes are counted for the common ascent: 2 ** COUNTED counters a tree.
@@ -169,7 +169,7 @@ def nearest(
     their prefixes hold ``a * n ** b`` entries in all, for ``n`` different vectors.
     A query is never its own neighbour; copies of its vector under other ids are.
     """
-    spark = df.sparkSession
+    ship_package(df.sparkSession)
     vectors = stage(usable_vectors(df, id_col, vec_col), "ann-vectors")
     few = Window.partitionBy("v").orderBy("vec_id")
     members = stage(

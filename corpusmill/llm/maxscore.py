@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.llm.ann import usable_vectors
-from corpusmill.plans.staging import stage
+from corpusmill.plans.staging import ship_package, stage
 
 
 class Shard:
@@ -87,6 +87,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = 81
     ``vectors``: ``(vec_id long, w array<long>)``, ids unique; ``queries``: a condition on ``vec_id``.
     A query is not its own candidate.  Fewer candidates than ``k``: all of them.  Empty: empty.
     """
+    ship_package(vectors.sparkSession)
     vectors = stage(vectors, "maxscore")
     n, m = vectors.count(), vectors.where(queries).count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, maxscore
+from corpusmill.llm import ann, maxscore, neardup
+from corpusmill.plans.staging import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,9 +24,15 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(maxscore.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, pct=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op5_topk": op5_topk,
+    "op6_neardup": op6_neardup,
 }
 
 ORACLES: dict[str, str] = {
