@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, linededup, maxscore, mixing, neardup
+from corpusmill.llm import ann, linededup, maxscore, mixing, neardup, pii
 from corpusmill.plans.staging import ship_package
 
 
@@ -39,15 +39,21 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op5_topk": op5_topk,
     "op6_neardup": op6_neardup,
     "op4_mixing": op4_mixing,
     "op9_linededup": op9_linededup,
+    "op3_pii": op3_pii,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_pii": pii.ORACLE,
     "op5_topk": """
         WITH ok AS (
           SELECT vec_id, min(embedding) AS e FROM embeddings
