@@ -38,7 +38,7 @@ from corpusmill.plans.staging import ship_package, stage
 
 BAND = 3
 BLOCK = 2048
-PIVOTS = (1, 16, 256, BLOCK * 2)
+PIVOTS = (1, 16, 256, 1 << 30)
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -192,50 +192,74 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
-        large = stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        mins = stage(large.groupBy("a").agg(F.min("b").alias("m")), "mins")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        mins = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(mins, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage(mins.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "edges")
 
 
-def plausible_pairs(pdf: pd.DataFrame, pivots: int, least: int, pct: int) -> pd.DataFrame:
+def plausible_pairs(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, side: np.ndarray, pivots: int, least: int, pct: int) -> tuple[list, list, bool]:
     """Pairs in different components of a bucket (or of two of its blocks) that can be links by size
-    and sketch: all if they are few, else those of the most central ``pivots``; a row of nulls says
-    that others were left for a later round."""
-    fp, comp, n = pdf["fp"].to_numpy(), pd.factorize(pdf["comp"])[0], pdf["n"].to_numpy()
-    two = pdf["side"].nunique() == 2
-    side = pdf["side"].to_numpy()
-    sk = np.stack([np.frombuffer(x, "<u4") for x in pdf["mins"]])
-    central = np.zeros(len(pdf))
-    for j in range(sk.shape[1]):
-        _, inv, cnt = np.unique(sk[:, j], return_inverse=True, return_counts=True)
-        central += cnt[inv]
-    order = np.argsort(-central, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    out, rest, held = [], False, 0
-    for k, i in enumerate(order):
-        can = (comp != comp[i]) & (place > k) & (100 * np.minimum(n, n[i]) >= pct * np.maximum(n, n[i]))
+    and sketch: all if they are few, else those of the most central ``pivots``; and whether others
+    were left for a later round."""
+    rows = len(fp)
+    order = np.arange(rows)
+    if rows > 16:
+        central = np.zeros(rows)
+        for j in range(sk.shape[1]):
+            _, inv, cnt = np.unique(sk[:, j], return_inverse=True, return_counts=True)
+            central += cnt[inv]
+        order = np.argsort(-central, kind="stable")
+        fp, comp, n, sk, side = fp[order], comp[order], n[order], sk[order], side[order]
+    two = side.min() != side.max()
+    a, b = [], []
+    for k in range(rows - 1):
+        can = (comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= pct * np.maximum(n[k + 1 :], n[k]))
         if two:
-            can &= side != side[i]
-        can = np.flatnonzero(can)
+            can &= side[k + 1 :] != side[k]
+        can = np.flatnonzero(can) + k + 1
         if len(can):
-            can = can[(sk[can] == sk[i]).sum(axis=1) >= least]
+            can = can[(sk[can] == sk[k]).sum(axis=1) >= least]
         if len(can):
-            if k >= pivots and held + len(can) > 2 * len(pdf):
-                rest = True
-                break
-            held += len(can)
-            out.append((fp[i], fp[can]))
-    a = [x for x, ys in out for _ in ys]
-    b = [y for _, ys in out for y in ys]
-    return pd.DataFrame({"a": [max(x, y) for x, y in zip(a, b, strict=True)] + [None] * rest, "b": [min(x, y) for x, y in zip(a, b, strict=True)] + [None] * rest})
+            if k >= pivots and len(a) + len(can) > 2 * rows:
+                return a, b, True
+            for y in fp[can]:
+                a.append(max(fp[k], y))
+                b.append(min(fp[k], y))
+    return a, b, False
 
 
 def _picker(pivots: int, least: int, pct: int):
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        return plausible_pairs(pdf, pivots, least, pct)
+    """Over rows sorted by bucket: :func:`plausible_pairs` of each, and a row of nulls for pairs left."""
+
+    def pick(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: list[pd.DataFrame] = []
+
+        def done(pdf: pd.DataFrame) -> pd.DataFrame:
+            fp, n, side = pdf["fp"].to_numpy(), pdf["n"].to_numpy(), pdf["side"].to_numpy()
+            comp = pd.factorize(pdf["comp"])[0]
+            sk = np.stack([np.frombuffer(x, "<u4") for x in pdf["mins"]])
+            at = np.flatnonzero(np.concatenate([[True], (np.diff(pdf["key"].to_numpy()) != 0) | (np.diff(pdf["i"].to_numpy()) != 0) | (np.diff(pdf["j"].to_numpy()) != 0), [True]]))
+            a, b, rest = [], [], False
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                pa, pb, more = plausible_pairs(fp[x:y], comp[x:y], n[x:y], sk[x:y], side[x:y], pivots, least, pct)
+                a.extend(pa)
+                b.extend(pb)
+                rest = rest or more
+            return pd.DataFrame({"a": a + [None] * rest, "b": b + [None] * rest}).drop_duplicates()
+
+        for pdf in it:
+            if not len(pdf):
+                continue
+            last = pdf[["key", "i", "j"]].iloc[-1]
+            tail = ((pdf["key"] == last["key"]) & (pdf["i"] == last["i"]) & (pdf["j"] == last["j"])).to_numpy()
+            if not tail.all():
+                yield done(pd.concat([*left, pdf[~tail]]))
+                left = []
+            left.append(pdf[tail])
+        if left:
+            yield done(pd.concat(left))
 
     return pick
 
@@ -268,6 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
     sized = F.lit(100) * F.least("n", "pn") >= F.lit(pct) * F.greatest("n", "pn")
     star = tables.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & sized).select(F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")).distinct()
     mins = classes.select("fp", "mins")
+
     def alike(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
@@ -277,8 +302,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
 
     sketched = star.join(mins.select(F.col("fp").alias("b"), F.col("mins").alias("mb")), "b").join(mins.select(F.col("fp").alias("a"), F.col("mins").alias("ma")), "a")
     fresh = stage(sketched.select("a", "b", "ma", "mb").mapInPandas(alike, "a binary, b binary"), "pairs")
-    tested, links, held_sets = fresh, None, None
-    for r in range(len(PIVOTS) + 1):
+    tested, links, held_sets, left = fresh, None, None, True
+    for r in range(len(PIVOTS) + 1):  # the last number of pivots leaves nothing
         need = fresh.select(F.col("a").alias("fp")).union(fresh.select(F.col("b").alias("fp"))).distinct()
         if held_sets is not None:
             need = need.join(held_sets.select("fp"), "fp", "left_anti")
@@ -288,21 +313,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
         found = stage(confirm(fresh, held_sets, pct), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-        if r == len(PIVOTS):
+        if not left:
             break
         labelled = tables.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-        open_keys = stage(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo != hi and c > 2").select("key", "c"), "open")
-        if open_keys.isEmpty():
-            break
+        buckets = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("who"))
+        # buckets of the same documents are one
+        open_keys = stage(buckets.where("lo != hi and c > 2").groupBy("who", "c").agg(F.min("key").alias("key")).select("key", "c"), "open")
         blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
         mine = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
         spread = labelled.join(open_keys, "key").join(mins, "fp").withColumn("s", blocks).withColumn("mine", mine)
         grid = spread.select("key", "fp", "n", "comp", "mins", "mine", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other")).select(
             "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "comp", "mins", F.when(F.col("mine") == F.col("other"), 0).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).alias("side")
         )
-        chosen = stage(grid.groupBy("key", "i", "j").applyInPandas(_picker(PIVOTS[r], least, pct), "a binary, b binary").distinct(), "plausible")
+        dealt = grid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        chosen = stage(dealt.mapInPandas(_picker(PIVOTS[r], least, pct), "a binary, b binary").distinct(), "plausible")
         fresh = stage(chosen.where("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty() and chosen.where("a is null").isEmpty():
+        left = not chosen.where("a is null").isEmpty()
+        if fresh.isEmpty() and not left:
             break
         tested = tested.unionByName(fresh)
     rooted = classes.select("fp", "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

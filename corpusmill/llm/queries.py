@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, linededup, maxscore, mixing, neardup, pii
+from corpusmill.llm import ann, langid, linededup, maxscore, mixing, neardup, pii, urlfilter
 from corpusmill.plans.staging import ship_package
 
 
@@ -43,6 +43,17 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs, langid.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op5_topk": op5_topk,
@@ -50,10 +61,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op9_linededup": op9_linededup,
     "op3_pii": op3_pii,
+    "op7_urlfilter": op7_urlfilter,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {
     "op3_pii": pii.ORACLE,
+    "op7_urlfilter": urlfilter.ORACLE,
     "op5_topk": """
         WITH ok AS (
           SELECT vec_id, min(embedding) AS e FROM embeddings
