@@ -54,9 +54,7 @@ PATTERN_RULES = (
     pattern_rule("signup", "block", r"/sign-?up(?:[/?#]|$)", "signup"),
     pattern_rule("cart", "block", r"/(?:shopping-)?cart(?:[/?#]|$)", "cart"),
     pattern_rule("checkout", "block", r"/checkout(?:[/?#]|$)", "checkout"),
-    pattern_rule("casino", "block", r"://[^/?#]*\bcasino\b", "casino"),
-    pattern_rule("porn", "block", r"://[^/?#]*\bporn\b", "porn"),
-    pattern_rule("adserver", "block", r"://(?:[^/?#]*\.)?adserver\.", "adserver"),
+    *(pattern_rule(t, "block", rf"://[^/?#]*\b{t}\b", t) for t in ("casino", "bets", "pills", "spam", "adult", "porn", "ads", "adserver")),
 )
 
 
@@ -119,5 +117,5 @@ ORACLE = """
             WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
     SELECT page_id, host, path, rule, CASE
         WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-        WHEN regexp_matches(lower(u), '/(wp-)?login(\\.php)?([/?#]|$)|/sign-?up([/?#]|$)|/(shopping-)?cart([/?#]|$)|/checkout([/?#]|$)|://[^/?#]*\\b(casino|porn)\\b|://([^/?#]*\\.)?adserver\\.') THEN 'block'
+        WHEN regexp_matches(lower(u), '/(wp-)?login(\\.php)?([/?#]|$)|/sign-?up([/?#]|$)|/(shopping-)?cart([/?#]|$)|/checkout([/?#]|$)|://[^/?#]*\\b(casino|bets|pills|spam|adult|porn|ads|adserver)\\b') THEN 'block'
         ELSE 'allow' END AS verdict FROM r"""
