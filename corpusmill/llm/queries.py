@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, langid, linededup, maxscore, mixing, neardup, pii, quality, urlfilter
+from corpusmill.llm import ann, langid, linededup, maxscore, mixing, neardup, pii, quality, sentencepiece, urlfilter
 from corpusmill.plans.staging import ship_package
 
 
@@ -60,6 +60,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), sentencepiece.load())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op5_topk": op5_topk,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op7_urlfilter": op7_urlfilter,
     "op10_langid": op10_langid,
+    "op2_sentencepiece": op2_sentencepiece,
     "op8_quality": op8_quality,
 }
 
