@@ -1,0 +1 @@
+"""Planning, staging, and the archive as a whole."""

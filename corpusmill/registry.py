@@ -1,10 +1,576 @@
-"""Registered queries over the table folder and, for each, DuckDB SQL with the same result."""
+"""Registered queries over the table folder and, for each, DuckDB SQL with the same result.
+
+``documents`` stand in for a tree of files, ``events`` for logs and JSON files, ``pages`` for paths, and
+``customer`` for licence holders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill import functions as fn
+from corpusmill.operators import canonical, catalog, dedup, license, linediff, lines, solid
+from corpusmill.operators.ordering import numbered
+from corpusmill.plans import archive, planner
+from corpusmill.plans import rules as R
+from corpusmill.plans.staging import ship_package, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+BLOCK = 64 << 10
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    kind = F.col("doc_id") % 6
+    end = F.when(kind == 0, ".txt").when(kind == 1, ".go").when(kind == 2, ".json").when(kind == 3, ".log").when(kind == 4, "/LICENSE").otherwise("")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), end))
+    return d.select(F.col("doc_id").alias("file_id"), path.alias("rel_path"), text.alias("content"), F.octet_length(text).cast("long").alias("size"))
+
+
+FILES = """files AS (SELECT doc_id AS file_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id ||
+    CASE doc_id % 6 WHEN 0 THEN '.txt' WHEN 1 THEN '.go' WHEN 2 THEN '.json' WHEN 3 THEN '.log' WHEN 4 THEN '/LICENSE' ELSE '' END AS rel_path,
+    coalesce(text, '') AS content, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha FROM documents)"""
+LINES = """rawlines AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM files),
+    freq AS (SELECT ltrim(line, ' ' || chr(9)) AS line, count(*) AS n FROM rawlines GROUP BY 1 HAVING octet_length(encode(ltrim(line, ' ' || chr(9)))) > 5 AND count(*) > 2),
+    dict AS (SELECT line, row_number() OVER (ORDER BY n DESC, line) - 1 AS idx FROM freq QUALIFY idx < 254),
+    codes AS (SELECT line, idx, CASE WHEN idx + 1 >= 10 THEN idx + 2 ELSE idx + 1 END AS code FROM dict)"""
+ENCODED = """enc AS (SELECT r.file_id, string_agg(CASE WHEN c.line IS NULL THEN r.line ELSE left(r.line, length(r.line) - length(c.line)) || chr(0) || chr(CAST(c.code AS INTEGER)) END, chr(10) ORDER BY pos) AS encoded,
+      count(c.line) AS hits, count(*) AS n_lines, coalesce(sum(CASE WHEN c.code > 127 THEN 1 ELSE 0 END), 0) AS wide
+    FROM rawlines r LEFT JOIN codes c ON ltrim(r.line, ' ' || chr(9)) = c.line GROUP BY r.file_id)"""
+TREE = """parts AS (SELECT *, string_split(rel_path, '/') AS p FROM files),
+    dirs AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS rel_path FROM (SELECT p, unnest(range(1, len(p))) AS i FROM parts)),
+    every AS (SELECT rel_path, 'file' AS kind, file_id, size FROM files UNION ALL SELECT rel_path, 'dir', NULL, 0 FROM dirs),
+    scanned AS (SELECT *, row_number() OVER (ORDER BY string_split(rel_path, '/')) AS seq FROM every),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY kind <> 'dir', CASE WHEN kind = 'dir' THEN '' ELSE regexp_extract(regexp_extract(rel_path, '[^/]*$'), '(\\.[^.]*)$', 1) END, seq) AS entry_id FROM scanned)"""
+PLAN = f"""{FILES}, {LINES}, {ENCODED}, {TREE},
+    own AS (SELECT f.file_id, o.entry_id, f.size, f.rel_path, f.sha, f.rel_path LIKE '%.go' AND f.size > 0 AS go_may, f.size // 10 > f.size // 1024 AS go_pays, encoded FROM files f JOIN ordered o USING (file_id) JOIN enc USING (file_id)),
+    stored AS (SELECT *, CASE WHEN go_may AND go_pays THEN sha256(encoded) ELSE sha END AS own_sha FROM own),
+    firsts AS (SELECT own_sha, min(entry_id) AS first FROM stored GROUP BY 1),
+    lic AS (SELECT s.*, regexp_matches(regexp_extract(rel_path, '[^/]*$'), '(?i)^(licen[cs]e|copying|notice)(\\..+)?$') AS lic_may, coalesce(f.first < s.entry_id, false) AND size > 0 AS hit FROM stored s LEFT JOIN firsts f ON s.sha = f.own_sha),
+    log AS (SELECT *, CASE WHEN hit THEN 'dedup/v1' WHEN go_may AND go_pays THEN 'go-line-subst/v1' END AS transform,
+        CASE WHEN lic_may AND size <= 512 THEN 'license-canonical/v1' WHEN go_may AND NOT go_pays THEN 'go-line-subst/v1' WHEN false THEN '' END AS skip FROM lic),
+    plan_log AS (SELECT file_id, entry_id, coalesce(transform, skip) AS transform_id, CAST(transform IS NOT NULL AS INTEGER) AS applied,
+        CASE WHEN transform = 'dedup/v1' THEN size WHEN transform IS NOT NULL THEN size // 10 WHEN skip = 'license-canonical/v1' THEN size WHEN skip IS NOT NULL THEN size // 10 ELSE 0 END AS gain,
+        CASE WHEN transform IS NOT NULL THEN size // 1024 WHEN skip = 'license-canonical/v1' THEN 512 WHEN skip IS NOT NULL THEN size // 1024 ELSE 0 END AS cost,
+        CASE WHEN hit THEN sha ELSE own_sha END AS stored_sha,
+        CASE WHEN transform IS NOT NULL THEN transform || ' selected' WHEN skip = 'license-canonical/v1' THEN 'gain (' || size || ') <= cpu cost (512), skipped'
+             WHEN skip IS NOT NULL THEN 'gain (' || size // 10 || ') <= cpu cost (' || size // 1024 || '), skipped' ELSE 'no applicable transform' END AS reason FROM log)"""
+BLOBS = f"""{PLAN},
+    sizes AS (SELECT own_sha AS s, max(CASE WHEN go_may AND go_pays THEN octet_length(encode(encoded)) ELSE size END) AS ulen FROM stored GROUP BY 1),
+    blobs AS (SELECT row_number() OVER (ORDER BY min(entry_id)) AS blob_id, stored_sha AS sha, any_value(ulen) AS ulen, min(entry_id) AS first_entry FROM plan_log JOIN sizes ON s = stored_sha GROUP BY stored_sha)"""
+UNIQUE = f"{FILES}, ids AS (SELECT sha, row_number() OVER (ORDER BY min(file_id)) AS blob_id, max(size) AS ulen FROM files GROUP BY sha)"
+PACKED = f"""{UNIQUE}, packed AS (SELECT blob_id, ulen, 0 AS block_id, 0 AS block_offset, ulen AS used FROM ids WHERE blob_id = 1 UNION ALL
+    SELECT i.blob_id, i.ulen, CASE WHEN p.used > 0 AND i.ulen > 0 AND p.used + i.ulen > {BLOCK} THEN p.block_id + 1 ELSE p.block_id END,
+      CASE WHEN p.used > 0 AND i.ulen > 0 AND p.used + i.ulen > {BLOCK} THEN 0 ELSE p.used END,
+      CASE WHEN p.used > 0 AND i.ulen > 0 AND p.used + i.ulen > {BLOCK} THEN i.ulen ELSE p.used + i.ulen END
+    FROM packed p JOIN ids i ON i.blob_id = p.blob_id + 1)"""
+
+
+# --- hashing and exact dedup
+
+
+@query(f"WITH {FILES} SELECT file_id, size, sha FROM files")
+def content_hash(spark, sf):
+    return dedup.with_hash(corpus(spark, sf)).select("file_id", "size", "sha")
+
+
+@query(f"WITH {FILES} SELECT sha, min(file_id) AS first_id, count(*) AS copies, max(size) AS size FROM files GROUP BY sha")
+def dedup_blobs(spark, sf):
+    return dedup.unique_blobs(dedup.with_hash(corpus(spark, sf)))
+
+
+@query(f"WITH {FILES}, r AS (SELECT file_id, sha, first_value(file_id) OVER (PARTITION BY sha ORDER BY file_id) AS first_id FROM files) SELECT file_id, first_id, sha FROM r WHERE file_id <> first_id")
+def dedup_duplicates(spark, sf):
+    return dedup.duplicates(dedup.with_hash(corpus(spark, sf)))
+
+
+@query(f"""WITH {FILES}, u AS (SELECT sha, max(size) AS size FROM files GROUP BY sha)
+    SELECT (SELECT count(*) FROM files) AS entries, (SELECT count(*) FROM u) AS blobs, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM files) AS original_bytes, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM u) AS unique_bytes""")
+def dedup_summary(spark, sf):
+    return dedup.dedup_summary(dedup.with_hash(corpus(spark, sf)))
+
+
+@query(f"WITH {FILES} SELECT file_id, sha, row_number() OVER (PARTITION BY sha ORDER BY file_id) AS nth FROM files")
+def dedup_rank(spark, sf):
+    return dedup.rank_in_content(dedup.with_hash(corpus(spark, sf)))
+
+
+@query(f"WITH {FILES} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files")
+def source_stats(spark, sf):
+    return corpus(spark, sf).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+@query(f"""WITH {FILES}, h AS (SELECT file_id, size, hex(encode(content)) AS x FROM files)
+    SELECT file_id, left(sha256(unhex(CASE WHEN size <= 8192 THEN x ELSE left(x, 8192) || right(x, 8192) END)), 32) AS sig FROM h""")
+def quick_sig(spark, sf):
+    return corpus(spark, sf).select("file_id", dedup.quick_signature(F.col("content")).alias("sig"))
+
+
+@query(f"WITH {FILES} SELECT file_id, sha FROM files WHERE sha IN (SELECT sha FROM files GROUP BY sha HAVING count(*) > 1)")
+def multipass_candidates(spark, sf):
+    return dedup.multipass_duplicates(corpus(spark, sf))
+
+
+# --- lines
+
+
+@query(f"WITH {FILES}, {LINES} SELECT line, n FROM freq")
+def line_frequency(spark, sf):
+    return lines.line_frequency(corpus(spark, sf))
+
+
+@query(f"WITH {FILES}, {LINES} SELECT line, n FROM freq ORDER BY n DESC, line LIMIT 50")
+def top_lines(spark, sf):
+    return lines.top_lines(lines.line_frequency(corpus(spark, sf)), 50)
+
+
+def dictionary(spark, sf) -> DataFrame:
+    return lines.line_dictionary(lines.line_frequency(corpus(spark, sf)))
+
+
+@query(f"WITH {FILES}, {LINES} SELECT idx, line, CAST(code AS INTEGER) AS code FROM codes")
+def line_dictionary(spark, sf):
+    return dictionary(spark, sf)
+
+
+@query(f"""WITH {FILES}, {LINES} SELECT count(*) AS lines, count(f.line) AS repeated, round(100.0 * count(f.line) / count(*), 6) AS pct
+    FROM rawlines r LEFT JOIN freq f ON ltrim(r.line, ' ' || chr(9)) = f.line""")
+def repeated_line_share(spark, sf):
+    files = corpus(spark, sf)
+    every = files.select(F.explode(lines.split_lines(F.col("content"))).alias("l")).select(lines.bare(F.col("l")).alias("line"))
+    # lines are counted before the join, so it sees one row a distinct line
+    counted = every.groupBy("line").agg(F.count("*").alias("c"))
+    marked = counted.join(lines.line_frequency(files).select("line", F.lit(1).alias("hit")), "line", "left")
+    total = marked.agg(F.sum("c").alias("lines"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("c"))), F.lit(0)).alias("repeated"))
+    return total.withColumn("pct", F.round(F.lit(100.0) * F.col("repeated") / F.col("lines"), 6))
+
+
+@query(f"WITH {FILES}, {LINES}, {ENCODED} SELECT file_id, n_lines, hits, CAST(octet_length(encode(encoded)) - wide AS BIGINT) AS encoded_bytes FROM enc")
+def line_subst_stats(spark, sf):
+    done = lines.encode(corpus(spark, sf), dictionary(spark, sf))
+    return done.select("file_id", F.size(lines.split_lines(F.col("content"))).cast("long").alias("n_lines"), F.regexp_count("encoded", F.lit("\x00")).cast("long").alias("hits"), lines.encoded_bytes(F.col("encoded")).alias("encoded_bytes"))
+
+
+@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS mismatches FROM documents")
+def line_subst_roundtrip(spark, sf):
+    d = dictionary(spark, sf)
+    back = lines.decode(lines.encode(corpus(spark, sf), d), d)
+    return back.agg(F.count("*").alias("files"), F.count(F.when(~F.col("decoded").eqNullSafe(F.col("content")), 1)).alias("mismatches"))
+
+
+# --- JSON and logs
+
+
+@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS canonical FROM events")
+def json_canonical(spark, sf):
+    return table(spark, sf, "events").select("event_id", canonical.canonical_json(F.col("props")).alias("canonical"))
+
+
+@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS canonical FROM events")
+def json_canonical_exact(spark, sf):
+    return table(spark, sf, "events").select("event_id", canonical.exact_canonical_json(F.col("props")).alias("canonical"))
+
+
+@query("SELECT CAST(json(props) AS VARCHAR) AS canonical, count(*) AS copies, min(event_id) AS first_id FROM events GROUP BY 1")
+def json_canonical_dedup(spark, sf):
+    return table(spark, sf, "events").groupBy(canonical.canonical_json(F.col("props")).alias("canonical")).agg(F.count("*").alias("copies"), F.min("event_id").alias("first_id"))
+
+
+LOGS = """evt AS (SELECT user_id, event_id, 'user=' || user_id || ' type=' || event_type || ' value=' || CAST(floor(value) AS BIGINT) || ' id=' || event_id AS line FROM events),
+    grp AS (SELECT user_id, count(*) AS n, arg_min(line, event_id) AS first, CAST(sum(length(line) + 1) AS BIGINT) AS bytes FROM evt GROUP BY 1),
+    lens AS (SELECT user_id, n, first, bytes, unnest(range(1, length(first) + 1)) AS k FROM grp),
+    fit AS (SELECT l.user_id, l.k FROM lens l JOIN evt e ON l.user_id = e.user_id AND starts_with(e.line, left(l.first, CAST(l.k AS INTEGER))) GROUP BY l.user_id, l.k, l.n HAVING 2 * count(*) > l.n),
+    tmpl AS (SELECT g.user_id, g.n, g.bytes, CASE WHEN g.n >= 10 THEN left(g.first, CAST(max(f.k) AS INTEGER)) END AS template FROM grp g LEFT JOIN fit f USING (user_id) GROUP BY g.user_id, g.n, g.first, g.bytes)"""
+
+
+def logs(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    line = F.concat(F.lit("user="), F.col("user_id").cast("string"), F.lit(" type="), "event_type", F.lit(" value="), F.floor("value").cast("string"), F.lit(" id="), F.col("event_id").cast("string"))
+    whole = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    return whole.select("user_id", F.concat(F.array_join(F.col("l.line"), "\n"), F.lit("\n")).alias("content"))
+
+
+@query(f"WITH {LOGS} SELECT user_id, CAST(n AS INTEGER) AS n_lines, template FROM tmpl")
+def log_template(spark, sf):
+    return canonical.log_template(logs(spark, sf)).select("user_id", "n_lines", "template")
+
+
+@query(f"""WITH {LOGS}, s AS (SELECT t.user_id, sum(CASE WHEN template IS NULL THEN NULL WHEN starts_with(line, template) THEN length(line) - length(template) ELSE length(line) + 1 END) + any_value(n) - 1 AS b FROM tmpl t JOIN evt USING (user_id) GROUP BY 1)
+    SELECT count(*) AS logs, count(template) AS handled, CAST(sum(bytes) AS BIGINT) AS original_bytes, CAST(sum(CASE WHEN template IS NULL THEN bytes ELSE b + length(template) END) AS BIGINT) AS stored_bytes FROM tmpl JOIN s USING (user_id)""")
+def log_suffix_savings(spark, sf):
+    t = canonical.log_template(logs(spark, sf))
+    stored = F.when(F.col("template").isNull(), F.octet_length("content")).otherwise(F.octet_length("suffixes") + F.octet_length("template"))
+    return t.agg(F.count("*").alias("logs"), F.count("template").alias("handled"), F.sum(F.octet_length("content")).cast("long").alias("original_bytes"), F.sum(stored).cast("long").alias("stored_bytes"))
+
+
+@query("SELECT count(DISTINCT user_id) AS logs, CAST(0 AS BIGINT) AS mismatches FROM events")
+def log_roundtrip(spark, sf):
+    t = canonical.log_template(logs(spark, sf)).withColumn("back", F.when(F.col("template").isNull(), F.col("content")).otherwise(canonical.log_restore(F.col("template"), F.col("suffixes"))))
+    return t.agg(F.count("*").alias("logs"), F.count(F.when(F.col("back") != F.col("content"), 1)).alias("mismatches"))
+
+
+# --- licences and diffs
+
+
+def licensed(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer")
+    texts = list(license.NOTICES.values())
+    fill = lambda t: F.replace(F.lit(t), F.lit("YEAR HOLDER"), F.concat(F.lit("2024 "), "c_name"))
+    kind = F.col("c_custkey") % 4
+    content = F.when(kind == 0, fill(texts[0])).when(kind == 1, fill(texts[1])).when(kind == 2, F.lit(texts[0] + "\n")).otherwise(F.concat(fill(texts[1]), F.lit("\nOne more line.")))
+    return c.select(F.col("c_custkey").alias("file_id"), F.lit("LICENSE").alias("rel_path"), content.alias("content"))
+
+
+_T = [t.replace("'", "''").replace("\n", "' || chr(10) || '") for t in license.NOTICES.values()]
+_NAMES = list(license.NOTICES)
+HELD = f"""lic AS (SELECT c_custkey AS file_id, CASE c_custkey % 4 WHEN 0 THEN replace('{_T[0]}', 'YEAR HOLDER', '2024 ' || c_name) WHEN 1 THEN replace('{_T[1]}', 'YEAR HOLDER', '2024 ' || c_name)
+      WHEN 2 THEN '{_T[0]}' || chr(10) ELSE replace('{_T[1]}', 'YEAR HOLDER', '2024 ' || c_name) || chr(10) || 'One more line.' END AS content FROM customer),
+    body AS (SELECT file_id, content, trim(content, ' ' || chr(10)) AS norm, array_to_string(list_filter(string_split(trim(content, ' ' || chr(10)), chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\\s*copyright')), chr(10)) AS b FROM lic),
+    known AS (SELECT '{_NAMES[0]}' AS spdx, '{_T[0]}' AS t UNION ALL SELECT '{_NAMES[1]}', '{_T[1]}'),
+    kb AS (SELECT spdx, sha256(t) AS fs, sha256(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\\s*copyright')), chr(10))) AS bs FROM known),
+    det AS (SELECT file_id, coalesce(f.spdx, g.spdx) AS spdx, CASE WHEN f.spdx IS NOT NULL THEN 'full' WHEN g.spdx IS NOT NULL THEN 'body' END AS match
+      FROM body LEFT JOIN kb f ON sha256(norm) = f.fs LEFT JOIN kb g ON sha256(b) = g.bs)"""
+
+
+@query(f"WITH {HELD} SELECT file_id, spdx, match FROM det")
+def license_detect(spark, sf):
+    return license.detect(licensed(spark, sf), license.templates(spark)).select("file_id", "spdx", "match")
+
+
+@query(f"WITH {HELD} SELECT spdx, match, count(*) AS files FROM det GROUP BY ALL")
+def license_summary(spark, sf):
+    return license.detect(licensed(spark, sf), license.templates(spark)).groupBy("spdx", "match").agg(F.count("*").alias("files"))
+
+
+@query(f"WITH {HELD} SELECT count(*) AS files, count(spdx) AS handled, CAST(0 AS BIGINT) AS mismatches FROM det")
+def license_roundtrip(spark, sf):
+    known = license.templates(spark)
+    done = license.apply_rule(licensed(spark, sf), known).join(F.broadcast(known.limit(1000).select("spdx", "template")), "spdx", "left")
+    back = license.restore
+
+    @F.pandas_udf("string")
+    def again(template, params):
+        return template.combine(params, lambda t, p: None if t is None or p is None else back(t, p))
+
+    done = done.withColumn("back", again("template", "params"))
+    return done.agg(F.count("*").alias("files"), F.count("params").alias("handled"), F.count(F.when(F.col("params").isNotNull() & ~F.col("back").eqNullSafe(F.col("content")), 1)).alias("mismatches"))
+
+
+@query("""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+    WHERE regexp_matches(line, '(?i)licen[cs]ed? (under|to)|all rights reserved|copyright') GROUP BY line""")
+def license_lines(spark, sf):
+    flat = corpus(spark, sf).select(F.explode(lines.split_lines(F.col("content"))).alias("line"))
+    return flat.where(F.col("line").rlike("(?i)licen[cs]ed? (under|to)|all rights reserved|copyright")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {HELD} SELECT file_id, CASE WHEN file_id % 4 = 2 THEN 0 WHEN file_id % 4 = 3 THEN 2 ELSE 1 END AS inserted, CASE WHEN file_id % 4 = 2 THEN 0 ELSE 1 END AS deleted FROM lic""")
+def line_diff_stats(spark, sf):
+    d, names = licensed(spark, sf), F.array(*[F.lit(t) for t in license.NOTICES.values()])
+    base = F.element_at(names, F.when(F.col("file_id") % 4 % 2 == 0, 1).otherwise(2))
+    ops = d.select("file_id", linediff.line_diff(F.split(base, "\n", -1), F.split(license.normalised(F.col("content")), "\n", -1)).alias("ops"))
+    return ops.select("file_id", linediff.changed(F.col("ops"), "+").alias("inserted"), linediff.changed(F.col("ops"), "-").alias("deleted"))
+
+
+# --- planning
+
+
+def ordered_files(spark, sf) -> DataFrame:
+    files = corpus(spark, sf)
+    every = planner.write_order(catalog.with_directories(files.select("file_id", "rel_path", "size")))
+    return files.join(every.where("kind = 'file'").select("file_id", "entry_id"), "file_id")
+
+
+def planned(spark, sf, disabled: tuple[str, ...] = ()) -> DataFrame:
+    return planner.plan(ordered_files(spark, sf), dictionary(spark, sf), license.templates(spark), disabled=disabled)
+
+
+@query(f"""WITH {FILES}, b AS (SELECT *, regexp_extract(rel_path, '[^/]*$') AS base FROM files)
+    SELECT file_id, 'dedup/v1' AS rule, size AS gain, size // 1024 AS cost FROM b WHERE size > 0
+    UNION ALL SELECT file_id, 'go-line-subst/v1', size // 10, size // 1024 FROM b WHERE size > 0 AND base LIKE '%.go'
+    UNION ALL SELECT file_id, 'license-canonical/v1', size, 512 FROM b WHERE regexp_matches(base, '(?i)^(licen[cs]e|copying|notice)(\\..+)?$')
+    UNION ALL SELECT file_id, 'json-canonical/v1', size // 4, size // 512 FROM b WHERE size BETWEEN 1 AND 10485760 AND lower(base) LIKE '%.json'
+    UNION ALL SELECT file_id, 'log-template/v1', size // 3, size // 256 FROM b WHERE size BETWEEN 1024 AND 52428800 AND (base IN ('syslog', 'messages', 'kern.log') OR regexp_matches(base, '\\.log(\\.[^.]*)?$'))""")
+def plan_applicability(spark, sf):
+    return planner.applicability(corpus(spark, sf))
+
+
+@query(f"WITH {PLAN} SELECT file_id, entry_id, transform_id, gain, cost, applied, reason FROM plan_log")
+def plan_decisions(spark, sf):
+    return planned(spark, sf).select("file_id", "entry_id", "transform_id", "gain", "cost", "applied", "reason")
+
+
+SUMMARY = "SELECT coalesce(transform_id, 'raw') AS transform, CAST(sum(applied) AS BIGINT) AS applied, CAST(sum(1 - applied) AS BIGINT) AS skipped, CAST(sum(gain * applied) AS BIGINT) AS gain FROM"
+
+
+@query(f"WITH {PLAN} {SUMMARY} plan_log GROUP BY 1")
+def plan_summary(spark, sf):
+    return planner.summary(planned(spark, sf))
+
+
+@query(f"WITH {PLAN}, s AS ({SUMMARY} plan_log GROUP BY 1) SELECT CAST(sum(applied + skipped) AS BIGINT) AS total, CAST(sum(applied) AS BIGINT) AS applied FROM s")
+def plan_totals(spark, sf):
+    return planner.summary(planned(spark, sf)).agg(F.sum(F.col("applied") + F.col("skipped")).alias("total"), F.sum("applied").alias("applied"))
+
+
+@query(f"""WITH {PLAN}, off AS (SELECT CASE WHEN go_may AND go_pays THEN 'go-line-subst/v1' ELSE skip END AS transform_id, CAST(go_may AND go_pays AS INTEGER) AS applied, size // 10 AS gain FROM log)
+    {SUMMARY} off GROUP BY 1""")
+def plan_summary_disabled(spark, sf):
+    return planner.summary(planned(spark, sf, (R.DEDUP.id,)))
+
+
+@query("""SELECT * FROM (VALUES (0, 'dedup/v1', 'default', true), (1, 'go-line-subst/v1', 'default', true), (2, 'license-canonical/v1', 'default', true),
+    (3, 'json-canonical/v1', 'opt-in', false), (4, 'log-template/v1', 'opt-in', false), (5, 'near-dup-delta/v1', 'stub', false)) AS t(position, id, state, lossless)""")
+def rule_registry(spark, sf):
+    return R.registry(spark)
+
+
+# --- catalog
+
+
+@query(f"WITH {FILES}, {TREE} SELECT rel_path, kind, seq, entry_id FROM ordered")
+def write_order(spark, sf):
+    return planner.write_order(catalog.with_directories(corpus(spark, sf))).select("rel_path", "kind", "seq", "entry_id")
+
+
+@query(f"WITH {FILES}, {TREE} SELECT (entry_id - 1) // 1000 AS batch, count(*) AS entries, max(entry_id) AS last_entry FROM ordered GROUP BY 1")
+def batch_numbers(spark, sf):
+    every = planner.write_order(catalog.with_directories(corpus(spark, sf)))
+    return every.groupBy(F.floor((F.col("entry_id") - 1) / 1000).alias("batch")).agg(F.count("*").alias("entries"), F.max("entry_id").alias("last_entry"))
+
+
+NAMED = f"{FILES}, {TREE}, named AS (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT regexp_extract(rel_path, '[^/]*$') AS name FROM ordered))"
+
+
+@query(f"WITH {NAMED} SELECT id, name FROM named")
+def names_interned(spark, sf):
+    return catalog.names(catalog.with_directories(corpus(spark, sf)))
+
+
+def tree(spark, sf) -> tuple[DataFrame, DataFrame]:
+    every = planner.write_order(catalog.with_directories(corpus(spark, sf)))
+    named = catalog.names(every)
+    return catalog.tree_entries(every, named), named
+
+
+ENTRIES = f"""{NAMED}, ent AS (SELECT o.entry_id AS id, p.entry_id AS parent_id, n.id AS name_id, o.kind, o.size, o.file_id, o.rel_path FROM ordered o
+    JOIN named n ON n.name = regexp_extract(o.rel_path, '[^/]*$') LEFT JOIN ordered p ON p.kind = 'dir' AND p.rel_path = regexp_extract(o.rel_path, '^(.*)/[^/]*$', 1))"""
+
+
+@query(f"WITH {ENTRIES} SELECT id, parent_id, name_id, kind, size, file_id FROM ent")
+def tree_entries(spark, sf):
+    return tree(spark, sf)[0]
+
+
+@query(f"WITH {ENTRIES} SELECT id, rel_path AS path FROM ent")
+def tree_paths(spark, sf):
+    return catalog.paths(*tree(spark, sf))
+
+
+@query(f"WITH {BLOBS} SELECT entry_id, rel_path, l.transform_id, b.blob_id FROM plan_log l JOIN ordered o USING (entry_id) JOIN blobs b ON b.sha = l.stored_sha")
+def walk_entries(spark, sf):
+    files = ordered_files(spark, sf)
+    log = stage(planner.plan(files, dictionary(spark, sf), license.templates(spark)), "log")
+    blobs = catalog.blob_table(log, log.select(F.col("stored_sha").alias("sha"), F.lit(0).alias("ulen")).distinct())
+    links = catalog.entry_blobs(log, blobs)
+    return log.select("entry_id", "transform_id").join(files.select("entry_id", "rel_path"), "entry_id").join(links.select("entry_id", "blob_id"), "entry_id")
+
+
+@query(f"WITH {FILES}, parts AS (SELECT *, string_split(rel_path, '/') AS p FROM files), u AS (SELECT array_to_string(p[1:i], '/') AS dir, size FROM (SELECT p, size, unnest(range(1, len(p))) AS i FROM parts)) SELECT dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM u GROUP BY 1")
+def dir_sizes(spark, sf):
+    return catalog.dir_sizes(corpus(spark, sf))
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://", ""), r"[?#].*$|/$", "")
+
+
+@query("""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$|/$', '', 'g') AS rel_path FROM pages WHERE url IS NOT NULL),
+    u AS (SELECT string_split(rel_path, '/') AS s FROM p), n AS (SELECT s, unnest(range(1, len(s))) AS i FROM u)
+    SELECT array_to_string(s[1:i], '/') AS dir, count(*) AS files, CAST(i AS INTEGER) AS depth FROM n GROUP BY ALL""")
+def url_tree(spark, sf):
+    urls = table(spark, sf, "pages").where("url is not null").select(url_path(F.col("url")).alias("rel_path")).distinct()
+    sizes = catalog.dir_sizes(urls.withColumn("size", F.lit(0).cast("long")))
+    return sizes.select("dir", "files", F.size(F.split("dir", "/")).alias("depth"))
+
+
+@query(f"WITH {BLOBS} SELECT blob_id, sha, ulen, first_entry FROM blobs")
+def blob_ids(spark, sf):
+    files = ordered_files(spark, sf)
+    known = license.templates(spark)
+    log = stage(planner.plan(files, dictionary(spark, sf), known), "log")
+    encoded = planner.handled(files, dictionary(spark, sf), known, (R.LINES,)).join(log.select("file_id", "transform", "stored_sha"), "file_id")
+    out = F.when(F.col("transform") == R.LINES.id, F.col("__out_lines")).otherwise(F.col("content"))
+    sizes = encoded.groupBy(F.col("stored_sha").alias("sha")).agg(F.max(F.octet_length(out)).cast("long").alias("ulen"))
+    return catalog.blob_table(log, sizes)
+
+
+@query(f"WITH {UNIQUE} SELECT blob_id, sha FROM ids")
+def blob_sha_list(spark, sf):
+    return numbered(dedup.unique_blobs(dedup.with_hash(corpus(spark, sf))), [F.col("first_id")], "blob_id").select("blob_id", "sha")
+
+
+# --- blocks
+
+
+def unique_contents(spark, sf) -> DataFrame:
+    hashed = dedup.with_hash(corpus(spark, sf))
+    return numbered(dedup.unique_blobs(hashed), [F.col("first_id")], "blob_id").select("blob_id", "sha", "first_id", F.col("size").alias("ulen"))
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT blob_id, ulen, CAST(block_id AS BIGINT) AS block_id, CAST(block_offset AS BIGINT) AS block_offset FROM packed")
+def solid_blocks(spark, sf):
+    return solid.pack(unique_contents(spark, sf), BLOCK)
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT CAST(block_id AS BIGINT) AS block_id, count(*) AS blobs, CAST(sum(ulen) AS BIGINT) AS ulen FROM packed GROUP BY 1")
+def block_sizes(spark, sf):
+    return solid.pack(unique_contents(spark, sf), BLOCK).groupBy("block_id").agg(F.count("*").alias("blobs"), F.sum("ulen").alias("ulen"))
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT count(DISTINCT block_id) AS blocks FROM packed")
+def block_count(spark, sf):
+    return solid.pack(unique_contents(spark, sf), BLOCK).agg(F.countDistinct("block_id").alias("blocks"))
+
+
+@query(f"""WITH RECURSIVE {PACKED}, w AS (SELECT block_id, sum(ulen) AS clen FROM packed GROUP BY 1)
+    SELECT (SELECT count(*) FROM files) AS entries, (SELECT CAST(sum(size) AS BIGINT) FROM files) AS original_bytes, (SELECT count(*) FROM packed) AS blobs, (SELECT CAST(sum(ulen) AS BIGINT) FROM packed) AS unique_bytes,
+      (SELECT CAST(sum(clen) AS BIGINT) FROM w) AS stored_bytes, (SELECT count(*) FROM w) AS blocks""")
+def solid_overview(spark, sf):
+    packed = solid.pack(unique_contents(spark, sf), BLOCK)
+    lengths = packed.groupBy("block_id").agg(F.sum("ulen").alias("clen"))
+    return catalog.overview(corpus(spark, sf).select("size"), packed.join(lengths, "block_id"))
+
+
+@query(f"""WITH {FILES}, s AS (SELECT (SELECT sum(size) FROM files) AS o, (SELECT sum(z) FROM (SELECT max(size) AS z FROM files GROUP BY sha)) AS u)
+    SELECT CASE WHEN o = 0 THEN 0.0 ELSE 100.0 * u / o END AS unique_pct, CASE WHEN o = 0 THEN 0.0 ELSE 100.0 * u / o END AS stored_pct, CASE WHEN u = 0 THEN 0.0 ELSE 100.0 END AS block_pct FROM s""")
+def overview_ratios(spark, sf):
+    files = dedup.with_hash(corpus(spark, sf))
+    blobs = dedup.unique_blobs(files).select(F.col("size").alias("ulen"), F.col("size").alias("clen"))
+    return catalog.ratios(catalog.overview(files.select("size"), blobs)).select("unique_pct", "stored_pct", "block_pct")
+
+
+@query(f"""WITH {FILES}, h AS (SELECT file_id, size, row_number() OVER (ORDER BY file_id) AS n, coalesce(sum(size) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM files WHERE size BETWEEN 1 AND 65536)
+    SELECT file_id, n, CAST(before AS BIGINT) AS before FROM h WHERE n <= 500 AND before < 8388608""")
+def dict_samples(spark, sf):
+    return solid.dict_samples(corpus(spark, sf))
+
+
+@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS mismatches FROM documents")
+def compress_roundtrip(spark, sf):
+    c = corpus(spark, sf).withColumn("raw", F.encode("content", "utf-8"))
+    c = c.withColumn("frame", solid.compressed(F.col("raw"))).withColumn("back", solid.decompressed(F.col("frame")))
+    return c.agg(F.count("*").alias("files"), F.count(F.when(F.col("back") != F.col("raw"), 1)).alias("mismatches"))
+
+
+@query()
+def compress_sizes(spark, sf):
+    c = corpus(spark, sf).withColumn("clen", F.octet_length(solid.compressed(F.encode("content", "utf-8"))))
+    return c.select("file_id", "size", F.col("clen").cast("long").alias("clen"))
+
+
+@query()
+def solid_compress_sizes(spark, sf):
+    blobs = stage(unique_contents(spark, sf), "blobs")
+    bytes_of = corpus(spark, sf).select(F.col("file_id").alias("first_id"), F.encode("content", "utf-8").alias("bytes"))
+    return solid.blocks(blobs.join(bytes_of, "first_id").select("blob_id", "bytes"), solid.pack(blobs, BLOCK)).select("block_id", "ulen", "clen")
+
+
+@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS mismatches FROM documents")
+def restore_mismatches(spark, sf):
+    files = corpus(spark, sf)
+    d, known = stage(dictionary(spark, sf), "dictionary"), license.templates(spark)
+    back = archive.restore(archive.build(files, d, known, block_bytes=BLOCK), d, known)
+    both = files.join(back.select("rel_path", F.col("content").alias("back")), "rel_path", "left")
+    return both.agg(F.count("*").alias("files"), F.count(F.when(~F.col("back").eqNullSafe(F.col("content")), 1)).alias("mismatches"))
+
+
+@query(f"WITH {FILES} SELECT count(*) AS missing FROM files WHERE false")
+def set_difference(spark, sf):
+    """Hash lists of two ways to dedup, compared both ways as multisets."""
+    a = dedup.unique_blobs(dedup.with_hash(corpus(spark, sf))).select("sha")
+    b = dedup.rank_in_content(dedup.with_hash(corpus(spark, sf))).where("nth = 1").select("sha")
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("missing"))
+
+
+# --- guards and small functions
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a/b/c' WHEN 1 THEN '../x' WHEN 2 THEN 'a/../../y' WHEN 3 THEN 'a/./b/../c' ELSE 'a/../b' END AS rel_path FROM pages)
+    SELECT page_id, rel_path, page_id % 5 IN (1, 2) AS outside FROM p""")
+def escape_guard(spark, sf):
+    k = F.col("page_id") % 5
+    path = F.when(k == 0, "a/b/c").when(k == 1, "../x").when(k == 2, "a/../../y").when(k == 3, "a/./b/../c").otherwise("a/../b")
+    return table(spark, sf, "pages").select("page_id", path.alias("rel_path")).withColumn("outside", fn.escapes("/srv/out", F.col("rel_path")))
+
+
+@query("SELECT DISTINCT 'other/v9' AS transform FROM documents")
+def unknown_transform_check(spark, sf):
+    e = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 2 == 0, R.LINES.id).otherwise("other/v9").alias("transform"))
+    return archive.check_transforms(e)
+
+
+@query(f"""WITH {FILES}, s AS (SELECT file_id, size * size AS n FROM files) SELECT file_id, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0)
+    WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE n || ' B' END AS human FROM s""")
+def human_bytes(spark, sf):
+    return corpus(spark, sf).select("file_id", fn.human_bytes(F.col("size") * F.col("size")).alias("human"))
+
+
+@query("""SELECT p_partkey, p_partkey || CASE p_partkey % 4 WHEN 0 THEN 'MB' WHEN 1 THEN 'kb' WHEN 2 THEN '' ELSE ' x' END AS text,
+    CASE p_partkey % 4 WHEN 0 THEN p_partkey * 1048576 WHEN 1 THEN p_partkey * 1024 WHEN 2 THEN p_partkey END AS bytes FROM part WHERE p_partkey > 0""")
+def parse_byte_size(spark, sf):
+    k = F.col("p_partkey") % 4
+    text = F.concat(F.col("p_partkey").cast("string"), F.when(k == 0, "MB").when(k == 1, "kb").when(k == 2, "").otherwise(" x"))
+    return table(spark, sf, "part").where("p_partkey > 0").select("p_partkey", text.alias("text")).withColumn("bytes", fn.parse_byte_size(F.col("text")))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'split' END AS format FROM pages""")
+def format_sniff(spark, sf):
+    k = F.col("page_id") % 3
+    head = F.when(k == 0, F.lit(b"CRPSMILL")).when(k == 1, F.lit(b"SQLite format 3\x00")).otherwise(F.lit(b"other"))
+    return table(spark, sf, "pages").select("page_id", fn.sniff_format(F.concat(head, F.col("html").cast("binary")), b"CRPSMILL").alias("format"))
+
+
+@query("SELECT page_id, page_id * 1000 AS catalog_offset, page_id AS blob_offset, '00000000000000ff' AS checksum FROM pages")
+def footer_fields(spark, sf):
+    big = lambda n: F.unhex(F.lpad(F.hex(n), 16, "0"))
+    data = F.concat(F.col("html").cast("binary"), F.lit(bytes(32)), big(F.col("page_id") * 1000), big(F.col("page_id")), big(F.lit(255).cast("long")))
+    return table(spark, sf, "pages").select("page_id", fn.footer(data).alias("f")).select("page_id", "f.*")
+
+
+@query("SELECT count(DISTINCT sha256(coalesce(text, ''))) AS blobs FROM documents")
+def stream_dedup(spark, sf):
+    """Documents arrive as a stream in two runs; the store holds every content once."""
+    from corpusmill import streaming
+    from corpusmill.plans.staging import new_dir
+
+    folder = new_dir(spark, "arriving")
+    files = corpus(spark, sf)
+    for half in range(2):
+        files.where(F.pmod("file_id", F.lit(2)) == half).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(files.schema).parquet(f"{folder}/in")
+        streaming.ingest(arriving, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/store").agg(F.countDistinct("sha").alias("blobs"))
+
+

@@ -1 +1 @@
-
+"""Sources and sinks: file trees and stored catalogs."""
