@@ -12,9 +12,11 @@ several documents have, so that most documents never reach a table.
 
 *Groups.*  Documents with one set are one class, so exact copies cost a row of aggregation.  In every
 bucket of a table, one pivot is compared with the others, not all pairs.  Buckets that then still
-hold several components are searched again by sketch, with 1, 16, 256 ... pivots (those most similar
-to the bucket as a whole first), for pairs in different components only, until nothing plausible is
-left.  A large bucket is dealt out as pairs of blocks.  There is no cap on buckets or partners.
+hold several components are searched again for pairs in different components only, by size and
+sketch.  Where these are few, they are confirmed one by one; in a dense bucket, each document outside
+the largest component is compared with all others through an inverted index of their full sets, in
+the task that holds the bucket.  A large bucket is dealt out as pairs of blocks.  There is no cap on
+buckets or partners, and no pair that can join two components is left out.
 
 Components are found by alternating star contraction, all of it in tables.
 
@@ -38,20 +40,24 @@ from corpusmill.plans.staging import ship_package, stage
 
 BAND = 3
 BLOCK = 2048
-PIVOTS = (1, 16, 256, 1 << 30)
+ONE_TASK = 500_000
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Words(dict):
-    """Hash of a word, remembered for as many words as memory allows for."""
+    """Hash of a word, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_digest(word)
         return h
 
 
+#: One a Python worker, kept from task to task.
+_words = _Words()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -112,7 +118,7 @@ def signatures(docs: DataFrame, width: int, pct: int, id_col: str = "doc_id", te
     m, _ = plan(pct)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words()
+        words = _words
 
         def done(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
             full = [s for s in sets if len(s)]
@@ -155,7 +161,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "t
     """``(fp, hashes)``: the sets of the classes in ``wanted (rid)``, one row each."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words()
+        words = _words
         for pdf in it:
             for at in range(0, len(pdf), 256):
                 sets = [shingle_set(t, width, words).tobytes() for t in pdf["text"].iloc[at : at + 256]]
@@ -182,8 +188,32 @@ def confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInPandas(run, "a binary, b binary")
 
 
+def _union(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Roots of all nodes of the edges of one task."""
+    up: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = x = up[p] if p in up else p
+        return x
+
+    for pdf in it:
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for at in range(0, len(nodes), 10_000):
+        some = [(x, find(x)) for x in nodes[at : at + 10_000]]
+        yield pd.DataFrame([r for r in some if r[0] != r[1]], columns=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of ``edges (a, b)`` but the roots: the least node reachable."""
+    """``(node, root)`` for every node of ``edges (a, b)`` but the roots: the least node reachable.
+
+    Rounds of star contraction, until the edges left are counted to be at most :data:`ONE_TASK`; these
+    are joined up in one task of bounded memory.
+    """
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
@@ -191,6 +221,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
+        if state[0] <= ONE_TASK:
+            return stage(now.coalesce(1).mapInPandas(_union, "node binary, root binary"), "roots")
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -199,69 +231,126 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(mins.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "edges")
 
 
-def plausible_pairs(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, side: np.ndarray, pivots: int, least: int, pct: int) -> tuple[list, list, bool]:
-    """Pairs in different components of a bucket (or of two of its blocks) that can be links by size
-    and sketch: all if they are few, else those of the most central ``pivots``; and whether others
-    were left for a later round."""
+def plausible_pairs(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, two: np.ndarray | None, least: int, pct: int) -> tuple[list, list] | None:
+    """Pairs in different components of a bucket that can be links by size and sketch; None if they
+    are many more than the rows.  ``two``: sides, of which only pairs across count."""
     rows = len(fp)
-    order = np.arange(rows)
-    if rows > 16:
-        central = np.zeros(rows)
-        for j in range(sk.shape[1]):
-            _, inv, cnt = np.unique(sk[:, j], return_inverse=True, return_counts=True)
-            central += cnt[inv]
-        order = np.argsort(-central, kind="stable")
-        fp, comp, n, sk, side = fp[order], comp[order], n[order], sk[order], side[order]
-    two = side.min() != side.max()
     a, b = [], []
     for k in range(rows - 1):
         can = (comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= pct * np.maximum(n[k + 1 :], n[k]))
-        if two:
-            can &= side[k + 1 :] != side[k]
+        if two is not None:
+            can &= two[k + 1 :] != two[k]
         can = np.flatnonzero(can) + k + 1
         if len(can):
             can = can[(sk[can] == sk[k]).sum(axis=1) >= least]
-        if len(can):
-            if k >= pivots and len(a) + len(can) > 2 * rows:
-                return a, b, True
-            for y in fp[can]:
-                a.append(max(fp[k], y))
-                b.append(min(fp[k], y))
-    return a, b, False
+        if len(a) + len(can) > 2 * rows:
+            return None
+        for y in fp[can]:
+            a.append(max(fp[k], y))
+            b.append(min(fp[k], y))
+    return a, b
 
 
-def _picker(pivots: int, least: int, pct: int):
-    """Over rows sorted by bucket: :func:`plausible_pairs` of each, and a row of nulls for pairs left."""
+def dense_links(fp: np.ndarray, comp: np.ndarray, sk: np.ndarray, hashes: list[np.ndarray], two: np.ndarray | None, least: int, pct: int) -> tuple[list, list]:
+    """Links that join all components of a bucket that are linked in it, found on full sets.
 
-    def pick(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Documents outside the component that was largest at the start are compared, through an inverted
+    index, with all documents outside their own; every pair in different components has such a document.
+    """
+    rows = len(fp)
+    n = np.array([len(x) for x in hashes])
+    codes = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    doc = np.repeat(np.arange(rows), n)
+    order = np.argsort(codes, kind="stable")
+    posts, ends = doc[order], np.cumsum(np.bincount(codes))
+    starts, first = np.concatenate([[0], ends[:-1]]), np.concatenate([[0], np.cumsum(n)])
+    comp = comp.copy()
+    a, b = [], []
+    central = np.zeros(rows)
+    for j in range(sk.shape[1]):
+        _, inv, cnt = np.unique(sk[:, j], return_inverse=True, return_counts=True)
+        central += cnt[inv]
+    # one component is fixed at the start; it only grows, so who is never in it has been compared with all
+    large = int(np.flatnonzero(comp == np.bincount(comp).argmax())[0])
+    for s in np.argsort(-central, kind="stable"):  # those that most resemble the others link most
+        if comp[s] == comp[large]:
+            continue
+        can = (comp != comp[s]) & (100 * np.minimum(n, n[s]) >= pct * np.maximum(n, n[s])) & ((sk == sk[s]).sum(axis=1) >= least)
+        if two is not None:
+            can &= two != two[s]
+        if not can.any():
+            continue
+        mine = codes[first[s] : first[s + 1]]
+        both = np.bincount(np.concatenate([posts[x:y] for x, y in zip(starts[mine], ends[mine], strict=True)]), minlength=rows)
+        for x in np.flatnonzero(can & (100 * both >= pct * (n + n[s] - both))):
+            if comp[x] != comp[s]:
+                a.append(max(fp[s], fp[x]))
+                b.append(min(fp[s], fp[x]))
+                comp[comp == comp[x]] = comp[s]
+    return a, b
+
+
+def _by_bucket(f):
+    """Call ``f`` with the rows of whole buckets, for rows sorted by (key, i, j)."""
+
+    def g(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left: list[pd.DataFrame] = []
-
-        def done(pdf: pd.DataFrame) -> pd.DataFrame:
-            fp, n, side = pdf["fp"].to_numpy(), pdf["n"].to_numpy(), pdf["side"].to_numpy()
-            comp = pd.factorize(pdf["comp"])[0]
-            sk = np.stack([np.frombuffer(x, "<u4") for x in pdf["mins"]])
-            at = np.flatnonzero(np.concatenate([[True], (np.diff(pdf["key"].to_numpy()) != 0) | (np.diff(pdf["i"].to_numpy()) != 0) | (np.diff(pdf["j"].to_numpy()) != 0), [True]]))
-            a, b, rest = [], [], False
-            for x, y in zip(at[:-1], at[1:], strict=True):
-                pa, pb, more = plausible_pairs(fp[x:y], comp[x:y], n[x:y], sk[x:y], side[x:y], pivots, least, pct)
-                a.extend(pa)
-                b.extend(pb)
-                rest = rest or more
-            return pd.DataFrame({"a": a + [None] * rest, "b": b + [None] * rest}).drop_duplicates()
-
         for pdf in it:
             if not len(pdf):
                 continue
             last = pdf[["key", "i", "j"]].iloc[-1]
             tail = ((pdf["key"] == last["key"]) & (pdf["i"] == last["i"]) & (pdf["j"] == last["j"])).to_numpy()
             if not tail.all():
-                yield done(pd.concat([*left, pdf[~tail]]))
+                yield f(pd.concat([*left, pdf[~tail]]))
                 left = []
             left.append(pdf[tail])
         if left:
-            yield done(pd.concat(left))
+            yield f(pd.concat(left))
 
-    return pick
+    return g
+
+
+def _buckets(pdf: pd.DataFrame) -> Iterator[slice]:
+    key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
+    at = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0), [True]]))
+    return (slice(x, y) for x, y in zip(at[:-1], at[1:], strict=True))
+
+
+def _sketch_search(least: int, pct: int):
+    """Plausible pairs of sparse buckets, and the buckets that are dense."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, n, comp = pdf["fp"].to_numpy(), pdf["n"].to_numpy(), pd.factorize(pdf["comp"])[0]
+        key, i, j, side = (pdf[c].to_numpy() for c in ("key", "i", "j", "side"))
+        sk = np.stack([np.frombuffer(x, "<u4") for x in pdf["mins"]])
+        a, b, dense = [], [], []
+        for s in _buckets(pdf):
+            found = plausible_pairs(fp[s], comp[s], n[s], sk[s], side[s] if i[s][0] != j[s][0] else None, least, pct)
+            if found is None:
+                dense.append((key[s][0], i[s][0], j[s][0]))
+            else:
+                a.extend(found[0])
+                b.extend(found[1])
+        pairs = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        return pd.concat([pairs, pd.DataFrame(dense, columns=["key", "i", "j"])]).astype({"key": "Int64", "i": "Int32", "j": "Int32"})[["a", "b", "key", "i", "j"]]
+
+    return _by_bucket(search)
+
+
+def _dense_search(least: int, pct: int):
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, side = (pdf[c].to_numpy() for c in ("i", "j", "side"))
+        a, b = [], []
+        for s in _buckets(pdf):
+            part = pdf.iloc[s]
+            sk = np.stack([np.frombuffer(x, "<u4") for x in part["mins"]])
+            sets = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
+            found = dense_links(part["fp"].to_numpy(), pd.factorize(part["comp"])[0], sk, sets, side[s] if i[s][0] != j[s][0] else None, least, pct)
+            a.extend(found[0])
+            b.extend(found[1])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return _by_bucket(search)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,37 +390,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
                 yield pdf.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
 
     sketched = star.join(mins.select(F.col("fp").alias("b"), F.col("mins").alias("mb")), "b").join(mins.select(F.col("fp").alias("a"), F.col("mins").alias("ma")), "a")
-    fresh = stage(sketched.select("a", "b", "ma", "mb").mapInPandas(alike, "a binary, b binary"), "pairs")
-    tested, links, held_sets, left = fresh, None, None, True
-    for r in range(len(PIVOTS) + 1):  # the last number of pivots leaves nothing
-        need = fresh.select(F.col("a").alias("fp")).union(fresh.select(F.col("b").alias("fp"))).distinct()
-        if held_sets is not None:
-            need = need.join(held_sets.select("fp"), "fp", "left_anti")
-        rids = stage(classes.select("fp", "rid").join(need, "fp", "left_semi").select("rid").distinct(), "wanted")
-        new_sets = stage(full_sets(docs, rids, width, text_col), "sets")
-        held_sets = new_sets if held_sets is None else held_sets.unionByName(new_sets)
-        found = stage(confirm(fresh, held_sets, pct), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        if not left:
-            break
-        labelled = tables.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-        buckets = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("who"))
-        # buckets of the same documents are one
-        open_keys = stage(buckets.where("lo != hi and c > 2").groupBy("who", "c").agg(F.min("key").alias("key")).select("key", "c"), "open")
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
-        spread = labelled.join(open_keys, "key").join(mins, "fp").withColumn("s", blocks).withColumn("mine", mine)
-        grid = spread.select("key", "fp", "n", "comp", "mins", "mine", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other")).select(
-            "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "comp", "mins", F.when(F.col("mine") == F.col("other"), 0).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).alias("side")
-        )
-        dealt = grid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        chosen = stage(dealt.mapInPandas(_picker(PIVOTS[r], least, pct), "a binary, b binary").distinct(), "plausible")
-        fresh = stage(chosen.where("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
-        left = not chosen.where("a is null").isEmpty()
-        if fresh.isEmpty() and not left:
-            break
-        tested = tested.unionByName(fresh)
+    star = stage(sketched.select("a", "b", "ma", "mb").mapInPandas(alike, "a binary, b binary"), "pairs")
+
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        rids = classes.select("fp", "rid").join(wanted, "fp", "left_semi").select("rid").distinct()
+        return stage(full_sets(docs, rids, width, text_col), "sets")
+
+    ends = lambda pairs: pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    star_sets = sets_for(ends(star))
+    links = stage(confirm(star, star_sets, pct), "links")
+    # buckets that still hold several components, those of the same documents once
+    labelled = tables.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
+    buckets = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("who"))
+    open_keys = buckets.where("lo != hi and c > 2").groupBy("who", "c").agg(F.min("key").alias("key"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
+    spread = labelled.join(open_keys.select("key", "c"), "key").withColumn("s", blocks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
+    grid = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
+        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "comp", (F.col("mine") > F.col("other")).cast("int").alias("side")
+    )
+    grid = stage(grid, "open")
+    bucket = ["key", "i", "j"]
+    in_order = lambda df: df.repartition(*bucket).sortWithinPartitions(*bucket)
+    chosen = stage(in_order(grid.join(mins, "fp")).mapInPandas(_sketch_search(least, pct), "a binary, b binary, key long, i int, j int"), "plausible")
+    pairs = stage(chosen.where("a is not null").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    dense = stage(grid.join(chosen.where("key is not null").select(*bucket), bucket, "left_semi"), "dense")
+    more = sets_for(ends(pairs).union(dense.select("fp")).distinct().join(star_sets.select("fp"), "fp", "left_anti"))
+    sets = star_sets.unionByName(more)
+    inside = in_order(dense.join(mins, "fp").join(sets, "fp")).mapInPandas(_dense_search(least, pct), "a binary, b binary")
+    links = links.unionByName(stage(confirm(pairs, sets, pct).unionByName(inside), "links"))
+    roots = components(links)
     rooted = classes.select("fp", "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stage(rooted, "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root")
