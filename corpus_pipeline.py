@@ -19,7 +19,7 @@ LEAST_QUALITY = 0.5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: learned from the labelled rows that are not held out; rejected documents go."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, name="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.keep(docs, model, LEAST_QUALITY)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,3 +211,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     feats = feats.withColumns({f"{PREFIX}r_{k}": c for k, c in r.items()})
     column = model.column({k: F.col(f"{PREFIX}r_{k}") for k in FEATURES})
     return feats.withColumn(name, column).select(*[c for c in docs.columns if c != name], name)
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more.
+
+    A filter that is pushed below the projection would put every statistic in place of its name, once for
+    each test of each rule.  A row number in that projection is not deterministic, so the filter stays above
+    it and every statistic is computed once a row.
+    """
+    scored = score(docs, model, text_col, "__score").withColumn("__row", F.monotonically_increasing_id())
+    return scored.where((F.col("__row") >= 0) & (F.col("__score") >= least)).select(*docs.columns)
