@@ -26,6 +26,10 @@ class Catalog:
     TABLES = ("meta", "names", "entries", "blobs", "entry_blobs", "plan_log", "blocks")
 
 
+#: What entries of a scanned tree have besides.
+META = ("mode", "mtime_ns", "uid", "gid", "link_target")
+
+
 def parent_path(rel_path: Column) -> Column:
     """Null for a root."""
     parts = F.split(rel_path, "/", -1)
@@ -36,13 +40,18 @@ def base_name(rel_path: Column) -> Column:
     return F.substring_index(rel_path, "/", -1)
 
 
-def with_directories(files: DataFrame) -> DataFrame:
-    """``(rel_path, kind, file_id, size)`` with a row for each directory above a file."""
+def with_directories(entries: DataFrame) -> DataFrame:
+    """``entries (rel_path, size, ...)`` with a row for each directory above one that is not a row itself.
+
+    Without a ``kind``, every row is a file.  Other columns are null for added directories.
+    """
+    own = entries if "kind" in entries.columns else entries.select("rel_path", F.lit("file").alias("kind"), "file_id", "size")
     parts = F.split("rel_path", "/", -1)
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    dirs = files.where(F.size(parts) > 1).select(F.explode(F.array_distinct(above)).alias("rel_path")).distinct()
-    own = files.select("rel_path", F.lit("file").alias("kind"), "file_id", "size")
-    return own.unionByName(dirs.select("rel_path", F.lit("dir").alias("kind"), F.lit(None).cast("long").alias("file_id"), F.lit(0).cast("long").alias("size")))
+    dirs = entries.where(F.size(parts) > 1).select(F.explode(F.array_distinct(above)).alias("rel_path")).distinct()
+    if "kind" in entries.columns:
+        dirs = dirs.join(entries.where("kind = 'dir'").select("rel_path"), "rel_path", "left_anti")
+    return own.unionByName(dirs.select("rel_path", F.lit("dir").alias("kind"), F.lit(0).cast("long").alias("size")), allowMissingColumns=True)
 
 
 def names(entries: DataFrame) -> DataFrame:
@@ -51,11 +60,12 @@ def names(entries: DataFrame) -> DataFrame:
 
 
 def tree_entries(ordered: DataFrame, named: DataFrame) -> DataFrame:
-    """``(id, parent_id, name_id, kind, size, file_id)``; an unknown or missing parent is null."""
+    """``(id, parent_id, name_id, kind, size, file_id)`` and :data:`META` where ``ordered`` has them; an unknown or
+    missing parent is null."""
     keyed = ordered.withColumns({"parent": parent_path(F.col("rel_path")), "name": base_name(F.col("rel_path"))})
     parents = ordered.where("kind = 'dir'").select(F.col("rel_path").alias("parent"), F.col("entry_id").alias("parent_id"))
     joined = keyed.join(parents, "parent", "left").join(named.withColumnRenamed("id", "name_id"), "name")
-    return joined.select(F.col("entry_id").alias("id"), "parent_id", "name_id", "kind", "size", "file_id")
+    return joined.select(F.col("entry_id").alias("id"), "parent_id", "name_id", "kind", "size", "file_id", *[c for c in META if c in ordered.columns])
 
 
 def paths(entries: DataFrame, named: DataFrame) -> DataFrame:
@@ -97,16 +107,17 @@ def overview(entries: DataFrame, blobs: DataFrame) -> DataFrame:
     """Counts and sums; a block's compressed length counts once.  Works without block columns, as in older tables."""
     e = entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("original_bytes"))
     if "block_id" not in blobs.columns:
-        return e.join(blobs.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("ulen"), F.lit(0)).alias("unique_bytes"), F.coalesce(F.sum("clen"), F.lit(0)).alias("stored_bytes"), F.lit(0).alias("blocks")))
-    # partial sums a block, then one row; the three one-row tables meet in one
-    by = blobs.groupBy("block_id").agg(F.count("*").alias("n"), F.sum("ulen").alias("u"), F.sum("clen").alias("c"), F.max("clen").alias("m"))
-    b = by.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("blobs"),
-        F.coalesce(F.sum("u"), F.lit(0)).alias("unique_bytes"),
-        F.coalesce(F.sum(F.when(F.col("block_id").isNull(), F.col("c")).otherwise(F.col("m"))), F.lit(0)).alias("stored_bytes"),
-        F.count("block_id").alias("blocks"),
-    )
-    return e.join(b)
+        b = blobs.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("ulen"), F.lit(0)).alias("unique_bytes"), F.coalesce(F.sum("clen"), F.lit(0)).alias("stored_bytes"), F.lit(0).cast("long").alias("blocks"))
+    else:  # a row a block, then one row
+        by = blobs.groupBy("block_id").agg(F.count("*").alias("n"), F.sum("ulen").alias("u"), F.sum("clen").alias("c"), F.max("clen").alias("m"))
+        b = by.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("blobs"),
+            F.coalesce(F.sum("u"), F.lit(0)).alias("unique_bytes"),
+            F.coalesce(F.sum(F.when(F.col("block_id").isNull(), F.col("c")).otherwise(F.col("m"))), F.lit(0)).alias("stored_bytes"),
+            F.count("block_id").alias("blocks"),
+        )
+    both = e.unionByName(b, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("entries", "original_bytes", "blobs", "unique_bytes", "stored_bytes", "blocks")])
 
 
 def ratios(view: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Licence recognition by fingerprints, and line diffs against the recognised template.
 
-Templates are a small table ``(spdx, text)``: :data:`NOTICES` or the caller's own, for instance read
+Templates are a small table ``(spdx, text)``: the fixed ones or the caller's own, for instance read
 with :func:`read_templates` from a folder of licence files.
 """
 
@@ -14,13 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.dedup import sha
+from corpusmill.operators.fixed import LICENSES
 from corpusmill.operators.linediff import apply_ops, diff
 
-#: Short notices of our own for tests and demonstrations.
-NOTICES = {
-    "Demo-Permissive": "Copyright (c) YEAR HOLDER\n\nYou may use, change and share this work.\nKeep this notice with every copy.\nThere is no warranty of any kind.",
-    "Demo-Reciprocal": "Copyright (c) YEAR HOLDER\n\nYou may share changed copies under these same terms.\nState what you changed.\nThere is no warranty of any kind.",
-}
 MOST_PARAMS = 900
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 
@@ -40,24 +36,23 @@ def body(text: Column) -> Column:
 
 def templates(spark: SparkSession, notices: dict[str, str] | None = None) -> DataFrame:
     """``(spdx, template, full_sha, body_sha)``."""
-    rows = list((NOTICES if notices is None else notices).items())
+    rows = list((LICENSES if notices is None else notices).items())
     df = spark.createDataFrame(rows, "spdx string, text string")
     return df.select("spdx", normalised(F.col("text")).alias("template"), sha(normalised(F.col("text"))).alias("full_sha"), sha(body(F.col("text"))).alias("body_sha"))
 
 
 def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Licence texts ``<spdx>.txt`` of a folder on any store that Spark reads."""
+    """Licence texts ``<spdx>.txt`` of a folder on any store that Spark reads; a table for people, so it is small."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
     named = files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("spdx"), F.col("content").cast("string").alias("text"))
-    return {r["spdx"]: r["text"] for r in named.orderBy("spdx").limit(1000).collect()}
+    return {r["spdx"]: r["text"] for r in named.orderBy("spdx").collect()}
 
 
 def detect(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Add ``spdx`` and ``match`` (``full``, ``body`` or null); ``known`` is a handful of rows by nature."""
+    """Add ``spdx`` and ``match`` (``full``, ``body`` or null); ``known`` is a table that Spark broadcasts by its size."""
     h = files.withColumns({"__full": sha(normalised(F.col("content"))), "__body": sha(body(F.col("content")))})
-    few = known.limit(1000)
-    h = h.join(F.broadcast(few.select(F.col("full_sha").alias("__full"), F.col("spdx").alias("__s1"))), "__full", "left")
-    h = h.join(F.broadcast(few.select(F.col("body_sha").alias("__body"), F.col("spdx").alias("__s2"))), "__body", "left")
+    h = h.join(known.select(F.col("full_sha").alias("__full"), F.col("spdx").alias("__s1")), "__full", "left")
+    h = h.join(known.select(F.col("body_sha").alias("__body"), F.col("spdx").alias("__s2")), "__body", "left")
     return h.withColumn("spdx", F.coalesce("__s1", "__s2")).withColumn("match", F.when(F.col("__s1").isNotNull(), "full").when(F.col("__s2").isNotNull(), "body")).drop("__full", "__body", "__s1", "__s2")
 
 
@@ -74,7 +69,7 @@ def _compact(spdx: str, ops: list[tuple[str, list[str]]], newline: bool) -> str:
 def apply_rule(files: DataFrame, known: DataFrame) -> DataFrame:
     """Add ``params``: how the file follows from its template; null if it is not one, if the params exceed
     900 bytes, or if they would not restore the content byte for byte."""
-    found = detect(files, known).join(F.broadcast(known.limit(1000).select("spdx", "template")), "spdx", "left")
+    found = detect(files, known).join(known.select("spdx", "template"), "spdx", "left")
 
     @F.pandas_udf("string")
     def params(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -90,7 +85,7 @@ def apply_rule(files: DataFrame, known: DataFrame) -> DataFrame:
                 out.append(p if len(p.encode()) <= MOST_PARAMS and restore(t, p) == c else None)
             yield pd.Series(out, dtype=object)
 
-    return found.withColumn("params", params("spdx", "match", "template", "content")).drop("template")
+    return found.withColumn("params", params("spdx", "match", "template", F.when(F.col("spdx").isNotNull(), F.col("content")))).drop("template")
 
 
 def restore(template: str, params: str) -> str:
@@ -100,10 +95,10 @@ def restore(template: str, params: str) -> str:
         ops, at = [], 0
         for o in p["ops"]:
             if o["k"] == "=":
-                ops.append(("=", lines[at : at + o["n"]]))
-                at += o["n"]
+                ops.append(("=", lines[at : at + o.get("n", 0)]))
+                at += o.get("n", 0)
             else:
-                ops.append((o["k"], [o["l"]]))
+                ops.append((o["k"], [o.get("l", "")]))
                 at += o["k"] == "-"
         lines = apply_ops(lines, ops)
     return "\n".join(lines) + ("\n" if p.get("nl") else "")

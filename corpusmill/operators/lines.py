@@ -7,10 +7,12 @@ more than 5 bytes count.  A dictionary maps up to 254 lines to single bytes that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.operators.fixed import GO_LINES
+
 MOST_ENTRIES = 254
 
 
@@ -53,6 +55,12 @@ def line_dictionary(frequency: DataFrame, entries: int = MOST_ENTRIES) -> DataFr
     return ranked.select("idx", "line", code_of(F.col("idx")).alias("code"))
 
 
+def fixed_dictionary(spark: SparkSession) -> DataFrame:
+    """``(idx, line, code)`` of the lines of Go sources that ``go-line-subst/v1`` stands for."""
+    rows = spark.createDataFrame(list(enumerate(GO_LINES)), "idx int, line string")
+    return rows.withColumn("code", code_of(F.col("idx")))
+
+
 def _maps(dictionary: DataFrame) -> tuple[Column, Column]:
     rows = dictionary.select("line", "code").collect()  # at most 254
     if not rows:

@@ -1,43 +1,108 @@
-"""Packing unique blobs into shared compression blocks, and unpacking them."""
+"""Packing unique blobs into shared compression blocks, compressing blobs on their own, and unpacking."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusmill.plans.staging import ship_package
+from corpusmill.plans.staging import ship_package, stage
 
 DEFAULT_BLOCK = 4 << 20
 NONE, ZSTD, ZSTD_DICT, SOLID = 0, 1, 2, 3
+STORED = "block_id long, blob_id long, payload binary, ulen long, clen long"
+
+
+def block_starts(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of non-empty blobs in order: running sums with a leading 0, and for a block that starts at blob i,
+    the blob that starts the next one (``len(sizes)``: none)."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    nxt = np.searchsorted(sums, sums[:-1] + most, "right") - 1
+    return sums, np.maximum(nxt, np.arange(1, len(sizes) + 1))
+
+
+def _first_break(sums: np.ndarray, used: int, most: int) -> int:
+    """The first blob that no longer fits after ``used`` bytes; none are used: the block that begins with blob 0."""
+    return max(0, int(np.searchsorted(sums, most - used, "right")) - 1)
+
+
+def _outcomes(pdf: pd.DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every blob that can be a run's first break: sums through it, and how many blocks more and bytes
+    in the last one the run then ends with."""
+    sizes = pdf.sort_values("blob_id")["ulen"].to_numpy(np.int64)
+    sizes = sizes[sizes > 0]
+    sums, nxt = block_starts(sizes, most)
+    n = len(sizes)
+    more, used = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(n - 1, -1, -1):
+        j = nxt[i]
+        more[i], used[i] = (0, sums[n] - sums[i]) if j == n else (more[j] + 1, used[j])
+    can = min(n, _first_break(sums, 0, most) + 1)
+    return sums[1 : can + 1], more[:can], used[:can]
 
 
 def pack(blobs: DataFrame, most: int = DEFAULT_BLOCK) -> DataFrame:
     """``(blob_id, ulen, block_id, block_offset)``: in id order, a blob starts a new block if the current one
     has bytes and would exceed ``most``; an empty blob never does.
 
-    The rule depends on all rows before, so ids and lengths alone go through one sorted stream of constant
-    memory; contents stay where they are.
+    The rule depends on all rows before, but only through the bytes used so far.  Runs of ids are dealt
+    out by range; each run tells, for every blob that may be its first to start a block (those within its
+    first ``most`` bytes), how it would end.  One row a run is then chained, and the runs place their
+    blobs side by side.  Contents stay where they are.
     """
     ship_package(blobs.sparkSession)
+    slim = blobs.select(F.col("blob_id").cast("long").alias("blob_id"), F.col("ulen").cast("long").alias("ulen"))
+    runs = stage(slim.repartitionByRange("blob_id").withColumn("run", F.spark_partition_id()), "runs")
+
+    def outcome(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        through, more, used = _outcomes(pdf, most)
+        return pd.DataFrame({"run": [key[0]], "total": [int(pdf["ulen"].sum())], "through": [through], "more": [more], "used": [used]})
 
-    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chain(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, used = 0, 0
         for pdf in it:
-            ids, offsets = [], []
-            for n in pdf["ulen"].to_numpy():
-                if used > 0 and n > 0 and used + n > most:
-                    block, used = block + 1, 0
-                ids.append(block)
-                offsets.append(used)
-                used += int(n)
-            yield pdf.assign(block_id=ids, block_offset=offsets)
-
-    slim = blobs.select(F.col("blob_id").cast("long").alias("blob_id"), F.col("ulen").cast("long").alias("ulen"))
-    return slim.repartition(1).sortWithinPartitions("blob_id").mapInPandas(fold, "blob_id long, ulen long, block_id long, block_offset long")
+            starts = []
+            for r in pdf.itertuples(index=False):
+                starts.append((r.run, block, used))
+                if used + r.total <= most:
+                    used += int(r.total)
+                elif not used:
+                    block, used = block + int(r.more[0]), int(r.used[0])
+                else:
+                    j = int(np.searchsorted(np.asarray(r.through), most - used, "right"))
+                    block, used = block + 1 + int(r.more[j]), int(r.used[j])
+            yield pd.DataFrame(starts, columns=["run", "block", "used"])
+
+    ends = runs.groupBy("run").applyInPandas(outcome, "run int, total long, through array<long>, more array<long>, used array<long>")
+    # a row for each run, so the stream that chains them is short
+    starts = ends.repartition(1).sortWithinPartitions("run").mapInPandas(chain, "run int, block long, used long")
+
+    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, block, used = (int(x) for x in key)
+        pdf = pdf.sort_values("blob_id", ignore_index=True)
+        sizes = pdf["ulen"].to_numpy(np.int64)
+        some = sizes > 0
+        sums, nxt = block_starts(sizes[some], most)
+        n = len(nxt)
+        begins = np.zeros(n, np.int64)
+        at = _first_break(sums, used, most) if used else (int(nxt[0]) if n else 0)
+        while at < n:
+            begins[at] = 1
+            at = int(nxt[at])
+        base = np.maximum.accumulate(np.where(begins > 0, sums[:-1], -1)) if n else np.zeros(0, np.int64)
+        offsets = np.where(base >= 0, sums[:-1] - base, sums[:-1] + used)
+        # block and bytes used after k non-empty blobs; an empty blob takes none
+        ids = np.concatenate([[block], block + np.cumsum(begins)])
+        ends = np.concatenate([[used], offsets + sizes[some]])
+        k = np.cumsum(some)
+        return pdf.assign(block_id=ids[k], block_offset=ends[k] - sizes)[["blob_id", "ulen", "block_id", "block_offset"]]
+
+    return runs.join(stage(starts, "run-starts"), "run").groupBy("run", "block", "used").applyInPandas(place, "blob_id long, ulen long, block_id long, block_offset long")
 
 
 def compressed(content: Column, level: int = 3, dictionary: bytes | None = None) -> Column:
@@ -54,53 +119,88 @@ def compressed(content: Column, level: int = 3, dictionary: bytes | None = None)
 
 
 def decompressed(frame: Column, dictionary: bytes | None = None) -> Column:
+    """The bytes of a frame, with or without a content size in its header."""
+
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for s in batches:
-            yield s.map(d.decompress, na_action="ignore")
+            yield s.map(lambda x: d.decompressobj().decompress(x), na_action="ignore")
 
     return run(frame)
 
 
 def blocks(contents: DataFrame, packed: DataFrame, level: int = 3) -> DataFrame:
-    """``(block_id, payload, ulen, clen)``; ``contents (blob_id, bytes)``.  A block is at most ``most`` bytes, or one blob."""
+    """:data:`STORED` rows, one a block; ``contents (blob_id, bytes)``.  A block is at most ``most`` bytes, or one blob."""
     ship_package(contents.sparkSession)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_offset", kind="stable")
+        pdf = pdf.sort_values(["block_offset", "blob_id"], kind="stable")
         data = b"".join(pdf["bytes"])
         frame = zstandard.ZstdCompressor(level=level).compress(data)
-        return pd.DataFrame({"block_id": [pdf["block_id"].iloc[0]], "payload": [frame], "ulen": [len(data)], "clen": [len(frame)]})
+        return pd.DataFrame({"block_id": [pdf["block_id"].iloc[0]], "blob_id": pd.array([None], "Int64"), "payload": [frame], "ulen": [len(data)], "clen": [len(frame)]})
 
     joined = contents.join(packed, "blob_id").select("block_id", "block_offset", "blob_id", "bytes")
-    return joined.groupBy("block_id").applyInPandas(build, "block_id long, payload binary, ulen long, clen long")
-
-
-def unpack(packed: DataFrame, stored: DataFrame) -> DataFrame:
-    """``(blob_id, bytes)``: every block is decoded once, before its blobs are cut out."""
-    whole = stored.select("block_id", decompressed(F.col("payload")).alias("data"))
+    return joined.groupBy("block_id").applyInPandas(build, STORED)
+
+
+def single(contents: DataFrame, compressor: str = "zstd", level: int = 3, dictionary: bytes | None = None, dict_after: int = 0) -> DataFrame:
+    """:data:`STORED` rows with ``compressed``, one a blob: as it is (``none``), as a frame of its own, or, for
+    ids above ``dict_after``, as a frame with the dictionary."""
+    if compressor not in ("zstd", "none"):
+        raise ValueError(f"unknown compressor: {compressor}")
+    if compressor == "none":
+        out = contents.withColumn("payload", F.col("bytes")).withColumn("compressed", F.lit(NONE))
+    elif dictionary is None:
+        out = contents.withColumn("payload", compressed(F.col("bytes"), level)).withColumn("compressed", F.lit(ZSTD))
+    else:
+        early = contents.where(F.col("blob_id") <= dict_after).withColumn("payload", compressed(F.col("bytes"), level)).withColumn("compressed", F.lit(ZSTD))
+        late = contents.where(F.col("blob_id") > dict_after).withColumn("payload", compressed(F.col("bytes"), level, dictionary)).withColumn("compressed", F.lit(ZSTD_DICT))
+        out = early.unionByName(late)
+    return out.select(F.lit(None).cast("long").alias("block_id"), "blob_id", "payload", F.octet_length("bytes").cast("long").alias("ulen"), F.octet_length("payload").cast("long").alias("clen"), "compressed")
+
+
+def unpack(blobs: DataFrame, stored: DataFrame, dictionary: bytes | None = None) -> DataFrame:
+    """``(blob_id, bytes)`` of ``blobs (blob_id, ulen, block_id, block_offset, compressed)``: every block is
+    decoded once, before its blobs are cut out.  A blob that the store lacks is empty."""
+    whole = stored.where("block_id is not null").select("block_id", decompressed(F.col("payload")).alias("data"))
     cut = F.substring(F.col("data"), (F.col("block_offset") + 1).cast("int"), F.col("ulen").cast("int"))
-    return packed.join(whole, "block_id").select("blob_id", cut.alias("bytes"))
+    solid = blobs.where(F.col("compressed") == SOLID).join(whole, "block_id", "left").select("blob_id", cut.alias("bytes"))
+    alone = blobs.where(F.col("compressed") != SOLID).select("blob_id", "compressed").join(stored.where("blob_id is not null").select("blob_id", "payload"), "blob_id", "left")
+    raw = alone.where(F.col("compressed") == NONE).select("blob_id", F.col("payload").alias("bytes"))
+    plain = alone.where(F.col("compressed") == ZSTD).select("blob_id", decompressed(F.col("payload")).alias("bytes"))
+    with_dict = alone.where(F.col("compressed") == ZSTD_DICT).select("blob_id", decompressed(F.col("payload"), dictionary).alias("bytes"))
+    every = solid.unionByName(raw).unionByName(plain).unionByName(with_dict)
+    return every.select("blob_id", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
 
 
 def dict_samples(files: DataFrame, most: int = 500, least_bytes: int = 1, most_bytes: int = 64 << 10, total: int = 8 << 20) -> DataFrame:
     """``(file_id, n, before)``: the files, in id order, from which a dictionary is trained: until there are
     ``most`` of them or ``total`` bytes."""
-    from pyspark.sql.window import Window
+    return _sampled(files, most, least_bytes, most_bytes).where(F.col("before") < total)
+
+
+def online_samples(files: DataFrame, most: int = 500, least_bytes: int = 1, most_bytes: int = 64 << 10, least: int = 8, enough: int = 32 << 10) -> DataFrame:
+    """As :func:`dict_samples`, for training while writing: until there are ``least`` files with ``enough``
+    bytes together, or ``most`` files."""
+    return _sampled(files, most, least_bytes, most_bytes).where((F.col("n") <= least) | (F.col("before") < enough))
+
 
+def _sampled(files: DataFrame, most: int, least_bytes: int, most_bytes: int) -> DataFrame:
     some = files.where(F.col("size").between(least_bytes, most_bytes)).select("file_id", "size")
     # nothing after the first ``most`` can be taken, so only these reach the window
     head = some.orderBy("file_id").limit(most)
     order = Window.orderBy("file_id")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return head.withColumn("n", F.row_number().over(order)).withColumn("before", before).where(F.col("before") < total).select("file_id", "n", "before")
+    return head.withColumn("n", F.row_number().over(order)).withColumn("before", before).select("file_id", "n", "before")
 
 
-def train_dictionary(files: DataFrame, size: int = 32 << 10, least: int = 8) -> bytes | None:
+def train_dictionary(files: DataFrame, samples: DataFrame | None = None, size: int = 32 << 10, least: int = 8) -> bytes | None:
     """A zstd dictionary of the bounded sample, or None if there are too few files or the trainer gives up."""
-    sample = files.join(F.broadcast(dict_samples(files).select("file_id")), "file_id").orderBy("file_id").select(F.col("content").cast("binary").alias("c"))
-    data = [bytes(r["c"]) for r in sample.collect()]  # at most 8 MiB
+    ids = dict_samples(files) if samples is None else samples
+    # at most 500 ids and 8 MiB, the bounds of the sample
+    sample = files.join(F.broadcast(ids.select("file_id")), "file_id").orderBy("file_id").select(F.col("content").cast("binary").alias("c"))
+    data = [bytes(r["c"]) for r in sample.collect()]
     if len(data) < least:
         return None
     try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,36 @@ from corpusmill.plans import rules as R
 from corpusmill.plans.staging import stage
 
 
-def build(files: DataFrame, dictionary: DataFrame, known: DataFrame, rules: tuple[R.Rule, ...] = R.DEFAULT, disabled: tuple[str, ...] = (), block_bytes: int = solid.DEFAULT_BLOCK, level: int = 3, keep_log: bool = True) -> catalog.Catalog:
-    """``files (file_id, rel_path, content, size)`` with text content, directories implied by paths."""
+def build(
+    files: DataFrame,
+    dictionary: DataFrame | None = None,
+    known: DataFrame | None = None,
+    rules: tuple[R.Rule, ...] = R.DEFAULT,
+    disabled: tuple[str, ...] = (),
+    block_bytes: int = solid.DEFAULT_BLOCK,
+    level: int = 3,
+    keep_log: bool = True,
+    compressor: str = "zstd",
+    train: str | None = None,
+) -> catalog.Catalog:
+    """Catalog of ``files (rel_path, content, size)``, with ``kind`` (else all are files), ``file_id`` (else
+    the entry's number) and the metadata of a scanned tree where given.  Missing directories are added.
+
+    ``block_bytes`` 0: every blob is stored on its own, by ``compressor`` (``zstd`` or ``none``) and, with
+    ``train``, with a dictionary of a bounded sample of the files (``prescan``) or of the first blobs
+    (``simple``; later blobs use it).
+    """
     spark = files.sparkSession
-    every = planner.write_order(catalog.with_directories(files))
-    ordered = files.join(every.where("kind = 'file'").select("file_id", "entry_id"), "file_id")
+    dictionary = lines.fixed_dictionary(spark) if dictionary is None else dictionary
+    known = license.templates(spark) if known is None else known
+    if "kind" not in files.columns:
+        files = files.withColumn("kind", F.lit("file"))
+    every = planner.write_order(catalog.with_directories(files.drop("content", "path")))
+    if "file_id" not in files.columns:
+        every = every.withColumn("file_id", F.when(F.col("kind") == "file", F.col("entry_id")))
+    every = stage(every, "order")
+    own = files.where("kind = 'file'").drop("file_id").withColumn("content", F.col("content").cast("string"))
+    ordered = own.join(every.where("kind = 'file'").select("rel_path", "entry_id", "file_id"), "rel_path")
     log = stage(planner.plan(ordered, dictionary, known, rules, disabled), "log")
     shown = planner.handled(ordered, dictionary, known, tuple(r for r in rules if r.id not in disabled))
     out = F.col("content")
@@ -28,17 +55,33 @@ def build(files: DataFrame, dictionary: DataFrame, known: DataFrame, rules: tupl
     if "template" in shown.columns:
         param = F.when(F.col("transform") == R.LOG.id, F.to_json(F.struct(F.col("template").alias("tmpl")))).otherwise(param)
     chosen = shown.join(log.select("file_id", "transform", "stored_sha"), "file_id")
-    kept = stage(chosen.select("file_id", "entry_id", "transform", "stored_sha", param.alias("params"), F.encode(F.coalesce(out, F.lit("")), "utf-8").alias("bytes")), "stored")
+    kept = stage(chosen.select("file_id", "entry_id", "transform", "stored_sha", param.alias("params"), F.coalesce(out, F.lit("")).cast("binary").alias("bytes")), "stored")
     stored = kept.where(F.coalesce("transform", F.lit("")) != R.DEDUP.id).groupBy(F.col("stored_sha").alias("sha")).agg(F.first("bytes").alias("bytes"))
     sizes = kept.groupBy(F.col("stored_sha").alias("sha")).agg(F.max(F.octet_length("bytes")).cast("long").alias("ulen"))
     blobs = stage(catalog.blob_table(log, sizes), "blobs")
-    packed = stage(solid.pack(blobs, block_bytes), "packed")
-    blocks = stage(solid.blocks(blobs.select("blob_id", "sha").join(stored, "sha").select("blob_id", "bytes"), packed, level), "blocks")
+    payload = blobs.select("blob_id", "sha").join(stored, "sha").select("blob_id", "bytes")
+    meta = [("version", "1"), ("transforms", ",".join(r.id for r in rules))]
+    if block_bytes:
+        packed = stage(solid.pack(blobs, block_bytes), "packed")
+        blocks = stage(solid.blocks(payload, packed, level), "blocks")
+        # a block's length is on every row of it; a trailing run of empty blobs may have no block
+        full = blobs.join(packed.select("blob_id", "block_id", "block_offset"), "blob_id").join(blocks.select("block_id", "clen"), "block_id", "left").withColumn("compressed", F.lit(solid.SOLID))
+    else:
+        after, trained = 0, None
+        if train == "prescan":
+            trained = solid.train_dictionary(ordered.select(F.col("entry_id").alias("file_id"), "size", "content"))
+        elif train == "simple":
+            small = payload.select(F.col("blob_id").alias("file_id"), F.octet_length("bytes").cast("long").alias("size"), F.col("bytes").alias("content"))
+            sample = stage(solid.online_samples(small), "samples")
+            trained, after = solid.train_dictionary(small, sample), sample.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+        if trained:
+            meta.append(("dict", base64.b64encode(trained).decode()))
+        singles = stage(solid.single(payload, compressor, level, trained, after), "blocks")
+        blocks = singles.drop("compressed")
+        full = blobs.join(singles.select("blob_id", "block_id", "clen", "compressed"), "blob_id").withColumn("block_offset", F.lit(None).cast("long"))
     named = stage(catalog.names(every), "names")
     entries = catalog.tree_entries(every, named).join(kept.select(F.col("entry_id").alias("id"), "transform", "params"), "id", "left")
-    full = blobs.join(packed.select("blob_id", "block_id", "block_offset"), "blob_id").join(blocks.select("block_id", "clen"), "block_id").withColumn("compressed", F.lit(solid.SOLID))
-    meta = spark.createDataFrame([("version", "1"), ("transforms", ",".join(r.id for r in rules))], "key string, value string")
-    return catalog.Catalog(meta, named, entries, full, catalog.entry_blobs(log, blobs), log if keep_log else None, blocks)
+    return catalog.Catalog(spark.createDataFrame(meta, "key string, value string"), named, entries, full, catalog.entry_blobs(log, blobs), log if keep_log else None, blocks)
 
 
 def check_transforms(entries: DataFrame, rules: tuple[R.Rule, ...] = R.ALL) -> DataFrame:
@@ -46,12 +89,14 @@ def check_transforms(entries: DataFrame, rules: tuple[R.Rule, ...] = R.ALL) -> D
     return entries.where(F.col("transform").isNotNull() & ~F.col("transform").isin([r.id for r in rules])).select("transform").distinct()
 
 
-def restore(c: catalog.Catalog, dictionary: DataFrame, known: DataFrame, rules: tuple[R.Rule, ...] = R.ALL) -> DataFrame:
-    """``(id, rel_path, kind, content)``; an unknown rule id is an error before any output."""
+def restore(c: catalog.Catalog, dictionary: DataFrame | None = None, rules: tuple[R.Rule, ...] = R.ALL) -> DataFrame:
+    """``(id, rel_path, kind, content)`` and the entries' metadata; an unknown rule id is an error before any output."""
+    dictionary = lines.fixed_dictionary(c.entries.sparkSession) if dictionary is None else dictionary
     unknown = [r["transform"] for r in check_transforms(c.entries, rules).limit(5).collect()]
     if unknown:
         raise ValueError(f"unknown transforms: {unknown}")
-    data = solid.unpack(c.blobs.select("blob_id", "ulen", "block_id", "block_offset"), c.blocks)
+    trained = [base64.b64decode(r["value"]) for r in c.meta.where("key = 'dict'").collect()]
+    data = solid.unpack(c.blobs, c.blocks, trained[0] if trained else None)
     whole = c.entries.join(c.entry_blobs.where("seq = 0").select(F.col("entry_id").alias("id"), "blob_id"), "id", "left").join(data, "blob_id", "left")
     whole = whole.withColumn("stored", F.col("bytes").cast("string")).drop("bytes")
     whole = lines.decode(whole, dictionary, "stored", "__lines")
@@ -73,4 +118,4 @@ def restore(c: catalog.Catalog, dictionary: DataFrame, known: DataFrame, rules:
         .otherwise(F.col("stored"))
     )
     paths = catalog.paths(c.entries, c.names)
-    return every.select("id", "kind", F.when(F.col("kind") == "file", content).alias("content")).join(paths.withColumnRenamed("path", "rel_path"), "id")
+    return every.select("id", "kind", F.when(F.col("kind") == "file", content).alias("content"), *[m for m in catalog.META if m in c.entries.columns]).join(paths.withColumnRenamed("path", "rel_path"), "id")

@@ -43,7 +43,7 @@ def handled(files: DataFrame, dictionary: DataFrame, known: DataFrame, rules: tu
     if R.LINES in rules:
         df = lines.encode(df, dictionary, "__out_lines")
     if R.LICENSE in rules:
-        df = license.apply_rule(df, known).join(F.broadcast(known.limit(1000).select("spdx", F.col("template").alias("__t"))), "spdx", "left")
+        df = license.apply_rule(df, known).join(known.select("spdx", F.col("template").alias("__t")), "spdx", "left")
         df = df.withColumn("__out_license", F.when(F.col("params").isNotNull(), F.col("__t"))).drop("__t", "spdx", "match")
     if R.JSON in rules:
         df = df.withColumn("__out_json", canonical.canonical_json(F.col("content")))

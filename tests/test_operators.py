@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill import functions as fn
-from corpusmill.operators import canonical, catalog, dedup, license, linediff, lines, solid
+from corpusmill.operators import canonical, catalog, dedup, fixed, license, linediff, lines, solid
 from corpusmill.operators.ordering import numbered
 from corpusmill.plans import archive, planner, staging
 from corpusmill.plans import rules as R
@@ -72,8 +72,8 @@ def test_log_template(spark):
 
 def test_license(spark):
     known = license.templates(spark)
-    text = license.NOTICES["Demo-Permissive"]
-    cases = [text, text.replace("YEAR HOLDER", "2020 Ann"), text.replace("\n", "\r\n"), "  " + text, text + "\n", "something else", "", None, text.replace("YEAR HOLDER", "x" * 2000)]
+    text = fixed.LICENSES["MIT"]
+    cases = [text, text.replace("[year] [fullname]", "2020 Ann"), text.replace("\n", "\r\n"), "  " + text, text + "\n", "something else", "", None, text.replace("[year] [fullname]", "x" * 2000)]
     files = spark.createDataFrame([(i, "LICENSE", c) for i, c in enumerate(cases)], "file_id int, rel_path string, content string")
     got = license.apply_rule(files, known).orderBy("file_id").collect()
     assert [r["match"] for r in got] == ["full", "body", "full", "full", "full", None, None, None, "body"]
@@ -150,7 +150,7 @@ def folder(tmp_path):
     for name in ("a.txt", "b.txt", "sub/c.txt"):
         (src / name).write_bytes(shared)
     (src / "main.go").write_text("package main\n\treturn nil, err\n" * 20)
-    (src / "LICENSE").write_text(license.NOTICES["Demo-Permissive"].replace("YEAR HOLDER", "2020 Ann") * 1 + "\n")
+    (src / "LICENSE").write_text(fixed.LICENSES["MIT"].replace("[year] [fullname]", "2020 Ann") * 1 + "\n")
     (src / "empty").write_bytes(b"")
     os.symlink("a.txt", src / "link")
     os.chmod(src / "sub" / "c.txt", 0o600)
@@ -200,13 +200,27 @@ def test_archive(spark, folder, tmp_path):
     assert again.entries.count() == 7 and again.blobs.count() == 4  # the text, the lines, the notice, nothing
     log = {r["rel_path"]: r["transform_id"] for r in again.plan_log.join(files.select("file_id", "rel_path"), "file_id").collect()}
     assert log["sub/c.txt"] == "dedup/v1" and log["main.go"] == "go-line-subst/v1" and log["empty"] is None
-    back = {r["rel_path"]: r["content"] for r in archive.restore(again, words, known).where("kind = 'file'").collect()}
+    back = {r["rel_path"]: r["content"] for r in archive.restore(again, words).where("kind = 'file'").collect()}
     assert back == {r["rel_path"]: r["content"] for r in files.collect()}
     view = catalog.ratios(catalog.overview(again.entries, again.blobs)).first()
     assert view["entries"] == 7 and view["blobs"] == 4 and view["stored_bytes"] > 0
     wrong = catalog.Catalog(again.meta, again.names, again.entries.withColumn("transform", F.lit("other/v9")), again.blobs, again.entry_blobs, None, again.blocks)
     with pytest.raises(ValueError, match="unknown transforms"):
-        archive.restore(wrong, words, known)
+        archive.restore(wrong, words)
+
+
+@pytest.mark.parametrize("options", [{"compressor": "none"}, {"train": "simple"}, {"train": "prescan", "keep_log": False}])
+def test_tree_through_an_archive(spark, folder, tmp_path, options):
+    for i in range(40):
+        (folder / f"n{i}.txt").write_text(f"number {i}\n" + "words that all of these files share " * 40 + str(i * i))
+    entries = staging.stage(tree.with_content(tree.scan(spark, [str(folder)])))
+    built = archive.build(entries, block_bytes=0, **options)
+    modes = {r["compressed"] for r in built.blobs.select("compressed").distinct().collect()}
+    assert modes == ({0} if options.get("compressor") == "none" else {1, 2} if options["train"] == "simple" else {2})
+    tree.write_tree(archive.restore(built), str(tmp_path / "back"))
+    for r in entries.where("kind <> 'dir'").collect():
+        a, b = folder / r["rel_path"], tmp_path / "back" / r["rel_path"]
+        assert os.readlink(a) == os.readlink(b) if r["kind"] == "link" else a.read_bytes() == b.read_bytes()
 
 
 def test_plan_skips_for_cost(spark):
