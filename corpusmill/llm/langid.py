@@ -2,9 +2,10 @@
 
 Per language, a bounded sample of labelled text becomes a suffix automaton.  A text is parsed greedily
 into the longest phrases that occur in a language's sample; the fewer phrases a character, the closer
-the text to the language: phrases are normalised to ``phrases * log2(sample) / characters``, the
-cross-parsing estimate of bits a character.  The language with the fewest wins; ties go to the
-smaller name.
+the text to the language: phrases are normalised to ``phrases * log2(sample + SMOOTH) / characters``,
+the cross-parsing estimate of bits a character, by the length of the language's own sample.  Without
+``SMOOTH`` a sample of a few letters would name its phrases in so few bits that it wins every text.
+The language with the fewest bits wins; ties go to the smaller name.
 
 Automata are compiled to a table ``next[state, class]`` whose low bit says that a phrase ended, so a
 whole batch of texts advances one character at a time in numpy.  Texts are read whole, in segments of
@@ -30,6 +31,7 @@ from pyspark.sql.window import Window
 from corpusmill.plans.staging import ship_package
 
 SEGMENT = 512
+SMOOTH = 256
 _SPACE = re.compile(r"[\W\d_]+")
 
 
@@ -100,14 +102,13 @@ def compiled(codes: np.ndarray, classes: int) -> np.ndarray:
 
 
 class Model:
-    """Automata of equally long samples, by language."""
+    """Automata of the samples, each of its own length, by language."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.alphabet = Alphabet("".join(samples.values()))
-        least = min((len(x) for x in samples.values()), default=0)
-        self.bits = math.log2(max(2, least))
-        self.tables = [compiled(self.alphabet.encode(samples[k][:least]), self.alphabet.size) for k in self.langs]
+        self.bits = np.log2([len(samples[k]) + SMOOTH for k in self.langs])
+        self.tables = [compiled(self.alphabet.encode(samples[k]), self.alphabet.size) for k in self.langs]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """``(texts, languages)`` phrase counts of normalised texts."""

@@ -347,6 +347,26 @@ def test_language(spark):
     assert langid.identify(empty(spark), langid.fit(docs)).count() == 0
 
 
+@pytest.mark.parametrize("stray", ["a", "the", "on line", "read more here"])
+def test_language_with_a_rare_label(spark, stray):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    rare = spark.createDataFrame([(-1, stray, "zz")], docs.schema)
+    got = langid.identify(docs.where(out), langid.fit(docs.where(~out).unionByName(rare))).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got["lang_pred"] == got["lang"]).mean() >= 0.97
+
+
+def test_a_short_sample_is_learned_and_weakens_only_itself():
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").dropna(subset=["text", "lang"])
+    out = d["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    full = {k: "".join(map(langid.normal, g["text"]))[:60_000] for k, g in d[~out].groupby("lang")}
+    test = d[out]
+    for rare in full:
+        model = langid.Model(full | {rare: full[rare][:300]})
+        right = np.array(model.predict([t[:512] for t in test["text"]])[0]) == test["lang"].to_numpy()
+        assert right.mean() >= 0.97 and right[test["lang"] == rare].mean() >= 0.9
+
+
 # --- SentencePiece
 
 
