@@ -51,7 +51,9 @@ HOST_RULES = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"),
 #: Pages that hold no prose of their own, whatever their host.
 PATTERN_RULES = (
     pattern_rule("login", "block", r"/(?:wp-)?login(?:\.php)?(?:[/?#]|$)", "login"),
-    pattern_rule("signup", "block", r"/sign-?up(?:[/?#]|$)", "signup"),
+    # every stated token must be a whole token of every URL that fits, so each spelling is a rule
+    pattern_rule("signup", "block", r"/signup(?:[/?#]|$)", "signup"),
+    pattern_rule("sign-up", "block", r"/sign-up(?:[/?#]|$)", "sign", "up"),
     pattern_rule("cart", "block", r"/(?:shopping-)?cart(?:[/?#]|$)", "cart"),
     pattern_rule("checkout", "block", r"/checkout(?:[/?#]|$)", "checkout"),
     *(pattern_rule(t, "block", rf"://[^/?#]*\b{t}\b", t) for t in ("casino", "bets", "pills", "spam", "adult", "porn", "ads", "adserver")),

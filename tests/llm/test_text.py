@@ -286,6 +286,47 @@ def test_urls(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def spellings(nodes):
+    """A text for each way through a parsed pattern: every branch, optional part and listed character."""
+    out = [""]
+    for op, arg in nodes:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = ["q"] if str(arg[0][0]) == "NEGATE" else [chr(x) for _, x in arg]
+        elif name == "MAX_REPEAT":
+            some = [t for n in {arg[0], min(arg[1], 1)} for t in ([""] if n == 0 else spellings(arg[2]))]
+        elif name == "SUBPATTERN":
+            some = spellings(arg[3])
+        elif name == "BRANCH":
+            some = [t for x in arg[1] for t in spellings(x)]
+        else:
+            assert name == "AT", name
+            some = [""]
+        out = [x + y for x in out for y in some]
+    return out
+
+
+def test_every_pattern_alternative_is_fetched(spark):
+    urls = []
+    for rule in urlfilter.PATTERN_RULES:
+        for t in spellings(re._parser.parse(rule.regex)):
+            for x in (t, t.upper()):
+                start = "http" if x.startswith("://") else "http://a.com"
+                urls += [start + x + end for end in ("", "x", "-x", "_x", ".com/", "/x", "?x=y")]
+    assert {"http://a.com/sign-up", "http://a.com/signup", "http://a.com/wp-login.php?", "http://a.com/SHOPPING-CART/"} <= set(urls)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = urlfilter.judge(df).toPandas().sort_values("page_id")
+    fitting = [[r.name for r in urlfilter.PATTERN_RULES if re.search(r.regex, u.lower())] for u in urls]
+    assert {n for names in fitting for n in names} == {r.name for r in urlfilter.PATTERN_RULES}
+    assert got["rule"].isna().all()
+    assert [u for u, v, p, names in zip(urls, got["verdict"], got["pattern"], fitting, strict=True) if (v == "block") != bool(names) or (names and p not in names)] == []
+    db = duckdb.connect()
+    db.register("pages", pd.DataFrame({"page_id": range(len(urls)), "url": urls}))
+    assert got["verdict"].tolist() == db.execute(urlfilter.ORACLE).df().sort_values("page_id")["verdict"].tolist()
+
+
 # --- quality and language
 
 
