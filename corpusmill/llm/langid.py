@@ -7,8 +7,9 @@ the cross-parsing estimate of bits a character, by the length of the language's
 ``SMOOTH`` a sample of a few letters would name its phrases in so few bits that it wins every text.
 The language with the fewest bits wins; ties go to the smaller name.
 
-Automata are compiled to a table ``next[state, class]`` whose low bit says that a phrase ended, so a
-whole batch of texts advances one character at a time in numpy.  Texts are read whole, in segments of
+Every label is learned.  Automata are held by their edges and laid out one language at a time as a
+table ``next[state, class]`` whose low bit says that a phrase ended, so a whole batch of texts advances
+one character at a time in numpy; tables stay as far as ``TABLE_BYTES`` go.  Texts are read whole, in segments of
 fixed length that are parsed side by side; a phrase never crosses a segment.
 
 Letters are lower-cased; runs of anything else are one space.  Null texts and texts without a letter
@@ -32,6 +33,8 @@ from corpusmill.plans.staging import ship_package
 
 SEGMENT = 512
 SMOOTH = 256
+#: Of the laid-out automata a Python worker keeps, and of the largest it lays out.
+TABLE_BYTES = 256 << 20
 _SPACE = re.compile(r"[\W\d_]+")
 
 
@@ -86,19 +89,40 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def compiled(codes: np.ndarray, classes: int) -> np.ndarray:
-    """``table[state * classes + class]`` = next state * classes * 2 + 1 if a phrase ended before this character."""
-    nxt = suffix_automaton([int(c) for c in codes])
-    table = np.zeros((len(nxt), classes), np.int32)
-    root = np.zeros(classes, np.int32)
-    for c, t in nxt[0].items():
-        root[c] = t
-    # a character the sample lacks is a phrase by itself and leads back to the root
-    table[:] = root * classes * 2 + 1
-    for s, edges in enumerate(nxt):
-        for c, t in edges.items():
-            table[s, c] = t * classes * 2
-    return table.ravel()
+class Automaton:
+    """The automaton of one sample over its own characters, an entry an edge."""
+
+    def __init__(self, codes: np.ndarray):
+        self.chars = np.unique(codes)
+        self.size = len(self.chars) + 1
+        nxt = suffix_automaton((np.searchsorted(self.chars, codes) + 1).tolist())
+        self.bytes = len(nxt) * self.size * 4  # of the table
+        self.keys = np.array([s * self.size + c for s, edges in enumerate(nxt) for c in sorted(edges)], np.int64)
+        self.to = np.array([edges[c] for edges in nxt for c in sorted(edges)], np.int32)
+        root = np.zeros(self.size, np.int64)
+        top = int(np.searchsorted(self.keys, self.size))
+        root[self.keys[:top]] = self.to[:top]
+        # a character the sample lacks is a phrase by itself and leads back to the root
+        self.miss = root * self.size * 2 + 1
+
+    def own(self, classes: int) -> np.ndarray:
+        """The class here of each class of the shared alphabet."""
+        out = np.zeros(classes, np.int32)
+        out[self.chars] = np.arange(1, self.size)
+        return out
+
+    def table(self) -> np.ndarray:
+        """``table[state * size + class]`` = next state * size * 2 + 1 if a phrase ended before this character."""
+        table = np.empty((self.bytes // 4 // self.size, self.size), np.int32)
+        table[:] = self.miss
+        table = table.ravel()
+        table[self.keys] = self.to * self.size * 2
+        return table
+
+    def search(self, at: np.ndarray) -> np.ndarray:
+        """What the table holds at these places, without the table."""
+        i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[i] == at, self.to[i].astype(np.int64) * (self.size * 2), self.miss[at % self.size])
 
 
 class Model:
@@ -108,7 +132,20 @@ class Model:
         self.langs = sorted(samples)
         self.alphabet = Alphabet("".join(samples.values()))
         self.bits = np.log2([len(samples[k]) + SMOOTH for k in self.langs])
-        self.tables = [compiled(self.alphabet.encode(samples[k]), self.alphabet.size) for k in self.langs]
+        self.automata = [Automaton(self.alphabet.encode(samples[k])) for k in self.langs]
+        self.kept: dict[int, np.ndarray] = {}
+
+    def table(self, lang: int) -> np.ndarray | None:
+        """Kept as long as all kept tables have room, else made anew; none for a table that is larger alone."""
+        if lang in self.kept:
+            return self.kept[lang]
+        auto = self.automata[lang]
+        if auto.bytes > TABLE_BYTES:
+            return None
+        table = auto.table()
+        if sum(t.nbytes for t in self.kept.values()) + auto.bytes <= TABLE_BYTES:
+            self.kept[lang] = table
+        return table
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """``(texts, languages)`` phrase counts of normalised texts."""
@@ -122,14 +159,16 @@ class Model:
             wide[: lengths[i], k] = parts[i]
         live = np.searchsorted(-lengths[order], -np.arange(SEGMENT), "left")  # segments longer than t
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        for lang, table in enumerate(self.tables):
-            state = np.zeros(len(parts), np.int32)
+        for lang, auto in enumerate(self.automata):
+            table, own = self.table(lang), auto.own(self.alphabet.size)
+            state = np.zeros(len(parts), np.int64 if table is None else np.int32)
             count = np.ones(len(parts), np.int64)
             for t in range(SEGMENT):
                 n = live[t]
                 if not n:
                     break
-                v = table[state[:n] + wide[t, :n]]
+                at = state[:n] + own[wide[t, :n]]
+                v = auto.search(at) if table is None else table[at]
                 count[:n] += v & 1
                 state[:n] = v >> 1
             out[:, lang] = np.bincount(owner[order], weights=count, minlength=len(texts))
@@ -154,17 +193,14 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == rest, F.lit(False))
 
 
-def fit(labelled: DataFrame, sample_chars: int = 60_000, sample_docs: int = 400, max_langs: int = 64, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """The model of a bounded sample: of each of the ``max_langs`` commonest languages, whole texts in
-    order of a hash, at most ``sample_docs``, until ``sample_chars`` normalised characters."""
+def fit(labelled: DataFrame, sample_chars: int = 60_000, sample_docs: int = 400, lang_col: str = "lang", text_col: str = "text") -> Model:
+    """The model of a bounded sample: of each language, whole texts in order of a hash, at most
+    ``sample_docs``, until ``sample_chars`` normalised characters."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    if not counts:
-        return Model({})
-    # by the counts, about twice the documents wanted pass the hash, however many there are
-    rate = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * sample_docs / n)))]), F.col("lang"))
     near = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(7)).alias("h"))
-    near = near.where(F.col("lang").isin(list(counts)) & (F.pmod("h", F.lit(1 << 30)) < rate * float(1 << 30)))
+    # by the counts, about twice the documents wanted pass the hash, however many there are
+    rate = near.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * sample_docs / F.count("*")).alias("rate"))
+    near = near.join(F.broadcast(rate), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
     first = Window.partitionBy("lang").orderBy("h", "text")
     chars = F.sum(F.char_length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1))
     taken = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).withColumn("before", F.coalesce(chars, F.lit(0))).where(F.col("before") < 2 * sample_chars)

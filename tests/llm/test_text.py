@@ -408,6 +408,33 @@ def test_a_short_sample_is_learned_and_weakens_only_itself():
         assert right.mean() >= 0.97 and right[test["lang"] == rare].mean() >= 0.9
 
 
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(5)
+    words_of = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(40)] for k in range(70)}
+    text = lambda k: " ".join(rng.choice(words_of[k], 50))
+    rows = [(i, text(k), k) for i, k in enumerate(k for k in words_of for _ in range(2 if k < "l06" else 4))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(words_of)
+    ask = spark.createDataFrame([(i, text(k), k) for i, k in enumerate(words_of)], "doc_id long, text string, lang string")
+    got = langid.identify(ask, model).join(ask.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got["lang_pred"] == got["lang"]).all() and len(got) == 70
+
+
+def test_counts_whatever_the_room_for_tables(monkeypatch):
+    rng = np.random.default_rng(6)
+    samples = {k: "".join(rng.choice(list(a), 500)) for k, a in (("x", "abcde "), ("y", "cdefgh "), ("z", "\u4e00\u4e01ab "))}
+    texts = ["".join(rng.choice(list("abcdefgh\u4e00\u4e01q "), n)) for n in (1, 100, langid.SEGMENT + 1, 1500)]
+    model = langid.Model(samples)
+    want = model.phrases(texts).tolist()
+    assert len(model.kept) == 3
+    sizes = [a.bytes for a in model.automata]
+    for room, kept in ((max(sizes), 1), (0, 0)):
+        monkeypatch.setattr(langid, "TABLE_BYTES", room)
+        model = langid.Model(samples)
+        assert model.phrases(texts).tolist() == want and len(model.kept) == kept
+    assert [langid.Model({k: s}).phrases(texts)[:, 0].tolist() for k, s in samples.items()] == np.array(want).T.tolist()
+
+
 # --- SentencePiece
 
 
