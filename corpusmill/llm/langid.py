@@ -36,6 +36,7 @@ SMOOTH = 256
 #: Of the laid-out automata a Python worker keeps, and of the largest it lays out.
 TABLE_BYTES = 256 << 20
 _SPACE = re.compile(r"[\W\d_]+")
+LETTER = r"[\p{L}\p{Nl}\p{No}]"  # what _SPACE leaves, for Spark
 
 
 def normal(text: str | None) -> str:
@@ -194,13 +195,15 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
 
 
 def fit(labelled: DataFrame, sample_chars: int = 60_000, sample_docs: int = 400, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """The model of a bounded sample: of each language, whole texts in order of a hash, at most
-    ``sample_docs``, until ``sample_chars`` normalised characters."""
+    """The model of a bounded sample: of each language, whole distinct texts that hold a letter, in
+    order of a hash, at most ``sample_docs``, until ``sample_chars`` normalised characters."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     near = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(7)).alias("h"))
-    # by the counts, about twice the documents wanted pass the hash, however many there are
-    rate = near.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * sample_docs / F.count("*")).alias("rate"))
+    near = near.where(F.rlike("text", F.lit(LETTER)))
+    # by the counts, about twice the texts wanted pass the hash, however many there are; copies pass together
+    rate = near.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * sample_docs / F.count_distinct("h")).alias("rate"))
     near = near.join(F.broadcast(rate), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
+    near = near.select("lang", "text", "h").distinct()
     first = Window.partitionBy("lang").orderBy("h", "text")
     chars = F.sum(F.char_length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1))
     taken = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).withColumn("before", F.coalesce(chars, F.lit(0))).where(F.col("before") < 2 * sample_chars)

@@ -435,6 +435,21 @@ def test_counts_whatever_the_room_for_tables(monkeypatch):
     assert [langid.Model({k: s}).phrases(texts)[:, 0].tolist() for k, s in samples.items()] == np.array(want).T.tolist()
 
 
+def test_sample_is_of_distinct_texts(spark):
+    # 2000 copies of each of five texts, and one text in letters among many without
+    rows = [(f"copied text {'abcde'[i % 5] * 3} number {'vwxyz'[i % 5] * 4}", "xx") for i in range(10_000)]
+    rows += [(f"{i} {i * 7}", "yy") for i in range(5000)] + [("only these letters", "yy")]
+    rows += [("one and the same", "ww")] * 3000 + [(f"own {chr(97 + i // 26) * 2}{chr(97 + i % 26) * 3}", "ww") for i in range(300)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "Model", lambda samples: seen.update(samples))
+        langid.fit(df)
+    for lang in ("xx", "yy", "ww"):
+        want = {langid.normal(t) for t, k in rows if k == lang} - {""}
+        assert sorted(seen[lang].strip().split("  ")) == sorted(x.strip() for x in want)
+
+
 # --- SentencePiece
 
 
