@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def human_bytes(n: Column) -> Column:
-    """``512 B``, ``1.5 KB``, ... with 1024 to the next unit."""
-    unit = lambda k, name: F.concat(F.format_string("%.1f", n / float(1 << k)), F.lit(f" {name}"))
+    """``512 B``, ``1.5 KB``, ... with 1024 to the next unit; exact halves go to the even tenth."""
+
+    def unit(k: int, name: str) -> Column:
+        rest = n.bitwiseAND(F.lit((1 << k) - 1)) * 10
+        down, left = F.shiftright(rest, k), rest.bitwiseAND(F.lit((1 << k) - 1))
+        up = (left > 1 << (k - 1)) | ((left == 1 << (k - 1)) & (down % 2 == 1))
+        tenths = F.shiftright(n, k) * 10 + down + up.cast("long")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {name}"))
+
     return F.when(n >= 1 << 30, unit(30, "GB")).when(n >= 1 << 20, unit(20, "MB")).when(n >= 1 << 10, unit(10, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
