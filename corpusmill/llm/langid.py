@@ -8,23 +8,23 @@ the cross-parsing estimate of bits a character, by the length of the language's
 The language with the fewest bits wins; ties go to the smaller name.
 
 Every label is learned.  Automata are held by their edges and laid out one language at a time as a
-table ``next[state, class]`` whose low bit says that a phrase ended, so a whole batch of texts advances
+table ``next[state, class]`` whose low bit says that a phrase begins, so a whole batch of texts advances
 one character at a time in numpy; tables stay as far as ``TABLE_BYTES`` go.  Texts are read whole, in segments of
 fixed length that are parsed side by side; a phrase never crosses a segment.
 
-Letters are lower-cased; runs of anything else are one space.  Null texts and texts without a letter
-are ``und`` with score 0.  The score compares the two best: ``1 - best / second``, mapped to 0.5..1
+Letters, with the marks that belong to them, are lower-cased; runs of anything else are one space.  Null
+texts and texts without a letter are ``und`` with score 0.  The score compares the two best: ``1 - best / second``, mapped to 0.5..1
 by ``1 / (1 + exp(-20 x))``; with one learned language it is 1, with none every text is ``und``.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,14 +35,15 @@ SEGMENT = 512
 SMOOTH = 256
 #: Of the laid-out automata a Python worker keeps, and of the largest it lays out.
 TABLE_BYTES = 256 << 20
-_SPACE = re.compile(r"[\W\d_]+")
-LETTER = r"[\p{L}\p{Nl}\p{No}]"  # what _SPACE leaves, for Spark
+LETTER = r"\p{L}"
+_LETTER, _SPACE = regex.compile(LETTER), regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def normal(text: str | None) -> str:
-    """Lower-cased letters with single spaces around each run; empty without letters."""
-    words = _SPACE.sub(" ", text.lower()).strip() if text else ""
-    return f" {words} " if words else ""
+    """Lower-cased letters and their marks with single spaces around each run; empty without letters."""
+    if not text or not _LETTER.search(text):
+        return ""
+    return f" {_SPACE.sub(' ', text.lower()).strip()} "
 
 
 class Alphabet:
@@ -98,13 +99,16 @@ class Automaton:
         self.size = len(self.chars) + 1
         nxt = suffix_automaton((np.searchsorted(self.chars, codes) + 1).tolist())
         self.bytes = len(nxt) * self.size * 4  # of the table
-        self.keys = np.array([s * self.size + c for s, edges in enumerate(nxt) for c in sorted(edges)], np.int64)
-        self.to = np.array([edges[c] for edges in nxt for c in sorted(edges)], np.int32)
         root = np.zeros(self.size, np.int64)
-        top = int(np.searchsorted(self.keys, self.size))
-        root[self.keys[:top]] = self.to[:top]
-        # a character the sample lacks is a phrase by itself and leads back to the root
+        for c, to in nxt[0].items():
+            root[c] = to
+        # no phrase is open in state 0, so every character begins one there: before the first character, and
+        # after one that the sample lacks, which is a phrase by itself
+        nxt[0] = {}
         self.miss = root * self.size * 2 + 1
+        end = np.iinfo(np.int64).max  # there is always an entry to find
+        self.keys = np.array([*(s * self.size + c for s, edges in enumerate(nxt) for c in sorted(edges)), end], np.int64)
+        self.to = np.array([*(edges[c] for edges in nxt for c in sorted(edges)), 0], np.int32)
 
     def own(self, classes: int) -> np.ndarray:
         """The class here of each class of the shared alphabet."""
@@ -113,16 +117,16 @@ class Automaton:
         return out
 
     def table(self) -> np.ndarray:
-        """``table[state * size + class]`` = next state * size * 2 + 1 if a phrase ended before this character."""
+        """``table[state * size + class]`` = next state * size * 2 + 1 if this character begins a phrase."""
         table = np.empty((self.bytes // 4 // self.size, self.size), np.int32)
         table[:] = self.miss
         table = table.ravel()
-        table[self.keys] = self.to * self.size * 2
+        table[self.keys[:-1]] = self.to[:-1] * self.size * 2
         return table
 
     def search(self, at: np.ndarray) -> np.ndarray:
         """What the table holds at these places, without the table."""
-        i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        i = np.searchsorted(self.keys, at)
         return np.where(self.keys[i] == at, self.to[i].astype(np.int64) * (self.size * 2), self.miss[at % self.size])
 
 
@@ -163,7 +167,7 @@ class Model:
         for lang, auto in enumerate(self.automata):
             table, own = self.table(lang), auto.own(self.alphabet.size)
             state = np.zeros(len(parts), np.int64 if table is None else np.int32)
-            count = np.ones(len(parts), np.int64)
+            count = np.zeros(len(parts), np.int64)
             for t in range(SEGMENT):
                 n = live[t]
                 if not n:
@@ -195,21 +199,28 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
 
 
 def fit(labelled: DataFrame, sample_chars: int = 60_000, sample_docs: int = 400, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """The model of a bounded sample: of each language, whole distinct texts that hold a letter, in
-    order of a hash, at most ``sample_docs``, until ``sample_chars`` normalised characters."""
+    """The model of a bounded sample: of each language, distinct texts that hold a letter, in order of a
+    hash, at most ``sample_docs``, until ``sample_chars`` normalised characters.  Texts are normalised and
+    cut to what can be wanted of them before they leave the executors."""
+    ship_package(labelled.sparkSession)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: normal(t)[:sample_chars])
+
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     near = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(7)).alias("h"))
     near = near.where(F.rlike("text", F.lit(LETTER)))
     # by the counts, about twice the texts wanted pass the hash, however many there are; copies pass together
     rate = near.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * sample_docs / F.count_distinct("h")).alias("rate"))
-    near = near.join(F.broadcast(rate), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
-    near = near.select("lang", "text", "h").distinct()
-    first = Window.partitionBy("lang").orderBy("h", "text")
+    near = near.join(F.broadcast(rate), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * float(1 << 30))  # a row a language
+    near = near.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", cut("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("h")
     chars = F.sum(F.char_length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1))
-    taken = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).withColumn("before", F.coalesce(chars, F.lit(0))).where(F.col("before") < 2 * sample_chars)
+    taken = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_docs).withColumn("before", F.coalesce(chars, F.lit(0))).where(F.col("before") < sample_chars)
     texts: dict[str, list[str]] = {}
-    for r in taken.orderBy("lang", "h", "text").select("lang", "text").toLocalIterator():
-        texts.setdefault(r["lang"], []).append(normal(r["text"]))
+    for r in taken.orderBy("lang", "h").select("lang", "text").toLocalIterator():
+        texts.setdefault(r["lang"], []).append(r["text"])
     joined = {k: "".join(v)[:sample_chars] for k, v in texts.items()}
     return Model({k: v for k, v in joined.items() if v})
 
