@@ -6,9 +6,11 @@ and without overlaps in the whole text; a match that its validator drops is not
 code points, end exclusive.
 
 Positions come from splitting the text by the kind's pattern: the lengths of the pieces and of the
-matches between them add up, and the ends of the pieces are the context of a match.  The patterns are
-written so that a failed start is left at once (possessive runs, and starts only where a run of the
-first class begins or where the last match ended), so long texts cost time in proportion.
+matches between them add up.  The context of a match is the 40 characters of the text on either side,
+other matches included; it is put together from the ends of the pieces and matches around.  The patterns
+are written so that a failed start is left at once (possessive runs, and starts only where a run of the
+first class begins or where the last match ended), and positions are summed in runs of about the square
+root of their number, so long texts and texts of many matches are no trouble.
 
 A null or empty text has no spans.  Rows are kept as they are, repeated ids and nulls included.
 """
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEAR = 40
+#: So many matches, the shortest of 4 characters, fill a context.
+AROUND = NEAR // 4
 
 
 class Kind(NamedTuple):
@@ -71,25 +75,51 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _found(rank: int, kind: Kind, m: Column, pieces: Column) -> Column:
+def _running(values: Column, base: Column) -> Column:
+    """``base`` plus the sum of the values before, for each value of a short array."""
+    none = F.array().cast("array<long>")
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    return F.aggregate(values, F.struct(base.cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def _runs(values: Column) -> Column:
+    """A non-empty array cut into runs of about the square root of its length."""
+    length = F.ceil(F.sqrt(F.size(values))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / length).cast("int") - 1), lambda i: F.slice(values, i * length + 1, length))
+
+
+def _found(rank: int, kind: Kind, z: Column, runs: Column, before: Column) -> Column:
     """Valid matches as structs ``(start, rank, end, score)``."""
-    zipped = F.filter(F.arrays_zip(m.alias("m"), pieces.alias("b"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("a")), lambda x: x["m"].isNotNull())
-    empty = F.array().cast("array<struct<start:int,end:int,m:string,near:string>>")
+    starts = F.flatten(F.transform(F.arrays_zip(runs.alias("r"), before.alias("b")), lambda x: _running(x["r"], x["b"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["off"] + F.char_length(x["b"])
-        end = start + F.char_length(x["m"])
-        near = F.lower(F.concat(F.right(x["b"], F.lit(NEAR)), F.lit(" "), F.left(F.coalesce(x["a"], F.lit("")), F.lit(NEAR))))
-        one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("m"), near.alias("near"))
-        return F.struct(end.cast("int").alias("off"), F.array_append(acc["out"], one).alias("out"))
+    def one(x: Column, i: Column) -> Column:
+        left = F.concat(F.array_join(F.transform(F.slice(z, F.greatest(i - AROUND + 1, F.lit(1)), F.least(i, F.lit(AROUND))), lambda y: y["upto"]), ""), x["b"])
+        right = F.concat(x["a"], F.array_join(F.transform(F.slice(z, i + 2, F.lit(AROUND)), lambda y: y["from"]), ""))
+        near = F.lower(F.concat(F.right(left, F.lit(NEAR)), F.lit(" "), F.left(right, F.lit(NEAR))))
+        return F.struct(x["m"].alias("m"), x["lb"].alias("lb"), x["lm"].alias("lm"), near.alias("near"))
 
-    placed = F.aggregate(zipped, F.struct(F.lit(0).alias("off"), empty.alias("out")), step, lambda acc: acc["out"])
+    placed = F.transform(F.arrays_zip(F.transform(z, one).alias("x"), starts.alias("s")), lambda y: F.struct(y["x"]["m"].alias("m"), y["x"]["near"].alias("near"), (y["s"] + y["x"]["lb"]).cast("int").alias("start"), (y["s"] + y["x"]["lb"] + y["x"]["lm"]).cast("int").alias("end")))
     sure = F.filter(placed, lambda x: valid(kind.name, x["m"]))
     score = lambda x: F.lit(kind.score) + F.when(x["near"].rlike(kind.words), kind.bonus).otherwise(0.0)
     scored = F.transform(sure, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), score(x).alias("score")))
     return scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= 0.5)
 
 
+def _with_pieces(m: Column, pieces: Column) -> Column:
+    """Each match with its length, the piece before's, and the ends of what surrounds it."""
+    ends = lambda f, x: f(x, F.lit(NEAR))
+
+    def one(x: Column, i: Column) -> Column:
+        b, a = F.get(pieces, i), F.get(pieces, i + 1)
+        before, after = ends(F.right, b), ends(F.left, a)
+        return F.struct(
+            x.alias("m"), F.char_length(b).alias("lb"), F.char_length(x).alias("lm"), before.alias("b"), after.alias("a"),
+            ends(F.right, F.concat(before, ends(F.right, x))).alias("upto"), ends(F.left, F.concat(ends(F.left, x), after)).alias("from"),
+        )
+
+    return F.transform(m, one)
+
+
 def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``findings``: ``array<struct<kind, start, end, score>>`` by start, then kind.
 
@@ -99,14 +129,21 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     m = {k.name: F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for k in KINDS}
     # without matches nothing is split
     gated = {f"__m_{k.name}": F.when(F.contains(text, F.lit(k.gate)), m[k.name]) if k.gate else m[k.name] for k in KINDS}
+    each = lambda p, f: {f"__{p}_{k.name}": f(k) for k in KINDS}
+    col = lambda p, k: F.col(f"__{p}_{k.name}")
     step = df.withColumns(gated)
-    step = step.withColumns({f"__s_{k.name}": F.when(F.size(F.col(f"__m_{k.name}")) > 0, F.split(text, k.pattern, -1)) for k in KINDS})
+    step = step.withColumns(each("s", lambda k: F.when(F.size(col("m", k)) > 0, F.split(text, k.pattern, -1))))
+    step = step.withColumns(each("z", lambda k: F.when(col("s", k).isNotNull(), _with_pieces(col("m", k), col("s", k)))))
+    step = step.withColumns(each("l", lambda k: F.transform(col("z", k), lambda x: x["lb"] + x["lm"])))
+    step = step.withColumns(each("r", lambda k: F.when(col("l", k).isNotNull(), _runs(col("l", k)))))
+    sums = lambda k: F.transform(col("r", k), lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x))
+    step = step.withColumns(each("t", lambda k: F.when(col("r", k).isNotNull(), _running(sums(k), F.lit(0)))))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,score:double>>")
-    each = [F.coalesce(_found(i, k, F.col(f"__m_{k.name}"), F.col(f"__s_{k.name}")), none) for i, k in enumerate(KINDS)]
-    step = step.withColumn("__all", F.array_sort(F.concat(*each)))
+    found = [F.coalesce(F.when(col("z", k).isNotNull(), _found(i, k, col("z", k), col("r", k), col("t", k))), none) for i, k in enumerate(KINDS)]
+    step = step.withColumn("__all", F.array_sort(F.concat(*found)))
     names = F.array(*[F.lit(k.name) for k in KINDS])
     named = F.transform("__all", lambda x: F.struct(F.element_at(names, x["rank"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
-    return step.withColumn("findings", named).drop("__all", *[f"__{p}_{k.name}" for p in "ms" for k in KINDS])
+    return step.withColumn("findings", named).drop("__all", *[f"__{p}_{k.name}" for p in "mszlrt" for k in KINDS])
 
 
 def redacted(text: Column, findings: Column, mark: str = "<{}>") -> Column:
@@ -155,14 +192,14 @@ def _oracle() -> str:
         "card": f"length({digit}) BETWEEN 14 AND 19 AND {luhn}",
         "phone": f"length({digit}) BETWEEN 10 AND 15",
         "iban": f"length({bare}) BETWEEN 15 AND 34 AND {mod}",
-        "ssn": f"lower(right(b, {NEAR}) || ' ' || left(a, {NEAR})) ~ '.*(?:{MORE[1].words}).*'",
+        "ssn": f"lower(substr(t, greatest(1, s - {NEAR - 1}), least({NEAR}, s)) || ' ' || substr(t, s + length(m) + 1, {NEAR})) ~ '.*(?:{MORE[1].words}).*'",
     }
     found = " UNION ALL ".join(
         f"""SELECT r, '{k}' AS kind, {i} AS rank, s AS start, s + length(m) AS stop FROM (
-            SELECT r, m, b, a, CAST(off AS BIGINT) AS s FROM (
-              SELECT r, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS b, unnest(ps[2:len(ms) + 1]) AS a,
+            SELECT r, t, m, CAST(off AS BIGINT) AS s FROM (
+              SELECT r, t, unnest(ms) AS m,
                      unnest(list_transform(range(len(ms)), lambda i: list_sum(list_transform(ps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0))) AS off
-              FROM (SELECT r, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps FROM d) WHERE len(ms) > 0)) WHERE {checks[k]}"""
+              FROM (SELECT r, t, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps FROM d) WHERE len(ms) > 0)) WHERE {checks[k]}"""
         for i, (k, p) in enumerate(patterns.items())
     )
     base = "'email', 'ip', 'card', 'phone'"
