@@ -331,8 +331,11 @@ def _sketch_search(least: int, pct: int):
             else:
                 a.extend(found[0])
                 b.extend(found[1])
-        pairs = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-        return pd.concat([pairs, pd.DataFrame(dense, columns=["key", "i", "j"])]).astype({"key": "Int64", "i": "Int32", "j": "Int32"})[["a", "b", "key", "i", "j"]]
+        pairs = pd.DataFrame({"a": a, "b": b}, dtype=object).drop_duplicates()
+        # 64-bit keys beside rows without one stay whole only in a nullable integer column
+        whole = pd.DataFrame(dense, columns=["key", "i", "j"], dtype=object).astype({"key": "Int64", "i": "Int32", "j": "Int32"})
+        none = pd.DataFrame({"key": pd.array([None] * len(pairs), "Int64"), "i": pd.array([None] * len(pairs), "Int32"), "j": pd.array([None] * len(pairs), "Int32")})
+        return pd.concat([pd.concat([pairs.reset_index(drop=True), none], axis=1), whole])[["a", "b", "key", "i", "j"]]
 
     return _by_bucket(search)
 

@@ -197,6 +197,26 @@ def test_pii(spark):
     assert pii.digest(pii.find(empty(spark))).count() == 0
 
 
+def test_pii_context_reaches_over_other_matches(spark):
+    ssn = "123-45-6789"
+    near = [f"ssn {ssn} but {ssn}", f"{ssn} {ssn} {ssn} ssn", f"ssn{'.' * 26}{ssn}{ssn}", f"{ssn} a@b.c 1.2.3.4 +1 2 SSN"]
+    far = [f"ssn {'x' * 38} {ssn}", f"{ssn} {'x' * 38} ssn"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(near + far)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].count("ssn:") for r in pii.digest(pii.find(df)).collect()}
+
+    def want(t):
+        return sum("ssn" in (t[max(0, m.start() - 40) : m.start()] + " " + t[m.end() : m.end() + 40]).lower() for m in re.finditer(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", t))
+
+    assert [got[i] for i in range(6)] == [want(t) for t in near + far] and got[0] == 2 and got[4] == got[5] == 0
+
+
+def test_pii_of_many_matches(spark):
+    n = 30_000
+    t = "ssn 123-45-6789 but a@b.cd 1.2.3.4 " * n
+    r = pii.digest(pii.find(spark.createDataFrame([(1, t)], "doc_id long, text string"))).collect()[0]
+    assert (r["n_email"], r["n_ip"], r["spans"].count("ssn")) == (n, n, n) and r["spans"].endswith(f"email:{35 * n - 15}:{35 * n - 9},ip:{35 * n - 8}:{35 * n - 1}")
+
+
 def test_pii_random(spark):
     rng = np.random.default_rng(2)
     alphabet = list("ab.@-_ 019+()") + ["12", "4111 1111 1111 1111", "é", "\n", "10.0.0.1", "a@b.c"]
@@ -373,6 +393,37 @@ def test_cross_parsing_counts():
         assert row.tolist() == [sum(naive_phrases(p, s) for p in parts) for s in (a, b)]
 
 
+def test_cross_parsing_of_unknown_characters():
+    model = langid.Model({"x": "abc"})
+    assert [int(model.phrases([t])[0, 0]) for t in ("a", "afa", "abcfabc", "f", "ffff", "fab", "abca")] == [1, 3, 3, 1, 4, 2, 2]
+    assert langid.Model({"x": "a"}).phrases(["aab"])[0, 0] == 3  # a sample of one character
+
+
+def test_only_letters_make_a_language():
+    assert langid.normal("\u00b2 \u00bd \u2460 12 _") == "" and langid.normal("\u0301") == ""
+    assert langid.normal("\u0939\u093f\u0928\u094d\u0926\u0940 2x") == " \u0939\u093f\u0928\u094d\u0926\u0940 x "  # marks stay in their word
+    model = langid.Model({"x": " abc "})
+    assert model.predict(["\u00b2", "\u2460 1", None, "a"])[0] == ["und", "und", "und", "x"]
+
+
+def test_an_alphabet_of_thousands(spark):
+    # 3,000 characters in 60,000: too wide for a table, so edges are searched; and a tiny sample beside it
+    rng = np.random.default_rng(9)
+    wide = lambda n: "".join(chr(0x4E00 + int(x)) for x in rng.zipf(1.3, n) % 3000)
+    rows = [(i, wide(800), "zh") for i in range(80)] + [(100 + i, "plain words of the other one " * 3, "en") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.automata[model.langs.index("zh")].bytes > langid.TABLE_BYTES
+    assert model.predict([wide(300), "other plain words", wide(5)])[0] == ["zh", "en", "zh"]
+
+
+def test_sample_texts_are_cut_on_executors(spark):
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "Model", lambda samples: seen.update(samples))
+        langid.fit(spark.createDataFrame([("1 " * 10_000 + "abc " * 100_000, "xx")], "text string, lang string"), sample_chars=50)
+    assert seen == {"xx": (" " + "abc " * 100)[:50]}
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.held_out(F.col("doc_id"), 4, 2)
