@@ -413,7 +413,7 @@ def test_an_alphabet_of_thousands(spark):
     rows = [(i, wide(800), "zh") for i in range(80)] + [(100 + i, "plain words of the other one " * 3, "en") for i in range(3)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.automata[model.langs.index("zh")].bytes > langid.TABLE_BYTES
-    assert model.predict([wide(300), "other plain words", wide(5)])[0] == ["zh", "en", "zh"]
+    assert model.predict([wide(300), "other plain words", wide(30)])[0] == ["zh", "en", "zh"]
 
 
 def test_sample_texts_are_cut_on_executors(spark):
