@@ -4,7 +4,8 @@ Per language, a bounded sample of labelled text becomes a suffix automaton.  A t
 into the longest phrases that occur in a language's sample; the fewer phrases a character, the closer
 the text to the language: phrases are normalised to ``phrases * log2(sample + SMOOTH) / characters``,
 the cross-parsing estimate of bits a character, by the length of the language's own sample.  Without
-``SMOOTH`` a sample of a few letters would name its phrases in so few bits that it wins every text.
+``SMOOTH`` a sample of a few letters would name its phrases in so few bits that it wins every text; a
+phrase that is a character the sample lacks takes ``LITERAL`` bits more, those of any code point.
 The language with the fewest bits wins; ties go to the smaller name.
 
 Every label is learned.  Automata are held by their edges and laid out one language at a time as a
@@ -33,6 +34,7 @@ from corpusmill.plans.staging import ship_package
 
 SEGMENT = 512
 SMOOTH = 256
+LITERAL = 20
 #: Of the laid-out automata a Python worker keeps, and of the largest it lays out.
 TABLE_BYTES = 256 << 20
 LETTER = r"\p{L}"
@@ -154,7 +156,12 @@ class Model:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """``(texts, languages)`` phrase counts of normalised texts."""
+        return self.parsed(texts)[0]
+
+    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The phrase counts, and how many of them are characters that the language's sample lacks."""
         codes = [self.alphabet.encode(t) for t in texts]
+        flat, text_of = np.concatenate([np.zeros(0, np.int32), *codes]), np.repeat(np.arange(len(texts)), [len(c) for c in codes])
         owner = np.repeat(np.arange(len(texts)), [-(-len(c) // SEGMENT) for c in codes])
         parts = [c[i : i + SEGMENT] for c in codes for i in range(0, len(c), SEGMENT)]
         lengths = np.array([len(p) for p in parts], np.int64)
@@ -163,7 +170,7 @@ class Model:
         for k, i in enumerate(order):
             wide[: lengths[i], k] = parts[i]
         live = np.searchsorted(-lengths[order], -np.arange(SEGMENT), "left")  # segments longer than t
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        out, lacked = (np.zeros((len(texts), len(self.langs)), np.int64) for _ in range(2))
         for lang, auto in enumerate(self.automata):
             table, own = self.table(lang), auto.own(self.alphabet.size)
             state = np.zeros(len(parts), np.int64 if table is None else np.int32)
@@ -177,7 +184,8 @@ class Model:
                 count[:n] += v & 1
                 state[:n] = v >> 1
             out[:, lang] = np.bincount(owner[order], weights=count, minlength=len(texts))
-        return out
+            lacked[:, lang] = np.bincount(text_of[own[flat] == 0], minlength=len(texts))
+        return out, lacked
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         normals = [normal(t) for t in texts]
@@ -185,7 +193,8 @@ class Model:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not some or not self.langs:
             return langs, scores
-        bits = self.phrases([normals[i] for i in some]) * self.bits / np.array([len(normals[i]) for i in some])[:, None]
+        phrases, lacked = self.parsed([normals[i] for i in some])
+        bits = (phrases * self.bits + lacked * LITERAL) / np.array([len(normals[i]) for i in some])[:, None]
         for i, row in zip(some, bits, strict=True):
             best = int(row.argmin())
             second = np.delete(row, best).min() if len(row) > 1 else math.inf
