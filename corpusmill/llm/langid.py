@@ -5,7 +5,7 @@ into the longest phrases that occur in a language's sample; the fewer phrases a
 the text to the language: phrases are normalised to ``phrases * log2(sample + SMOOTH) / characters``,
 the cross-parsing estimate of bits a character, by the length of the language's own sample.  Without
 ``SMOOTH`` a sample of a few letters would name its phrases in so few bits that it wins every text; a
-phrase that is a character the sample lacks takes ``LITERAL`` bits more, those of any code point.
+phrase that is a character the sample lacks takes ``LITERAL`` bits more.
 The language with the fewest bits wins; ties go to the smaller name.
 
 Every label is learned.  Automata are held by their edges and laid out one language at a time as a
@@ -34,7 +34,7 @@ from corpusmill.plans.staging import ship_package
 
 SEGMENT = 512
 SMOOTH = 256
-LITERAL = 20
+LITERAL = 4
 #: Of the laid-out automata a Python worker keeps, and of the largest it lays out.
 TABLE_BYTES = 256 << 20
 LETTER = r"\p{L}"
