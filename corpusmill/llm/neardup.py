@@ -12,11 +12,12 @@ several documents have, so that most documents never reach a table.
 
 *Groups.*  Documents with one set are one class, so exact copies cost a row of aggregation.  In every
 bucket of a table, one pivot is compared with the others, not all pairs.  Buckets that then still
-hold several components are searched again for pairs in different components only, by size and
-sketch.  Where these are few, they are confirmed one by one; in a dense bucket, each document outside
-the largest component is compared with all others through an inverted index of their full sets, in
-the task that holds the bucket.  A large bucket is dealt out as pairs of blocks.  There is no cap on
-buckets or partners, and no pair that can join two components is left out.
+hold several components are searched again: only the outsiders, documents outside the bucket's largest
+component, are compared with the rest, and only across components, by size and sketch.  Where the
+pairs left are few, they are confirmed one by one; where they are many, the outsiders are compared
+through an inverted index of full sets.  Outsiders and members are dealt out in blocks of bounded rows
+and shingles, and each task holds a block of either.  There is no cap on buckets or partners, and no
+pair of a bucket that can join two components is left out.
 
 Components are found by alternating star contraction, all of it in tables.
 
@@ -33,13 +34,14 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.plans.staging import ship_package, stage
 
 BAND = 3
-BLOCK = 2048
+#: Documents and shingles of a block of an open bucket.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 ONE_TASK = 500_000
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -157,8 +159,16 @@ def _nullable_ids(f):
     return g
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "text") -> DataFrame:
-    """``(fp, hashes)``: the sets of the classes in ``wanted (rid)``, one row each."""
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """Stands for rows of one id and one text; a null id has a number of its own."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("kid"), F.xxhash64(text_col).alias("rid")]
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(fp, hashes)``: the sets of the classes in ``wanted (kid, rid)``, one row each.
+
+    A class is asked for by one of its rows, so its copies stay where they are.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _words
@@ -167,8 +177,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str = "t
                 sets = [shingle_set(t, width, words).tobytes() for t in pdf["text"].iloc[at : at + 256]]
                 yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(s) for s in sets], "hashes": sets})
 
-    one = docs.select(F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text")).join(wanted, "rid", "left_semi")
-    return one.groupBy("rid").agg(F.first("text").alias("text")).select("text").mapInPandas(run, "fp binary, hashes binary")
+    one = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text")).join(wanted, ["kid", "rid"], "left_semi")
+    return one.groupBy("kid", "rid").agg(F.first("text").alias("text")).select("text").mapInPandas(run, "fp binary, hashes binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -231,62 +241,60 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(mins.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "edges")
 
 
-def plausible_pairs(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, two: np.ndarray | None, least: int, pct: int) -> tuple[list, list] | None:
-    """Pairs in different components of a bucket that can be links by size and sketch; None if they
-    are many more than the rows.  ``two``: sides, of which only pairs across count."""
-    rows = len(fp)
+def can_link(n: np.ndarray, sk: np.ndarray, comp: np.ndarray, own: tuple[int, np.ndarray, int], least: int, pct: int) -> np.ndarray:
+    """Which members can be linked with a document of another component, by size and sketch."""
+    size, sketch, label = own
+    can = (comp != label) & (100 * np.minimum(n, size) >= pct * np.maximum(n, size))
+    some = np.flatnonzero(can)
+    return some[(sk[some] == sketch).sum(axis=1) >= least]
+
+
+def plausible_pairs(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, out: np.ndarray, least: int, pct: int) -> tuple[list, list] | None:
+    """Pairs of an outsider (``out``) and a member in different components that can be links; None if they
+    are many more than the rows."""
     a, b = [], []
-    for k in range(rows - 1):
-        can = (comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= pct * np.maximum(n[k + 1 :], n[k]))
-        if two is not None:
-            can &= two[k + 1 :] != two[k]
-        can = np.flatnonzero(can) + k + 1
-        if len(can):
-            can = can[(sk[can] == sk[k]).sum(axis=1) >= least]
-        if len(a) + len(can) > 2 * rows:
+    rest = ~out
+    f, c, m, s = fp[rest], comp[rest], n[rest], sk[rest]
+    for k in np.flatnonzero(out):
+        can = can_link(m, s, c, (n[k], sk[k], comp[k]), least, pct)
+        if len(a) + len(can) > 2 * len(fp):
             return None
-        for y in fp[can]:
+        for y in f[can]:
             a.append(max(fp[k], y))
             b.append(min(fp[k], y))
     return a, b
 
 
-def dense_links(fp: np.ndarray, comp: np.ndarray, sk: np.ndarray, hashes: list[np.ndarray], two: np.ndarray | None, least: int, pct: int) -> tuple[list, list]:
-    """Links that join all components of a bucket that are linked in it, found on full sets.
-
-    Documents outside the component that was largest at the start are compared, through an inverted
-    index, with all documents outside their own; every pair in different components has such a document.
-    """
-    rows = len(fp)
+def dense_links(fp: np.ndarray, comp: np.ndarray, sk: np.ndarray, hashes: list[np.ndarray], out: np.ndarray, least: int, pct: int) -> tuple[list, list]:
+    """Links that join all components that are linked between outsiders and members, found on full sets."""
     n = np.array([len(x) for x in hashes])
-    codes = np.unique(np.concatenate(hashes), return_inverse=True)[1]
-    doc = np.repeat(np.arange(rows), n)
-    order = np.argsort(codes, kind="stable")
-    posts, ends = doc[order], np.cumsum(np.bincount(codes))
-    starts, first = np.concatenate([[0], ends[:-1]]), np.concatenate([[0], np.cumsum(n)])
+    rest = np.flatnonzero(~out)
+    if not len(rest):
+        return [], []
+    m, s = n[rest], sk[rest]
+    known = np.concatenate([hashes[i] for i in rest])
+    owner = np.repeat(np.arange(len(rest), dtype=np.int32), m)
+    order = np.argsort(known, kind="stable")
+    known, posts = known[order], owner[order]  # an inverted index: runs of equal shingles
     comp = comp.copy()
     a, b = [], []
-    central = np.zeros(rows)
+    central = np.zeros(len(fp))
     for j in range(sk.shape[1]):
         _, inv, cnt = np.unique(sk[:, j], return_inverse=True, return_counts=True)
         central += cnt[inv]
-    # one component is fixed at the start; it only grows, so who is never in it has been compared with all
-    large = int(np.flatnonzero(comp == np.bincount(comp).argmax())[0])
-    for s in np.argsort(-central, kind="stable"):  # those that most resemble the others link most
-        if comp[s] == comp[large]:
-            continue
-        can = (comp != comp[s]) & (100 * np.minimum(n, n[s]) >= pct * np.maximum(n, n[s])) & ((sk == sk[s]).sum(axis=1) >= least)
-        if two is not None:
-            can &= two != two[s]
-        if not can.any():
+    outsiders = np.flatnonzero(out)
+    for k in outsiders[np.argsort(-central[outsiders], kind="stable")]:  # those that most resemble the others link most
+        can = can_link(m, s, comp[rest], (n[k], sk[k], comp[k]), least, pct)
+        if not len(can):
             continue
-        mine = codes[first[s] : first[s + 1]]
-        both = np.bincount(np.concatenate([posts[x:y] for x, y in zip(starts[mine], ends[mine], strict=True)]), minlength=rows)
-        for x in np.flatnonzero(can & (100 * both >= pct * (n + n[s] - both))):
-            if comp[x] != comp[s]:
-                a.append(max(fp[s], fp[x]))
-                b.append(min(fp[s], fp[x]))
-                comp[comp == comp[x]] = comp[s]
+        lo, hi = np.searchsorted(known, hashes[k], "left"), np.searchsorted(known, hashes[k], "right")
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
+        both = np.bincount(posts[at], minlength=len(rest))[can]
+        for x in rest[can[100 * both >= pct * (m[can] + n[k] - both)]]:
+            if comp[x] != comp[k]:
+                a.append(max(fp[k], fp[x]))
+                b.append(min(fp[k], fp[x]))
+                comp[comp == comp[x]] = comp[k]
     return a, b
 
 
@@ -317,38 +325,36 @@ def _buckets(pdf: pd.DataFrame) -> Iterator[slice]:
 
 
 def _sketch_search(least: int, pct: int):
-    """Plausible pairs of sparse buckets, and the buckets that are dense."""
+    """Plausible pairs of sparse cells, and the cells that are dense."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, n, comp = pdf["fp"].to_numpy(), pdf["n"].to_numpy(), pd.factorize(pdf["comp"])[0]
-        key, i, j, side = (pdf[c].to_numpy() for c in ("key", "i", "j", "side"))
+        fp, n, comp, out = pdf["fp"].to_numpy(), pdf["n"].to_numpy(), pd.factorize(pdf["comp"])[0], pdf["out"].to_numpy()
+        key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
         sk = np.stack([np.frombuffer(x, "<u4") for x in pdf["mins"]])
-        a, b, dense = [], [], []
+        pairs, dense = {}, []
         for s in _buckets(pdf):
-            found = plausible_pairs(fp[s], comp[s], n[s], sk[s], side[s] if i[s][0] != j[s][0] else None, least, pct)
+            found = plausible_pairs(fp[s], comp[s], n[s], sk[s], out[s], least, pct)
             if found is None:
                 dense.append((key[s][0], i[s][0], j[s][0]))
             else:
-                a.extend(found[0])
-                b.extend(found[1])
-        pairs = pd.DataFrame({"a": a, "b": b}, dtype=object).drop_duplicates()
-        # 64-bit keys beside rows without one stay whole only in a nullable integer column
-        whole = pd.DataFrame(dense, columns=["key", "i", "j"], dtype=object).astype({"key": "Int64", "i": "Int32", "j": "Int32"})
-        none = pd.DataFrame({"key": pd.array([None] * len(pairs), "Int64"), "i": pd.array([None] * len(pairs), "Int32"), "j": pd.array([None] * len(pairs), "Int32")})
-        return pd.concat([pd.concat([pairs.reset_index(drop=True), none], axis=1), whole])[["a", "b", "key", "i", "j"]]
+                pairs.update(dict.fromkeys(zip(*found, strict=True)))
+        # a 64-bit key stays whole beside missing ones only in a nullable integer column
+        none = [None] * len(pairs)
+        cell = {c: pd.array([*none, *(d[k] for d in dense)], t) for k, (c, t) in enumerate((("key", "Int64"), ("i", "Int32"), ("j", "Int32")))}
+        blank = [None] * len(dense)
+        return pd.DataFrame({"a": [*(p[0] for p in pairs), *blank], "b": [*(p[1] for p in pairs), *blank], **cell})
 
     return _by_bucket(search)
 
 
 def _dense_search(least: int, pct: int):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, side = (pdf[c].to_numpy() for c in ("i", "j", "side"))
         a, b = [], []
         for s in _buckets(pdf):
             part = pdf.iloc[s]
             sk = np.stack([np.frombuffer(x, "<u4") for x in part["mins"]])
             sets = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
-            found = dense_links(part["fp"].to_numpy(), pd.factorize(part["comp"])[0], sk, sets, side[s] if i[s][0] != j[s][0] else None, least, pct)
+            found = dense_links(part["fp"].to_numpy(), pd.factorize(part["comp"])[0], sk, sets, part["out"].to_numpy(), least, pct)
             a.extend(found[0])
             b.extend(found[1])
         return pd.DataFrame({"a": a, "b": b})
@@ -356,6 +362,23 @@ def _dense_search(least: int, pct: int):
     return _by_bucket(search)
 
 
+def _cells(opened: DataFrame) -> DataFrame:
+    """``(key, i, j, fp, n, comp, out)``: block i of a bucket's outsiders beside block j of all its members.
+
+    ``opened (key, fp, n, comp)``.  An outsider is there in both roles.
+    """
+    parts = opened.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    shape = parts.groupBy("key").agg(F.max(F.struct("c", "s", "comp")).alias("g"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    shape = shape.select("key", F.col("g.comp").alias("large"), blocks(F.col("c"), F.col("s")).alias("all"), blocks(F.col("c") - F.col("g.c"), F.col("s") - F.col("g.s")).alias("few"))
+    dealt = opened.join(shape, "key").withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), "few").cast("int")).withColumn("j", F.pmod(F.xxhash64("fp"), "all").cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    member = F.transform(upto("few"), lambda x: F.struct(x.alias("i"), F.col("j"), F.lit(False).alias("out")))
+    outsider = F.transform(upto("all"), lambda x: F.struct(F.col("i"), x.alias("j"), F.lit(True).alias("out")))
+    cells = F.when(F.col("comp") == F.col("large"), member).otherwise(F.concat(member, outsider))
+    return dealt.select("key", F.explode(cells).alias("x"), "fp", "n", "comp").select("key", "x.i", "x.j", "fp", "n", "comp", "x.out")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, class_fp, root_fp, rid)``, a row for each row of ``docs``.
 
@@ -367,7 +390,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
     _, least = plan(pct)
     sig = stage(signatures(docs, width, pct, id_col, text_col), "signatures")
     classes = stage(
-        sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mins").alias("mins")),
+        sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("kid"), "rid")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mins").alias("mins")),
         "classes",
     )
     values = classes.select("fp", F.explode("bands").alias("h"))
@@ -396,8 +419,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
     star = stage(sketched.select("a", "b", "ma", "mb").mapInPandas(alike, "a binary, b binary"), "pairs")
 
     def sets_for(wanted: DataFrame) -> DataFrame:
-        rids = classes.select("fp", "rid").join(wanted, "fp", "left_semi").select("rid").distinct()
-        return stage(full_sets(docs, rids, width, text_col), "sets")
+        rows = stage(classes.select("fp", "row").join(wanted, "fp", "left_semi").select("row.kid", "row.rid"), "wanted")
+        return stage(full_sets(docs, rows, width, id_col, text_col), "sets")
 
     ends = lambda pairs: pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     star_sets = sets_for(ends(star))
@@ -406,12 +429,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
     labelled = tables.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
     buckets = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("who"))
     open_keys = buckets.where("lo != hi and c > 2").groupBy("who", "c").agg(F.min("key").alias("key"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
-    spread = labelled.join(open_keys.select("key", "c"), "key").withColumn("s", blocks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
-    grid = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "n", "comp", (F.col("mine") > F.col("other")).cast("int").alias("side")
-    )
-    grid = stage(grid, "open")
+    opened = stage(labelled.join(open_keys.select("key"), "key", "left_semi").select("key", "fp", "n", "comp"), "open")
+    grid = stage(_cells(opened), "cells")
     bucket = ["key", "i", "j"]
     in_order = lambda df: df.repartition(*bucket).sortWithinPartitions(*bucket)
     chosen = stage(in_order(grid.join(mins, "fp")).mapInPandas(_sketch_search(least, pct), "a binary, b binary, key long, i int, j int"), "plausible")

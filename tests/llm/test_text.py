@@ -93,6 +93,29 @@ def test_near_duplicates(spark, width, pct, seed, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_no_link_of_the_documents_is_lost(spark):
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(zip(d["doc_id"], d["text"], strict=True))
+    want, sets = groups(rows, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in queries.op6_neardup(spark, "/root/testdata/sf0.01").collect()}
+    assert [got[i] for i, _ in rows] == [rows[g][0] for g in want]
+    assert len(set(want)) < len(rows)
+
+
+def test_blocks_of_long_texts(spark, monkeypatch):
+    # blocks bounded by shingles, cells of several blocks on both sides, all cells searched on full sets
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
+    docs = [(i, t) for i, t in enumerate(near_table(np.random.default_rng(2)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r["component_id"] for r in neardup.near_duplicates(df, 3, 85).orderBy("doc_id").collect()] == groups(docs, 3, 85)[0]
+
+
+def test_cells_grow_with_outsiders_only(spark):
+    rows = [(7, f"{i:05}".encode(), 100, b"0" if i < 4990 else f"{i:05}".encode()) for i in range(5000)]
+    cells = neardup._cells(spark.createDataFrame(rows, "key long, fp binary, n long, comp binary"))
+    assert cells.where("not out").count() == 5000 and cells.where("out").count() == 10 * 3
+
+
 def test_near_duplicates_odd(spark):
     df = odd(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
