@@ -9,12 +9,14 @@ ascend together, one character at a time, until the prefixes of all trees hold e
   the rows repeat is searched once; only the ``k + 1`` smallest ids of a vector can be in an answer.
 * The number of candidates needed grows as a power of the number of vectors below one.
 * The sorted arrays are dealt out by prefix ("cells"); a cell with too many entries is dealt in
-  chunks, and a query visits each chunk of each cell below its prefix.  Vectors travel with their
-  strings, so candidates are scored where they lie and only the best ``k + 1`` leave a task.
+  chunks, and a query visits each chunk of each cell below its prefix.  A cell that many queries visit
+  is there once for each block of them, so a task holds a bounded number of either.  Vectors travel with
+  their strings, so candidates are scored where they lie and only the best ``k + 1`` leave a task.
 * Inner products of unequal norms: strings are taken of the vector extended to a common norm.
 
 Null, empty, zero and non-finite vectors, null ids, and vectors of another length than the
-commonest (ties: the shorter) take no part.  Repeated ids keep their smallest vector.
+commonest (ties: the shorter) take no part.  Repeated ids keep their smallest vector.  Components stay as
+they are stored, 32 or 64 bits; scores are sums in double precision, and ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from corpusmill.plans.staging import ship_package, stage
 BITS = 64
 #: Depth to which prefixes are counted for the common ascent: 2 ** COUNTED counters a tree.
 COUNTED = 12
+#: Queries of a task.
+QUERY_ROWS = 8192
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool = False) -> DataFrame:
@@ -42,10 +46,9 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool =
     ok &= ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     if not allow_zero:
         ok &= F.exists(v, lambda x: x != 0)
+    kind = "float" if dict(df.dtypes)[vec_col] == "array<float>" else "double"
     # adding 0.0 turns -0.0 into 0.0, so equal vectors are equal keys
-    flat = df.where(ok).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0).cast("float")).cast("array<float>").alias("v")
-    )
+    flat = df.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).cast(f"array<{kind}>").alias("v"))
     one = flat.groupBy("vec_id").agg(F.min("v").alias("v"))
     lengths = one.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return one.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
@@ -100,7 +103,7 @@ def search_cell(left: pd.DataFrame, right: pd.DataFrame, k: int, needed: int) ->
     ``needed``: a query whose prefix of counted depth still holds more descends on its own here, to
     the longest prefix that holds that many, never below ``k`` entries.
     """
-    empty = pd.DataFrame({"q": [], "ids": [], "scores": []}).astype({"q": "int64"})
+    empty = pd.DataFrame({"q": [], "ids": [], "scores": []}, dtype=object).astype({"q": "int64"})
     if not len(left) or not len(right):
         return empty
     left = left.sort_values(["s", "rep"], kind="stable")
@@ -135,20 +138,22 @@ def search_cell(left: pd.DataFrame, right: pd.DataFrame, k: int, needed: int) ->
         rows = np.flatnonzero(which == r)
         for at in range(0, len(rows), 512):
             some = rows[at : at + 512]
-            best_s = np.full((len(some), 0), -np.inf)
-            best_i = np.zeros((len(some), 0), np.int64)
+            best: list[np.ndarray] = [np.zeros(0, np.int64)] * len(some)
+            least = np.full(len(some), -np.inf)
             for b0 in range(a, b, 8192):
                 sc = q[some] @ x[b0 : min(b, b0 + 8192)].T
-                take = min(k + 4, sc.shape[1])
-                top = np.argpartition(-sc, take - 1, axis=1)[:, :take]
-                best_s = np.concatenate([best_s, np.take_along_axis(sc, top, 1)], axis=1)
-                best_i = np.concatenate([best_i, top + b0], axis=1)
-            exact = (q[some][:, None, :] * x[best_i]).sum(axis=2)  # one order of summation everywhere
+                if sc.shape[1] > k:
+                    least = np.maximum(least, np.partition(sc, sc.shape[1] - k, axis=1)[:, -k])
+                # products differ from exact sums by rounding; whatever may tie with the k-th stays
+                close = sc >= (least - 1e-9 * np.abs(least))[:, None]
+                for i in range(len(some)):
+                    best[i] = np.concatenate([best[i], np.flatnonzero(close[i]) + b0])
             for i, row in enumerate(some):
-                o = np.lexsort((ids[best_i[i]], -exact[i]))[:k]
+                exact = (q[row] * x[best[i]]).sum(axis=1)  # one order of summation everywhere
+                o = np.lexsort((ids[best[i]], -exact))[:k]
                 out_q.append(qid[row])
-                out_ids.append(ids[best_i[i]][o])
-                out_scores.append(exact[i][o])
+                out_ids.append(ids[best[i]][o])
+                out_scores.append(exact[o])
     return pd.DataFrame({"q": np.array(out_q, np.int64), "ids": out_ids, "scores": out_scores}) if out_q else empty
 
 
@@ -189,7 +194,8 @@ def nearest(
                 h = hash_strings(extended(matrix(pdf["v"]), norm, False), planes)
                 yield pd.DataFrame({"rep": pdf["rep"], "v": pdf["v"], "s": list((h ^ flip).view(np.int64))})
 
-    entries = stage(reps.mapInPandas(strings, "rep long, v array<float>, s array<long>"), "ann-strings")
+    kind = dict(reps.dtypes)["v"]
+    entries = stage(reps.mapInPandas(strings, f"rep long, v {kind}, s array<long>"), "ann-strings")
     at = entries.select(F.posexplode("s").alias("t", "s"))
     leaf = F.shiftrightunsigned(F.col("s").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), BITS - COUNTED)
     counts = np.zeros((trees, 1 << COUNTED), np.int64)
@@ -200,44 +206,62 @@ def nearest(
     cells = counts.reshape(trees, 1 << cell_bits, -1).sum(axis=2)
     chunks = np.maximum(1, -(-cells // (2 * cell_rows)))
 
+    def visited(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each tree: strings, depths, and the cells each query visits as (query, cell)."""
+        h = hash_strings(extended(x, norm, True), planes)
+        depth = common_depth(h, sums, need)
+        for t in range(trees):
+            wide = np.maximum(0, cell_bits - depth)
+            own = (h[:, t] >> np.uint64(BITS - cell_bits)).astype(np.int64) if cell_bits else np.zeros(len(h), np.int64)
+            first = (own >> wide) << wide
+            span = np.int64(1) << wide
+            i = np.repeat(np.arange(len(h)), span)
+            cell = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(span) - span, span)
+            full = cells[t, cell] > 0
+            yield t, h[:, t], depth, i[full], cell[full]
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in it:
+            for start in range(0, len(whole), 256):
+                for t, _, _, _, cell in visited(matrix(whole["v"].iloc[start : start + 256])):
+                    n_of = np.bincount(cell, minlength=1 << cell_bits)
+                    yield pd.DataFrame({"t": np.int32(t), "cell": np.flatnonzero(n_of), "n": n_of[n_of > 0]})
+
+    asked = stage(vectors.where(queries).join(members.where("nth = 1").select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), "rep"), "ann-asked")
+    ask_reps = stage(entries.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v"), "ann-queries")
+    blocks = np.ones((trees, 1 << cell_bits), np.int64)
+    for r in ask_reps.mapInPandas(count, "t int, cell long, n long").groupBy("t", "cell").agg(F.sum("n").alias("n")).collect():  # as many as cells
+        blocks[r["t"], r["cell"]] = -(-r["n"] // QUERY_ROWS)
+    mixed = lambda ids, salt: (ids.to_numpy().astype(np.uint64) * np.uint64(salt)) >> np.uint64(33)
+
     def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if not len(pdf):
                 continue
             s = np.stack(pdf["s"].to_numpy())
             c = ((s.view(np.uint64) ^ flip) >> np.uint64(BITS - cell_bits)).astype(np.int64) if cell_bits else np.zeros(s.shape, np.int64)
-            mixed = (pdf["rep"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for t in range(trees):
-                chunk = (mixed % chunks[t, c[:, t]].astype(np.uint64)).astype(np.int64)
-                yield pd.DataFrame({"t": np.int32(t), "cell": c[:, t], "chunk": chunk, "rep": pdf["rep"], "s": s[:, t], "v": pdf["v"]})
+                chunk = (mixed(pdf["rep"], 0x9E3779B97F4A7C15) % chunks[t, c[:, t]].astype(np.uint64)).astype(np.int64)
+                i = np.repeat(np.arange(len(pdf)), blocks[t, c[:, t]])
+                block = np.arange(len(i)) - np.searchsorted(i, i)
+                yield pd.DataFrame({"t": np.int32(t), "cell": c[i, t], "chunk": chunk[i], "block": block, "rep": pdf["rep"].to_numpy()[i], "s": s[i, t], "v": pdf["v"].to_numpy()[i]})
 
     def ask(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in it:
             for start in range(0, len(whole), 256):
                 pdf = whole.iloc[start : start + 256]
-                h = hash_strings(extended(matrix(pdf["v"]), norm, True), planes)
-                depth = common_depth(h, sums, need)
-                v = pdf["v"].to_numpy()
-                for t in range(trees):
-                    wide = np.maximum(0, cell_bits - depth)
-                    own = (h[:, t] >> np.uint64(BITS - cell_bits)).astype(np.int64) if cell_bits else np.zeros(len(h), np.int64)
-                    first = (own >> wide) << wide
-                    span = np.int64(1) << wide
-                    i = np.repeat(np.arange(len(h)), span)
-                    cell = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(span) - span, span)
+                v, rep, part = pdf["v"].to_numpy(), pdf["rep"].to_numpy(), mixed(pdf["rep"], 0xC2B2AE3D27D4EB4F)
+                for t, h, depth, i, cell in visited(matrix(pdf["v"])):
                     many = chunks[t, cell]
                     j = np.repeat(np.arange(len(i)), many)
                     chunk = np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many)
                     i, cell = i[j], cell[j]
-                    full = cells[t, cell] > 0
-                    i, cell, chunk = i[full], cell[full], chunk[full]
-                    yield pd.DataFrame({"t": np.int32(t), "cell": cell, "chunk": chunk, "q": pdf["rep"].to_numpy()[i], "s": (h[i, t] ^ flip).view(np.int64), "depth": depth[i], "v": v[i]})
+                    block = (part[i] % blocks[t, cell].astype(np.uint64)).astype(np.int64)
+                    yield pd.DataFrame({"t": np.int32(t), "cell": cell, "chunk": chunk, "block": block, "q": rep[i], "s": (h[i] ^ flip).view(np.int64), "depth": depth[i], "v": v[i]})
 
-    asked = stage(vectors.where(queries).join(members.where("nth = 1").select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), "rep"), "ann-asked")
-    ask_reps = entries.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
-    index = entries.mapInPandas(deal, "t int, cell long, chunk long, rep long, s long, v array<float>")
-    visits = ask_reps.mapInPandas(ask, "t int, cell long, chunk long, q long, s long, depth long, v array<float>")
-    by = ["t", "cell", "chunk"]
+    index = entries.mapInPandas(deal, f"t int, cell long, chunk long, block long, rep long, s long, v {kind}")
+    visits = ask_reps.mapInPandas(ask, f"t int, cell long, chunk long, block long, q long, s long, depth long, v {kind}")
+    by = ["t", "cell", "chunk", "block"]
 
     def cell_search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return search_cell(left, right, k + 1, need)

@@ -51,6 +51,23 @@ def test_nearest_finds_neighbours(spark, copies):
         assert [v for _, v, _ in sorted(found[0])][:10] == list(range(1, 11)) or found[0][0][2] > float((x[0] * x[0]).sum())
 
 
+@pytest.mark.parametrize("rows", [8192, 3])
+def test_nearest_ties_go_to_smaller_ids(spark, monkeypatch, rows):
+    # few values, so many different vectors tie; all are candidates; queries in one block and in many
+    monkeypatch.setattr(ann, "QUERY_ROWS", rows)
+    rng = np.random.default_rng(8)
+    x = rng.choice([-1.0, 1.0], (400, 8)).astype(np.float32)
+    ids = rng.permutation(400)
+    got = sorted(tuple(r) for r in ann.nearest(table(spark, x, ids), F.col("vec_id") % 20 == 0, k=10, needed=(1e9, 1.0)).collect())
+    assert got == brute(x, ids, lambda i: i % 20 == 0, 10, lambda c: c)
+
+
+def test_nearest_keeps_double_components(spark):
+    x = [[1.0 + 1e-12, 1.0], [1.0, 1.0], [1.0, 1.0 + 3e-12]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") == 1, k=2).collect()] == [(2, sum(x[2])), (0, sum(x[0]))]
+
+
 def test_nearest_few_and_empty(spark):
     one = table(spark, [[1.0] * 8], [0])
     assert ann.nearest(one, F.col("vec_id") % 20 == 0).count() == 0
