@@ -11,9 +11,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -69,6 +72,30 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> Iterator[None]:
+    """Within it, jobs hand rows to Python in batches of at most ``rows`` rows and about ``size`` bytes.
+
+    For operators whose rows are large; what is not run within it, such as a result that is still lazy, is not
+    concerned, and the session's own settings are put back.
+    """
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    was = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def join_side(table: DataFrame, most: int) -> DataFrame:
+    """A staged table of narrow rows as a side of a join: broadcast if it is counted to have at most ``most`` rows,
+    else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def release(spark: SparkSession) -> None:
     """Remove every staged table of this session (results that still read them become invalid)."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
