@@ -37,12 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.plans.staging import ship_package, stage
+from corpusmill.plans.staging import join_side, ship_package, small_batches, stage
 
 BAND = 3
 #: Documents and shingles of a block of an open bucket.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 ONE_TASK = 500_000
+#: Narrow rows up to which a side of a join is broadcast, by count; about 100 MB.
+SIDE_ROWS = 2_000_000
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -116,7 +118,7 @@ def sketches(sets: list[np.ndarray], functions: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, pct: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, rid, n, fp, bands, mins)`` of each row; the last three are null for an empty set."""
+    """``(doc_id, rid, row, n, fp, bands, mins)`` of each row; the last three are null for an empty set."""
     m, _ = plan(pct)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +134,7 @@ def signatures(docs: DataFrame, width: int, pct: int, id_col: str = "doc_id", te
                     b = _mix(b * np.uint64(31) + sk[:, j::BAND] + np.arange(m, dtype=np.uint64))
                 bands, mins = iter(list(b.view(np.int64))), iter([x.tobytes() for x in (sk >> np.uint64(32)).astype("<u4")])
             return pd.DataFrame({
-                "doc_id": part["doc_id"], "rid": part["rid"], "n": [len(s) for s in sets],
+                "doc_id": part["doc_id"], "rid": part["rid"], "row": part["row"], "n": [len(s) for s in sets],
                 "fp": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "bands": [next(bands) if len(s) else None for s in sets], "mins": [next(mins) if len(s) else None for s in sets],
             })
@@ -146,8 +148,8 @@ def signatures(docs: DataFrame, width: int, pct: int, id_col: str = "doc_id", te
                     yield done(pdf.iloc[at : i + 1], sets)
                     at, sets, size = i + 1, [], 0
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
-    return own.mapInPandas(_nullable_ids(run), "doc_id long, rid long, n long, fp binary, bands array<long>, mins binary")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return own.mapInPandas(_nullable_ids(run), "doc_id long, rid long, row long, n long, fp binary, bands array<long>, mins binary")
 
 
 def _nullable_ids(f):
@@ -159,13 +161,13 @@ def _nullable_ids(f):
     return g
 
 
-def _row_key(id_col: str, text_col: str) -> list[Column]:
-    """Stands for rows of one id and one text; a null id has a number of its own."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("kid"), F.xxhash64(text_col).alias("rid")]
+def row_key(id_col: str, text_col: str) -> Column:
+    """Stands for the rows of one id and one text."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_col)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(fp, hashes)``: the sets of the classes in ``wanted (kid, rid)``, one row each.
+    """``(fp, hashes)``: the sets of the classes in ``wanted (row)``, one row each.
 
     A class is asked for by one of its rows, so its copies stay where they are.
     """
@@ -177,8 +179,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str = "doc
                 sets = [shingle_set(t, width, words).tobytes() for t in pdf["text"].iloc[at : at + 256]]
                 yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(s) for s in sets], "hashes": sets})
 
-    one = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text")).join(wanted, ["kid", "rid"], "left_semi")
-    return one.groupBy("kid", "rid").agg(F.first("text").alias("text")).select("text").mapInPandas(run, "fp binary, hashes binary")
+    one = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(wanted, "row", "left_semi")
+    return one.groupBy("row").agg(F.first("text").alias("text")).select("text").mapInPandas(run, "fp binary, hashes binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -371,7 +373,7 @@ def _cells(opened: DataFrame) -> DataFrame:
     shape = parts.groupBy("key").agg(F.max(F.struct("c", "s", "comp")).alias("g"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
     shape = shape.select("key", F.col("g.comp").alias("large"), blocks(F.col("c"), F.col("s")).alias("all"), blocks(F.col("c") - F.col("g.c"), F.col("s") - F.col("g.s")).alias("few"))
-    dealt = opened.join(shape, "key").withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), "few").cast("int")).withColumn("j", F.pmod(F.xxhash64("fp"), "all").cast("int"))
+    dealt = opened.join(join_side(stage(shape, "shapes"), SIDE_ROWS), "key").withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), "few").cast("int")).withColumn("j", F.pmod(F.xxhash64("fp"), "all").cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     member = F.transform(upto("few"), lambda x: F.struct(x.alias("i"), F.col("j"), F.lit(False).alias("out")))
     outsider = F.transform(upto("all"), lambda x: F.struct(F.col("i"), x.alias("j"), F.lit(True).alias("out")))
@@ -387,10 +389,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
     ``rid`` is ``xxhash64`` of the text.
     """
     ship_package(docs.sparkSession)
+    with small_batches(docs.sparkSession):  # all that Python sees is staged in here
+        return _near_duplicates(docs, width, pct, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, width: int, pct: int, id_col: str, text_col: str) -> DataFrame:
     _, least = plan(pct)
     sig = stage(signatures(docs, width, pct, id_col, text_col), "signatures")
     classes = stage(
-        sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("kid"), "rid")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mins").alias("mins")),
+        sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mins").alias("mins")),
         "classes",
     )
     values = classes.select("fp", F.explode("bands").alias("h"))
@@ -419,8 +426,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
     star = stage(sketched.select("a", "b", "ma", "mb").mapInPandas(alike, "a binary, b binary"), "pairs")
 
     def sets_for(wanted: DataFrame) -> DataFrame:
-        rows = stage(classes.select("fp", "row").join(wanted, "fp", "left_semi").select("row.kid", "row.rid"), "wanted")
-        return stage(full_sets(docs, rows, width, id_col, text_col), "sets")
+        rows = stage(classes.select("fp", "row").join(wanted, "fp", "left_semi").select("row"), "wanted")
+        return stage(full_sets(docs, join_side(rows, SIDE_ROWS), width, id_col, text_col), "sets")
 
     ends = lambda pairs: pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     star_sets = sets_for(ends(star))
@@ -429,7 +436,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, pct: int = 80, id_col: str
     labelled = tables.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
     buckets = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("who"))
     open_keys = buckets.where("lo != hi and c > 2").groupBy("who", "c").agg(F.min("key").alias("key"))
-    opened = stage(labelled.join(open_keys.select("key"), "key", "left_semi").select("key", "fp", "n", "comp"), "open")
+    open_keys = join_side(stage(open_keys.select("key"), "open-keys"), SIDE_ROWS)
+    opened = stage(labelled.join(open_keys, "key", "left_semi").select("key", "fp", "n", "comp"), "open")
     grid = stage(_cells(opened), "cells")
     bucket = ["key", "i", "j"]
     in_order = lambda df: df.repartition(*bucket).sortWithinPartitions(*bucket)
