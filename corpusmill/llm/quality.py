@@ -217,8 +217,9 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
     """The rows of ``docs`` that score ``least`` or more.
 
     A filter that is pushed below the projection would put every statistic in place of its name, once for
-    each test of each rule.  A row number in that projection is not deterministic, so the filter stays above
-    it and every statistic is computed once a row.
+    each test of each rule.  What is observed between them counts all scored rows, so the filter has to stay
+    above, and every statistic is computed once a row.
     """
-    scored = score(docs, model, text_col, "__score").withColumn("__row", F.monotonically_increasing_id())
-    return scored.where((F.col("__row") >= 0) & (F.col("__score") >= least)).select(*docs.columns)
+    scored = score(docs, model, text_col, "__score")
+    counted = scored.observe("quality", F.count(F.lit(1)).alias("scored"), F.count_if(F.col("__score") < least).alias("rejected"))
+    return counted.where(F.col("__score") >= least).select(*docs.columns)
