@@ -76,9 +76,15 @@ def block_search(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
 
 
 def quantised(df: DataFrame, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(vec_id, w)``: components as ``floor(scale * x)`` in double precision; zero vectors stay."""
+    """``(vec_id, w)``: components as ``floor(scale * x)`` in double precision; zero vectors stay.
+
+    Components are held within plus and minus the square root of ``2**62 / length``, beyond which an inner
+    product need not fit 64 bits.
+    """
     vectors = usable_vectors(df, id_col, vec_col, allow_zero=True)
-    return vectors.select("vec_id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("w"))
+    most = F.floor(F.sqrt(F.lit(float(1 << 62)) / F.size("v")))
+    whole = lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))
+    return vectors.select("vec_id", F.transform("v", lambda x: F.greatest(-most, F.least(most, whole(x)))).alias("w"))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
