@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from corpusmill.plans.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE = 5000
+SLICE = 1000
 
 
 def n_words(text: Column) -> Column:
