@@ -100,6 +100,14 @@ def test_topk_is_exact(spark, shard_rows):
     assert got == [(q, r, v, int(s)) for q, r, v, s in brute(x, ids, lambda i: i % 10 == 0, 5, lambda c: np.floor(256 * c))]
 
 
+def test_topk_of_very_large_components(spark):
+    x = [[3e38, 1.0], [1.0, 1.0], [-3e38, 2.0], [2.0, 0.5]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = [(r["vec_id"], r["score"]) for r in maxscore.search(maxscore.quantised(df), F.col("vec_id") == 1).orderBy("rank").collect()]
+    most = int((2.0**62 / 2) ** 0.5)  # components are held to what 64 bits can carry
+    assert got == [(0, 256 * most + 256 * 256), (3, 256 * 512 + 256 * 128), (2, -256 * most + 256 * 512)]
+
+
 def test_topk_prunes_and_handles_little(spark):
     rng = np.random.default_rng(1)
     w = rng.integers(-50, 50, (500, 6))
