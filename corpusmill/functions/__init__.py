@@ -1,11 +1,34 @@
-"""Small functions: sizes in bytes, path guards, format sniffing."""
+"""Small functions: tables and maps as constants, sizes in bytes, path guards, format sniffing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import zlib
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that is a constant of the plan, so its size is known and no Python worker makes it."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    data = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    typed = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{typed}>>")))
+
+
+def lookup(pairs: dict[str, str]) -> Callable[[Column], Column]:
+    """A function from a column to what a small constant map holds for it, or null; maps lie in buckets of a hash, so
+    a look-up does not go through all pairs."""
+    n = max(1, len(pairs) // 2)
+    buckets: list[dict[str, str]] = [{} for _ in range(n)]
+    for k, v in pairs.items():
+        buckets[zlib.crc32(k.encode()) % n][k] = v
+    index = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+    return lambda key: F.try_element_at(F.get(index, F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")), key)
+
+
 def human_bytes(n: Column) -> Column:
     """``512 B``, ``1.5 KB``, ... with 1024 to the next unit; exact halves go to the even tenth."""
 
@@ -68,6 +91,12 @@ def sniff_format(content: Column, magic: bytes) -> Column:
     return F.when(F.substring(content, 1, len(magic)) == F.lit(magic), F.lit("single")).when(F.substring(content, 1, len(sqlite)) == F.lit(sqlite), F.lit("split"))
 
 
+def footer_bytes(catalog_offset: Column, blob_offset: Column, checksum: Column) -> Column:
+    """24 bytes: two offsets, big-endian, and the first 8 bytes of a checksum in hex digits."""
+    big = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))
+    return F.concat(big(catalog_offset), big(blob_offset), F.unhex(F.substring(checksum, 1, 16)))
+
+
 def footer(content: Column) -> Column:
     """``(catalog_offset, blob_offset, checksum)`` of the last 24 bytes, big-endian; null below 32 bytes."""
     tail = F.hex(F.substring(content, -24, 24))

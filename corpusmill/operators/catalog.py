@@ -69,20 +69,31 @@ def tree_entries(ordered: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def paths(entries: DataFrame, named: DataFrame) -> DataFrame:
-    """``(id, path)`` rebuilt from parents and names, one level a round; an unknown parent counts as a root.
+    """``(id, path)`` rebuilt from parents and names; an unknown parent counts as a root.
 
-    Rounds join only the rows of the last level, and each is a staged table.
+    Directories find their paths by pointer doubling: each round joins the part of a path that is known to
+    the part of the directory where it ends, so rounds grow with the logarithm of the depth.  All others
+    take their directory's path and are joined once.  Entries below themselves have no path.
     """
-    nodes = stage(entries.join(named.withColumnRenamed("id", "name_id"), "name_id").select("id", "parent_id", "name"), "nodes")
-    known = nodes.select(F.col("id").alias("parent_id"))
-    orphan = nodes.join(known, "parent_id", "left_anti").select("id", F.col("name").alias("path"))
-    level, done = stage(orphan, "level"), None
-    while not level.isEmpty():
-        done = level if done is None else done.unionByName(level)
-        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        nxt = nodes.join(above, "parent_id").select("id", F.when(F.col("above") == ".", F.col("name")).otherwise(F.concat_ws("/", "above", "name")).alias("path"))
-        level = stage(nxt, "level")
-    return orphan if done is None else done
+    nodes = stage(entries.join(named.withColumnRenamed("id", "name_id"), "name_id").select("id", "parent_id", "name", "kind"), "nodes")
+    dirs = nodes.where("kind = 'dir'").select("id", "parent_id", "name")
+    known = dirs.select(F.col("id").alias("parent_id"), F.col("id").alias("up"))
+    parts = stage(dirs.join(known, "parent_id", "left").select("id", "up", F.col("name").alias("path")), "dir-paths")
+    # below the root itself, which is named ".", paths begin anew
+    joined = lambda above, end, own: F.when(end.isNull() & (above == "."), own).otherwise(F.concat_ws("/", above, own))
+    left = parts.where("up is not null").count()
+    while left:
+        upper = parts.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        both = parts.join(upper, "up", "left")
+        open_ = F.col("up").isNotNull()
+        parts = stage(both.select("id", F.when(open_, F.col("next")).alias("up"), F.when(open_, joined(F.col("above"), F.col("next"), F.col("path"))).otherwise(F.col("path")).alias("path")), "dir-paths")
+        left, before = parts.where("up is not null").count(), left
+        if left == before:  # only loops are left
+            break
+    above = parts.select(F.col("id").alias("parent_id"), F.col("up").alias("end"), F.col("path").alias("above"))
+    rest = nodes.where("kind <> 'dir'").join(above, "parent_id", "left").where("end is null")
+    own = F.when(F.col("above").isNull(), F.col("name")).otherwise(joined(F.col("above"), F.col("end"), F.col("name")))
+    return parts.where("up is null").select("id", "path").unionByName(rest.select("id", own.alias("path")))
 
 
 def blob_table(log: DataFrame, sizes: DataFrame) -> DataFrame:

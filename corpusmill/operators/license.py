@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill import functions as fn
 from corpusmill.operators.dedup import sha
 from corpusmill.operators.fixed import LICENSES
 from corpusmill.operators.linediff import apply_ops, diff
@@ -37,7 +38,7 @@ def body(text: Column) -> Column:
 def templates(spark: SparkSession, notices: dict[str, str] | None = None) -> DataFrame:
     """``(spdx, template, full_sha, body_sha)``."""
     rows = list((LICENSES if notices is None else notices).items())
-    df = spark.createDataFrame(rows, "spdx string, text string")
+    df = fn.literal_table(spark, rows, "spdx string, text string")
     return df.select("spdx", normalised(F.col("text")).alias("template"), sha(normalised(F.col("text"))).alias("full_sha"), sha(body(F.col("text"))).alias("body_sha"))
 
 
@@ -48,9 +49,11 @@ def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
     return {r["spdx"]: r["text"] for r in named.orderBy("spdx").collect()}
 
 
-def detect(files: DataFrame, known: DataFrame) -> DataFrame:
+def detect(files: DataFrame, known: DataFrame, content: str = "content") -> DataFrame:
     """Add ``spdx`` and ``match`` (``full``, ``body`` or null); ``known`` is a table that Spark broadcasts by its size."""
-    h = files.withColumns({"__full": sha(normalised(F.col("content"))), "__body": sha(body(F.col("content")))})
+    text = F.col(content)
+    hashed = lambda c: F.when(text.isNotNull(), sha(c))
+    h = files.withColumns({"__full": hashed(normalised(text)), "__body": hashed(body(text))})
     h = h.join(known.select(F.col("full_sha").alias("__full"), F.col("spdx").alias("__s1")), "__full", "left")
     h = h.join(known.select(F.col("body_sha").alias("__body"), F.col("spdx").alias("__s2")), "__body", "left")
     return h.withColumn("spdx", F.coalesce("__s1", "__s2")).withColumn("match", F.when(F.col("__s1").isNotNull(), "full").when(F.col("__s2").isNotNull(), "body")).drop("__full", "__body", "__s1", "__s2")
@@ -66,10 +69,10 @@ def _compact(spdx: str, ops: list[tuple[str, list[str]]], newline: bool) -> str:
     return json.dumps({"spdx": spdx, **({"ops": out} if out else {}), **({"nl": True} if newline else {})}, ensure_ascii=False, separators=(",", ":"))
 
 
-def apply_rule(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Add ``params``: how the file follows from its template; null if it is not one, if the params exceed
-    900 bytes, or if they would not restore the content byte for byte."""
-    found = detect(files, known).join(known.select("spdx", "template"), "spdx", "left")
+def apply_rule(files: DataFrame, known: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``spdx``, ``match``, ``template`` and ``params``: how the file follows from its template; null if it is not
+    one, if the params exceed 900 bytes, or if they would not restore the content byte for byte."""
+    found = detect(files, known, content).join(known.select("spdx", "template"), "spdx", "left")
 
     @F.pandas_udf("string")
     def params(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -85,7 +88,17 @@ def apply_rule(files: DataFrame, known: DataFrame) -> DataFrame:
                 out.append(p if len(p.encode()) <= MOST_PARAMS and restore(t, p) == c else None)
             yield pd.Series(out, dtype=object)
 
-    return found.withColumn("params", params("spdx", "match", "template", F.when(F.col("spdx").isNotNull(), F.col("content")))).drop("template")
+    return found.withColumn("params", params("spdx", "match", "template", F.when(F.col("spdx").isNotNull(), F.col(content))))
+
+
+def restored(template: Column, params: Column) -> Column:
+    """What :func:`restore` makes of a template and params; null if either is."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else restore(x, y) for x, y in zip(t, p, strict=True)], dtype=object)
+
+    return run(template, params)
 
 
 def restore(template: str, params: str) -> str:

@@ -15,31 +15,33 @@ OPS = "array<struct<kind:string,lines:array<string>>>"
 def diff(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
     """Runs of ``=``, ``-`` and ``+`` that turn ``a`` into ``b`` with the fewest lines changed.
 
-    Greedy search by furthest-reaching paths; only the frontier of each round is kept for the way back.
+    Every diagonal holds how far its best path comes and that path, a chain of steps of which paths share
+    what they have in common; what no best path needs any more is forgotten.
     """
-    reach, rounds = {1: 0}, []
+    if not a or not b:
+        return [("-", a)] if a else [("+", b)] if b else []
+    goal, best = len(a) - len(b), {1: (0, None)}
     for d in range(len(a) + len(b) + 1):
-        rounds.append(dict(reach))
         for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-        if reach.get(len(a) - len(b), -1) >= len(a):
-            break
-    steps, x, y = [], len(a), len(b)
-    for d in range(d, 0, -1):
-        was, k = rounds[d], x - y
-        down = k == -d or (k != d and was[k - 1] < was[k + 1])
-        px = was[k + 1] if down else was[k - 1]
-        py = px - (k + 1 if down else k - 1)
-        while x > px + (not down) and y > py + down:
-            steps.append(("=", a[x - 1]))
-            x, y = x - 1, y - 1
-        steps.append(("+", b[y - 1]) if down else ("-", a[x - 1]))
-        x, y = px, py
-    steps.extend(("=", line) for line in reversed(a[:x]))
+            insert = k == -d or (k != d and best[k - 1][0] < best[k + 1][0])
+            at, path = best[k + 1] if insert else best[k - 1]
+            at += not insert
+            end = at
+            while end < len(a) and end - k < len(b) and a[end] == b[end - k]:
+                end += 1
+            best[k] = end, (d and ("+" if insert else "-"), at, end, k, path)
+            if k == goal and end >= len(a):
+                return _script(best[k][1], a, b)
+    raise AssertionError("some script always turns a into b")
+
+
+def _script(path: tuple | None, a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
+    steps: list[tuple[str, str]] = []  # from the end
+    while path:
+        kind, at, end, k, path = path
+        steps.extend(("=", line) for line in reversed(a[at:end]))
+        if kind:
+            steps.append((kind, b[at - k - 1] if kind == "+" else a[at - 1]))
     return [(kind, [line for _, line in run]) for kind, run in groupby(reversed(steps), key=lambda s: s[0])]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill import functions as fn
 from corpusmill.operators.fixed import GO_LINES
 
 MOST_ENTRIES = 254
@@ -57,41 +58,37 @@ def line_dictionary(frequency: DataFrame, entries: int = MOST_ENTRIES) -> DataFr
 
 def fixed_dictionary(spark: SparkSession) -> DataFrame:
     """``(idx, line, code)`` of the lines of Go sources that ``go-line-subst/v1`` stands for."""
-    rows = spark.createDataFrame(list(enumerate(GO_LINES)), "idx int, line string")
+    rows = fn.literal_table(spark, list(enumerate(GO_LINES)), "idx int, line string")
     return rows.withColumn("code", code_of(F.col("idx")))
 
 
-def _maps(dictionary: DataFrame) -> tuple[Column, Column]:
-    rows = dictionary.select("line", "code").collect()  # at most 254
-    if not rows:
-        empty = F.create_map().cast("map<string,string>")
-        return empty, empty
-    there = F.create_map(*[x for r in rows for x in (F.lit(r["line"]), F.lit("\x00" + chr(r["code"])))])
-    back = F.create_map(*[x for r in rows for x in (F.lit(chr(r["code"])), F.lit(r["line"]))])
-    return there, back
+def pairs(dictionary: DataFrame) -> list[tuple[str, str]]:
+    """Lines and the characters that stand for them, at most 254; a dictionary that is dear to compute is staged first."""
+    return [(r["line"], chr(r["code"])) for r in dictionary.select("line", "code").collect()]
 
 
-def encode(files: DataFrame, dictionary: DataFrame, name: str = "encoded") -> DataFrame:
-    """Add the encoded content; null where the content holds a 0x00 and cannot be encoded."""
-    there, _ = _maps(dictionary)
+def encode(files: DataFrame, dictionary: DataFrame, name: str = "encoded", content: str = "content") -> DataFrame:
+    """Add the encoded content; null where the content holds a 0x00 or is no valid UTF-8 and cannot be encoded."""
+    there = fn.lookup({line: f"\x00{code}" for line, code in pairs(dictionary)})
 
     def one(line: Column) -> Column:
-        hit = F.element_at(there, bare(line))
+        hit = there(bare(line))
         indent = F.substring(line, F.lit(1), F.length(line) - F.length(bare(line)))
         return F.when(hit.isNotNull(), F.concat(indent, hit)).otherwise(line)
 
-    body = F.array_join(F.transform(split_lines(F.col("content")), one), "\n")
-    return files.withColumn(name, F.when(~F.contains(F.coalesce("content", F.lit("")), F.lit("\x00")), body))
+    text = F.coalesce(F.col(content), F.lit(""))
+    body = F.array_join(F.transform(split_lines(text), one), "\n")
+    return files.withColumn(name, F.when(~F.contains(text, F.lit("\x00")) & F.is_valid_utf8(text), body))
 
 
 def decode(files: DataFrame, dictionary: DataFrame, encoded: str = "encoded", name: str = "decoded") -> DataFrame:
     """Invert :func:`encode`; a line whose byte codes nothing stays as it is."""
-    _, back = _maps(dictionary)
+    back = fn.lookup({code: line for line, code in pairs(dictionary)})
 
     def one(line: Column) -> Column:
-        at = F.locate("\x00", line) if isinstance(line, str) else F.instr(line, "\x00")
-        hit = F.element_at(back, F.substring(line, at + 1, F.lit(1)))
-        return F.when((at > 0) & hit.isNotNull(), F.concat(F.substring(line, F.lit(1), at - 1), hit)).otherwise(line)
+        at = F.instr(line, "\x00")
+        hit = F.when(at > 0, back(F.substring(line, at + 1, F.lit(1))))
+        return F.when(hit.isNotNull(), F.concat(F.substring(line, F.lit(1), at - 1), hit)).otherwise(line)
 
     return files.withColumn(name, F.array_join(F.transform(split_lines(F.col(encoded)), one), "\n"))
 

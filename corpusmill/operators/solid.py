@@ -15,6 +15,8 @@ from corpusmill.plans.staging import ship_package, stage
 
 DEFAULT_BLOCK = 4 << 20
 NONE, ZSTD, ZSTD_DICT, SOLID = 0, 1, 2, 3
+#: Blobs of a run, by number.
+RUN_ROWS = 100_000
 STORED = "block_id long, blob_id long, payload binary, ulen long, clen long"
 
 
@@ -50,16 +52,16 @@ def pack(blobs: DataFrame, most: int = DEFAULT_BLOCK) -> DataFrame:
     """``(blob_id, ulen, block_id, block_offset)``: in id order, a blob starts a new block if the current one
     has bytes and would exceed ``most``; an empty blob never does.
 
-    The rule depends on all rows before, but only through the bytes used so far.  Runs of ids are dealt
-    out by range; each run tells, for every blob that may be its first to start a block (those within its
+    The rule depends on all rows before, but only through the bytes used so far.  Runs are ids within
+    :data:`RUN_ROWS` of each other; each run tells, for every blob that may be its first to start a block (those within its
     first ``most`` bytes), how it would end.  One row a run is then chained, and the runs place their
     blobs side by side.  Contents stay where they are.
     """
     ship_package(blobs.sparkSession)
     slim = blobs.select(F.col("blob_id").cast("long").alias("blob_id"), F.col("ulen").cast("long").alias("ulen"))
-    runs = stage(slim.repartitionByRange("blob_id").withColumn("run", F.spark_partition_id()), "runs")
+    runs = slim.withColumn("run", F.floor(F.col("blob_id") / RUN_ROWS))
 
-    def outcome(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def outcome(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         through, more, used = _outcomes(pdf, most)
         return pd.DataFrame({"run": [key[0]], "total": [int(pdf["ulen"].sum())], "through": [through], "more": [more], "used": [used]})
 
@@ -78,11 +80,11 @@ def pack(blobs: DataFrame, most: int = DEFAULT_BLOCK) -> DataFrame:
                     block, used = block + 1 + int(r.more[j]), int(r.used[j])
             yield pd.DataFrame(starts, columns=["run", "block", "used"])
 
-    ends = runs.groupBy("run").applyInPandas(outcome, "run int, total long, through array<long>, more array<long>, used array<long>")
+    ends = runs.groupBy("run").applyInPandas(outcome, "run long, total long, through array<long>, more array<long>, used array<long>")
     # a row for each run, so the stream that chains them is short
-    starts = ends.repartition(1).sortWithinPartitions("run").mapInPandas(chain, "run int, block long, used long")
+    starts = ends.repartition(1).sortWithinPartitions("run").mapInPandas(chain, "run long, block long, used long")
 
-    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, block, used = (int(x) for x in key)
         pdf = pdf.sort_values("blob_id", ignore_index=True)
         sizes = pdf["ulen"].to_numpy(np.int64)

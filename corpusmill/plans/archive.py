@@ -7,7 +7,8 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import canonical, catalog, license, lines, solid
+from corpusmill import functions as fn
+from corpusmill.operators import catalog, solid
 from corpusmill.plans import planner
 from corpusmill.plans import rules as R
 from corpusmill.plans.staging import stage
@@ -33,33 +34,23 @@ def build(
     (``simple``; later blobs use it).
     """
     spark = files.sparkSession
-    dictionary = lines.fixed_dictionary(spark) if dictionary is None else dictionary
-    known = license.templates(spark) if known is None else known
+    context = R.context(spark, dictionary, known)
     if "kind" not in files.columns:
         files = files.withColumn("kind", F.lit("file"))
     every = planner.write_order(catalog.with_directories(files.drop("content", "path")))
     if "file_id" not in files.columns:
         every = every.withColumn("file_id", F.when(F.col("kind") == "file", F.col("entry_id")))
     every = stage(every, "order")
-    own = files.where("kind = 'file'").drop("file_id").withColumn("content", F.col("content").cast("string"))
-    ordered = own.join(every.where("kind = 'file'").select("rel_path", "entry_id", "file_id"), "rel_path")
-    log = stage(planner.plan(ordered, dictionary, known, rules, disabled), "log")
-    shown = planner.handled(ordered, dictionary, known, tuple(r for r in rules if r.id not in disabled))
-    out = F.col("content")
-    for rule_id, col in planner._OUT.items():
-        if col in shown.columns:
-            out = F.when(F.col("transform") == rule_id, F.col(col)).otherwise(out)
-    param = F.lit(None).cast("string")
-    if "params" in shown.columns:
-        param = F.when(F.col("transform") == R.LICENSE.id, F.col("params"))
-    if "template" in shown.columns:
-        param = F.when(F.col("transform") == R.LOG.id, F.to_json(F.struct(F.col("template").alias("tmpl")))).otherwise(param)
-    chosen = shown.join(log.select("file_id", "transform", "stored_sha"), "file_id")
-    kept = stage(chosen.select("file_id", "entry_id", "transform", "stored_sha", param.alias("params"), F.coalesce(out, F.lit("")).cast("binary").alias("bytes")), "stored")
-    stored = kept.where(F.coalesce("transform", F.lit("")) != R.DEDUP.id).groupBy(F.col("stored_sha").alias("sha")).agg(F.first("bytes").alias("bytes"))
-    sizes = kept.groupBy(F.col("stored_sha").alias("sha")).agg(F.max(F.octet_length("bytes")).cast("long").alias("ulen"))
+    own = files.where("kind = 'file'").select("rel_path", "size", "content")
+    # contents are worked on once, where they are read; what is decided and numbered are narrow rows
+    kept = stage(planner.candidates(own, context, rules, disabled), "candidates")
+    slim = stage(kept.drop("bytes").join(every.where("kind = 'file'").select("rel_path", "entry_id", "file_id"), "rel_path"), "plan")
+    log = stage(planner.decide(slim, rules, disabled), "log")
+    sizes = slim.groupBy(F.col("own_sha").alias("sha")).agg(F.max("own_len").alias("ulen"))
     blobs = stage(catalog.blob_table(log, sizes), "blobs")
-    payload = blobs.select("blob_id", "sha").join(stored, "sha").select("blob_id", "bytes")
+    # a blob's bytes are those of the file that first stored it
+    holders = blobs.join(every.select(F.col("entry_id").alias("first_entry"), "rel_path"), "first_entry").select("rel_path", "blob_id")
+    payload = kept.select("rel_path", "bytes").join(holders, "rel_path").select("blob_id", "bytes")
     meta = [("version", "1"), ("transforms", ",".join(r.id for r in rules))]
     if block_bytes:
         packed = stage(solid.pack(blobs, block_bytes), "packed")
@@ -69,6 +60,7 @@ def build(
     else:
         after, trained = 0, None
         if train == "prescan":
+            ordered = own.join(every.where("kind = 'file'").select("rel_path", "entry_id"), "rel_path")
             trained = solid.train_dictionary(ordered.select(F.col("entry_id").alias("file_id"), "size", "content"))
         elif train == "simple":
             small = payload.select(F.col("blob_id").alias("file_id"), F.octet_length("bytes").cast("long").alias("size"), F.col("bytes").alias("content"))
@@ -80,8 +72,9 @@ def build(
         blocks = singles.drop("compressed")
         full = blobs.join(singles.select("blob_id", "block_id", "clen", "compressed"), "blob_id").withColumn("block_offset", F.lit(None).cast("long"))
     named = stage(catalog.names(every), "names")
-    entries = catalog.tree_entries(every, named).join(kept.select(F.col("entry_id").alias("id"), "transform", "params"), "id", "left")
-    return catalog.Catalog(spark.createDataFrame(meta, "key string, value string"), named, entries, full, catalog.entry_blobs(log, blobs), log if keep_log else None, blocks)
+    entries = catalog.tree_entries(every, named).join(log.select(F.col("entry_id").alias("id"), "transform", "params"), "id", "left")
+    links = catalog.entry_blobs(log, blobs)
+    return catalog.Catalog(fn.literal_table(spark, meta, "key string, value string"), named, entries, full, links, log.drop("params") if keep_log else None, blocks)
 
 
 def check_transforms(entries: DataFrame, rules: tuple[R.Rule, ...] = R.ALL) -> DataFrame:
@@ -89,33 +82,25 @@ def check_transforms(entries: DataFrame, rules: tuple[R.Rule, ...] = R.ALL) -> D
     return entries.where(F.col("transform").isNotNull() & ~F.col("transform").isin([r.id for r in rules])).select("transform").distinct()
 
 
-def restore(c: catalog.Catalog, dictionary: DataFrame | None = None, rules: tuple[R.Rule, ...] = R.ALL) -> DataFrame:
+def restore(c: catalog.Catalog, dictionary: DataFrame | None = None, rules: tuple[R.Rule, ...] = R.ALL, known: DataFrame | None = None) -> DataFrame:
     """``(id, rel_path, kind, content)`` and the entries' metadata; an unknown rule id is an error before any output."""
-    dictionary = lines.fixed_dictionary(c.entries.sparkSession) if dictionary is None else dictionary
+    context = R.context(c.entries.sparkSession, dictionary, known)
     unknown = [r["transform"] for r in check_transforms(c.entries, rules).limit(5).collect()]
     if unknown:
         raise ValueError(f"unknown transforms: {unknown}")
     trained = [base64.b64decode(r["value"]) for r in c.meta.where("key = 'dict'").collect()]
     data = solid.unpack(c.blobs, c.blocks, trained[0] if trained else None)
     whole = c.entries.join(c.entry_blobs.where("seq = 0").select(F.col("entry_id").alias("id"), "blob_id"), "id", "left").join(data, "blob_id", "left")
-    whole = whole.withColumn("stored", F.col("bytes").cast("string")).drop("bytes")
-    whole = lines.decode(whole, dictionary, "stored", "__lines")
-    back = license.restore
-
-    @F.pandas_udf("string")
-    def from_template(template, params):
-        return template.combine(params, lambda t, p: None if t is None or p is None else back(t, p))
-
-    spdx = F.when(F.col("transform") == R.LICENSE.id, F.get_json_object("params", "$.spdx"))
-    whole = whole.withColumn("__spdx", spdx)
-    own = whole.where(F.col("__spdx").isNull()).withColumn("__license", F.lit(None).cast("string"))
-    licensed = whole.where(F.col("__spdx").isNotNull()).withColumn("__license", from_template("stored", "params"))
-    every = own.unionByName(licensed)
-    content = (
-        F.when(F.col("transform") == R.LINES.id, F.col("__lines"))
-        .when(F.col("transform") == R.LICENSE.id, F.col("__license"))
-        .when(F.col("transform") == R.LOG.id, canonical.log_restore(F.get_json_object("params", "$.tmpl"), F.col("stored")))
-        .otherwise(F.col("stored"))
-    )
+    whole = whole.withColumn("__stored", F.col("bytes").cast("string")).drop("bytes")
+    used = {r["transform"] for r in c.entries.where("transform is not null").select("transform").distinct().collect()}  # no more than there are rules
+    content = F.col("__stored")
+    for i, r in enumerate(rules):
+        if r.restore is None or r.id not in used:
+            continue
+        mine = F.col("transform") == r.id
+        whole = whole.withColumns({"__own": F.when(mine, F.col("__stored")), "__params": F.when(mine, F.col("params"))})
+        whole = r.restore(whole, "__own", "__params", context, f"__back_{i}")
+        content = F.when(mine, F.col(f"__back_{i}")).otherwise(content)
     paths = catalog.paths(c.entries, c.names)
-    return every.select("id", "kind", F.when(F.col("kind") == "file", content).alias("content"), *[m for m in catalog.META if m in c.entries.columns]).join(paths.withColumnRenamed("path", "rel_path"), "id")
+    meta = [m for m in catalog.META if m in c.entries.columns]
+    return whole.select("id", "kind", F.when(F.col("kind") == "file", content).alias("content"), *meta).join(paths.withColumnRenamed("path", "rel_path"), "id")

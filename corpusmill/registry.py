@@ -177,7 +177,7 @@ def line_subst_stats(spark, sf):
 
 @query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS mismatches FROM documents")
 def line_subst_roundtrip(spark, sf):
-    d = dictionary(spark, sf)
+    d = stage(dictionary(spark, sf), "dictionary")
     back = lines.decode(lines.encode(corpus(spark, sf), d), d)
     return back.agg(F.count("*").alias("files"), F.count(F.when(~F.col("decoded").eqNullSafe(F.col("content")), 1)).alias("mismatches"))
 
@@ -269,14 +269,8 @@ def license_summary(spark, sf):
 @query(f"WITH {HELD} SELECT count(*) AS files, count(spdx) AS handled, CAST(0 AS BIGINT) AS mismatches FROM det")
 def license_roundtrip(spark, sf):
     known = license.templates(spark)
-    done = license.apply_rule(licensed(spark, sf), known).join(known.select("spdx", "template"), "spdx", "left")
-    back = license.restore
-
-    @F.pandas_udf("string")
-    def again(template, params):
-        return template.combine(params, lambda t, p: None if t is None or p is None else back(t, p))
-
-    done = done.withColumn("back", again("template", "params"))
+    done = license.apply_rule(licensed(spark, sf), known)
+    done = done.withColumn("back", license.restored(F.col("template"), F.col("params")))
     return done.agg(F.count("*").alias("files"), F.count("params").alias("handled"), F.count(F.when(F.col("params").isNotNull() & ~F.col("back").eqNullSafe(F.col("content")), 1)).alias("mismatches"))
 
 
@@ -298,14 +292,15 @@ def line_diff_stats(spark, sf):
 # --- planning
 
 
-def ordered_files(spark, sf) -> DataFrame:
-    files = corpus(spark, sf)
-    every = planner.write_order(catalog.with_directories(files.select("file_id", "rel_path", "size")))
-    return files.join(every.where("kind = 'file'").select("file_id", "entry_id"), "file_id")
+def file_order(spark, sf) -> DataFrame:
+    """``(file_id, entry_id, rel_path)`` of the files of the tree."""
+    every = planner.write_order(catalog.with_directories(corpus(spark, sf).select("file_id", "rel_path", "size")))
+    return every.where("kind = 'file'").select("file_id", "entry_id", "rel_path")
 
 
-def planned(spark, sf, disabled: tuple[str, ...] = ()) -> DataFrame:
-    return planner.plan(ordered_files(spark, sf), dictionary(spark, sf), license.templates(spark), disabled=disabled)
+def planned(spark, sf, disabled: tuple[str, ...] = (), order: DataFrame | None = None) -> DataFrame:
+    order = file_order(spark, sf) if order is None else order
+    return planner.plan(corpus(spark, sf), stage(dictionary(spark, sf), "dictionary"), license.templates(spark), disabled=disabled, order=order.select("file_id", "entry_id"))
 
 
 @query(f"""WITH {FILES}, b AS (SELECT *, regexp_extract(rel_path, '[^/]*$') AS base FROM files)
@@ -392,11 +387,11 @@ def tree_paths(spark, sf):
 
 @query(f"WITH {BLOBS} SELECT entry_id, rel_path, l.transform_id, b.blob_id FROM plan_log l JOIN ordered o USING (entry_id) JOIN blobs b ON b.sha = l.stored_sha")
 def walk_entries(spark, sf):
-    files = ordered_files(spark, sf)
-    log = stage(planner.plan(files, dictionary(spark, sf), license.templates(spark)), "log")
+    order = stage(file_order(spark, sf), "order")
+    log = stage(planned(spark, sf, order=order), "log")
     blobs = catalog.blob_table(log, log.select(F.col("stored_sha").alias("sha"), F.lit(0).alias("ulen")).distinct())
     links = catalog.entry_blobs(log, blobs)
-    return log.select("entry_id", "transform_id").join(files.select("entry_id", "rel_path"), "entry_id").join(links.select("entry_id", "blob_id"), "entry_id")
+    return log.select("entry_id", "transform_id").join(order.select("entry_id", "rel_path"), "entry_id").join(links.select("entry_id", "blob_id"), "entry_id")
 
 
 @query(f"WITH {FILES}, parts AS (SELECT *, string_split(rel_path, '/') AS p FROM files), u AS (SELECT array_to_string(p[1:i], '/') AS dir, size FROM (SELECT p, size, unnest(range(1, len(p))) AS i FROM parts)) SELECT dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM u GROUP BY 1")
@@ -419,13 +414,11 @@ def url_tree(spark, sf):
 
 @query(f"WITH {BLOBS} SELECT blob_id, sha, ulen, first_entry FROM blobs")
 def blob_ids(spark, sf):
-    files = ordered_files(spark, sf)
-    known = license.templates(spark)
-    log = stage(planner.plan(files, dictionary(spark, sf), known), "log")
-    encoded = planner.handled(files, dictionary(spark, sf), known, (R.LINES,)).join(log.select("file_id", "transform", "stored_sha"), "file_id")
-    out = F.when(F.col("transform") == R.LINES.id, F.col("__out_lines")).otherwise(F.col("content"))
-    sizes = encoded.groupBy(F.col("stored_sha").alias("sha")).agg(F.max(F.octet_length(out)).cast("long").alias("ulen"))
-    return catalog.blob_table(log, sizes)
+    context = R.Context(stage(dictionary(spark, sf), "dictionary"), license.templates(spark))
+    cands = planner.candidates(corpus(spark, sf), context).drop("bytes", "rel_path")
+    slim = stage(cands.join(file_order(spark, sf).select("file_id", "entry_id"), "file_id"), "plan")
+    sizes = slim.groupBy(F.col("own_sha").alias("sha")).agg(F.max("own_len").alias("ulen"))
+    return catalog.blob_table(stage(planner.decide(slim), "log"), sizes)
 
 
 @query(f"WITH {UNIQUE} SELECT blob_id, sha FROM ids")
