@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,10 +165,24 @@ def single(contents: DataFrame, compressor: str = "zstd", level: int = 3, dictio
 
 def unpack(blobs: DataFrame, stored: DataFrame, dictionary: bytes | None = None) -> DataFrame:
     """``(blob_id, bytes)`` of ``blobs (blob_id, ulen, block_id, block_offset, compressed)``: every block is
-    decoded once, before its blobs are cut out.  A blob that the store lacks is empty."""
-    whole = stored.where("block_id is not null").select("block_id", decompressed(F.col("payload")).alias("data"))
-    cut = F.substring(F.col("data"), (F.col("block_offset") + 1).cast("int"), F.col("ulen").cast("int"))
-    solid = blobs.where(F.col("compressed") == SOLID).join(whole, "block_id", "left").select("blob_id", cut.alias("bytes"))
+    decoded once, and its blobs are cut out there.  A blob that the store lacks is empty."""
+    ship_package(blobs.sparkSession)
+    # an empty blob needs no block, so a block's list has an entry for each of its bytes at most
+    parts = blobs.where((F.col("compressed") == SOLID) & (F.col("ulen") > 0)).groupBy("block_id").agg(F.collect_list(F.struct("blob_id", "block_offset", "ulen")).alias("parts"))
+    empty = blobs.where((F.col("compressed") == SOLID) & ~(F.col("ulen") > 0)).select("blob_id", F.lit(b"").alias("bytes"))
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        for batch in it:
+            for payload, own in zip(batch.column(0), batch.column(1), strict=True):
+                data = b"" if payload.as_py() is None else d.decompressobj().decompress(payload.as_py())
+                own = own.as_py()
+                for at in range(0, len(own), 1000):
+                    some = own[at : at + 1000]
+                    pieces = [data[x["block_offset"] : x["block_offset"] + x["ulen"]] for x in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([x["blob_id"] for x in some], pa.int64()), pa.array(pieces, pa.binary())], ["blob_id", "bytes"])
+
+    solid = parts.join(stored.where("block_id is not null").select("block_id", "payload"), "block_id", "left").select("payload", "parts").mapInArrow(cut, "blob_id long, bytes binary").unionByName(empty)
     alone = blobs.where(F.col("compressed") != SOLID).select("blob_id", "compressed").join(stored.where("blob_id is not null").select("blob_id", "payload"), "blob_id", "left")
     raw = alone.where(F.col("compressed") == NONE).select("blob_id", F.col("payload").alias("bytes"))
     plain = alone.where(F.col("compressed") == ZSTD).select("blob_id", decompressed(F.col("payload")).alias("bytes"))

@@ -90,8 +90,11 @@ def restore(c: catalog.Catalog, dictionary: DataFrame | None = None, rules: tupl
         raise ValueError(f"unknown transforms: {unknown}")
     trained = [base64.b64decode(r["value"]) for r in c.meta.where("key = 'dict'").collect()]
     data = solid.unpack(c.blobs, c.blocks, trained[0] if trained else None)
-    whole = c.entries.join(c.entry_blobs.where("seq = 0").select(F.col("entry_id").alias("id"), "blob_id"), "id", "left").join(data, "blob_id", "left")
-    whole = whole.withColumn("__stored", F.col("bytes").cast("string")).drop("bytes")
+    meta = [m for m in catalog.META if m in c.entries.columns]
+    # narrow rows are joined first, contents once
+    paths = catalog.paths(c.entries, c.names).withColumnRenamed("path", "rel_path")
+    whole = c.entries.select("id", "kind", "transform", "params", *meta).join(paths, "id").join(c.entry_blobs.where("seq = 0").select(F.col("entry_id").alias("id"), "blob_id"), "id", "left")
+    whole = whole.join(data, "blob_id", "left").withColumn("__stored", F.col("bytes").cast("string")).drop("bytes")
     used = {r["transform"] for r in c.entries.where("transform is not null").select("transform").distinct().collect()}  # no more than there are rules
     content = F.col("__stored")
     for i, r in enumerate(rules):
@@ -101,6 +104,4 @@ def restore(c: catalog.Catalog, dictionary: DataFrame | None = None, rules: tupl
         whole = whole.withColumns({"__own": F.when(mine, F.col("__stored")), "__params": F.when(mine, F.col("params"))})
         whole = r.restore(whole, "__own", "__params", context, f"__back_{i}")
         content = F.when(mine, F.col(f"__back_{i}")).otherwise(content)
-    paths = catalog.paths(c.entries, c.names)
-    meta = [m for m in catalog.META if m in c.entries.columns]
-    return whole.select("id", "kind", F.when(F.col("kind") == "file", content).alias("content"), *meta).join(paths.withColumnRenamed("path", "rel_path"), "id")
+    return whole.select("id", "rel_path", "kind", F.when(F.col("kind") == "file", content).alias("content"), *meta)
