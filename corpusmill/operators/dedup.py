@@ -20,6 +20,11 @@ def sha(content: Column) -> Column:
     return F.sha2(raw(content), 256)
 
 
+def entry_hash(kind: Column, size: Column, content: Column) -> Column:
+    """Hash of a file with bytes; all zeros for an empty file, a directory or a link, which are not hashed."""
+    return F.when((kind == "file") & (size > 0), sha(content)).otherwise(F.lit("0" * 64))
+
+
 def quick_signature(content: Column) -> Column:
     """32 hex digits of a hash of all bytes, or of the first and last 4096 above 8192 bytes; size is not mixed in."""
     c = raw(content)

@@ -1,19 +1,25 @@
-"""Import of packed archives: one file (blob chunks, a compressed SQLite catalog, a footer) or an SQLite
-file with a ``.blobs`` file beside it.
+"""Packed archives: one file (blob chunks, a compressed SQLite catalog, a footer), or for reading also an
+SQLite file with a ``.blobs`` file beside it.
 
 The catalog is bounded by its format and is read on the driver through Hadoop's file system, from any
-store.  Payloads are read by executors, range by range, from a mount that they share.
+store.  Payloads are read by executors, range by range, from a mount that they share.  One file is
+written by one process, so writing streams the compressed blocks through the driver, one at a time.
+
+The footer's checksum is the first 8 bytes of the SHA-256 of all bytes before the footer; archives made
+elsewhere may hold another, so reading checks it only if asked to.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import sqlite3
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.catalog import Catalog
@@ -21,7 +27,9 @@ from corpusmill.plans.staging import ship_package
 
 # Fixed values of the format.
 FOOTER, CHUNK_HEADER = ">QQ8s", ">BI"
-CATALOG_CHUNK = 2
+BLOB_CHUNK, CATALOG_CHUNK, SOLID_CHUNK = 1, 2, 3
+MOST_CHUNK = (1 << 32) - 1
+LINK_BIT = 1 << 27
 LEAST_BYTES = 32
 MOST_CATALOG = 512 << 20
 SQLITE = b"SQLite format 3\x00"
@@ -31,6 +39,13 @@ NAMES = "id long, name string"
 ENTRIES = "id long, parent_id long, name_id long, mode long, mtime_ns long, size long, uid long, gid long, transform string, params string, link_target string"
 BLOBS = "blob_id long, sha string, offset long, clen long, ulen long, compressed int, block_id long, block_offset long"
 LINKS = "entry_id long, seq int, blob_id long"
+#: Tables of the catalog inside.
+DDL = """CREATE TABLE meta (key TEXT PRIMARY KEY, value TEXT);
+CREATE TABLE names (id INTEGER PRIMARY KEY, name TEXT NOT NULL UNIQUE);
+CREATE TABLE entries (id INTEGER PRIMARY KEY, parent_id INTEGER, name_id INTEGER, mode INTEGER, mtime_ns INTEGER, size INTEGER, uid INTEGER, gid INTEGER, transform TEXT, params BLOB, symlink_target TEXT);
+CREATE TABLE blobs (id INTEGER PRIMARY KEY, sha BLOB UNIQUE, offset INTEGER, clen INTEGER, ulen INTEGER, compressed INTEGER, block_id INTEGER, block_offset INTEGER);
+CREATE TABLE entry_blobs (entry_id INTEGER, seq INTEGER, blob_id INTEGER, PRIMARY KEY (entry_id, seq));
+CREATE TABLE plan_log (entry_id INTEGER, transform_id TEXT, estimated_gain INTEGER, estimated_cpu INTEGER, applied INTEGER, reason TEXT);"""
 LOG = "entry_id long, transform_id string, gain long, cost long, applied int, reason string"
 
 
@@ -50,6 +65,80 @@ def _length(spark: SparkSession, path: str) -> int:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).getLen()
 
 
+def write_packed(catalog: Catalog, path: str, magic: bytes) -> None:
+    """Write one file, in place of what is there once it is whole; ``path`` is on a mount of the driver."""
+    if len(magic) != 8:
+        raise ValueError("the leading bytes are eight")
+    sums, draft, at = hashlib.sha256(), f"{path}.part", 0
+    db = sqlite3.connect(":memory:")
+    db.executescript(DDL)
+    with open(draft, "wb") as f:
+
+        def put(data: bytes) -> int:
+            nonlocal at
+            f.write(data)
+            sums.update(data)
+            at += len(data)
+            return at - len(data)
+
+        def chunk(kind: int, data: bytes) -> int:
+            if len(data) > MOST_CHUNK:
+                raise ValueError("a chunk holds 4 GB at most")
+            start = put(struct.pack(CHUNK_HEADER, kind, len(data)))
+            put(data)
+            return start
+
+        put(magic)
+        db.execute("CREATE TEMP TABLE places (block_id INTEGER, blob_id INTEGER, offset INTEGER)")
+        for r in catalog.blocks.orderBy("block_id", "blob_id").toLocalIterator():
+            kind = BLOB_CHUNK if r["block_id"] is None else SOLID_CHUNK
+            db.execute("INSERT INTO places VALUES (?, ?, ?)", (r["block_id"], r["blob_id"], chunk(kind, bytes(r["payload"]))))
+        _fill(db, catalog)
+        data = db.serialize()
+        if len(data) > MOST_CATALOG:
+            raise ValueError(f"the catalog has more than {MOST_CATALOG} bytes")
+        start = chunk(CATALOG_CHUNK, zstandard.ZstdCompressor(level=9).compress(data))
+        f.write(struct.pack(FOOTER, start, len(magic), sums.digest()[:8]))
+    os.replace(draft, path)
+
+
+def _fill(db: sqlite3.Connection, c: Catalog) -> None:
+    def rows(table: DataFrame, into: str) -> None:
+        marks = ", ".join("?" * len(table.columns))
+        db.executemany(f"INSERT INTO {into} VALUES ({marks})", (tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in table.toLocalIterator()))
+
+    def given(name: str, kind: str = "long") -> Column:
+        return F.col(name) if name in c.entries.columns else F.lit(None).cast(kind)
+
+    bits = F.when(F.col("kind") == "dir", F.lit(DIR_BIT)).when(F.col("kind") == "link", F.lit(LINK_BIT)).otherwise(F.lit(0))
+    mode = F.coalesce(given("mode"), F.when(F.col("kind") == "dir", 0o755).otherwise(0o644)).bitwiseAND(F.lit(0o7777)).bitwiseOR(bits.cast("long"))
+    zero = lambda n: F.coalesce(given(n), F.lit(0))
+    rows(c.meta.select("key", "value"), "meta")
+    rows(c.names.select("id", "name").orderBy("id"), "names")
+    entries = c.entries.select("id", "parent_id", "name_id", mode, zero("mtime_ns"), F.coalesce("size", F.lit(0)), zero("uid"), zero("gid"), "transform", F.col("params").cast("binary"), given("link_target", "string"))
+    rows(entries.orderBy("id"), "entries")
+    rows(c.blobs.select("blob_id", F.unhex("sha"), F.lit(-1), F.coalesce("clen", F.lit(0)), "ulen", "compressed", "block_id", "block_offset").orderBy("blob_id"), "blobs")
+    db.execute("CREATE INDEX temp.by_block ON places (block_id, blob_id)")
+    db.execute("UPDATE blobs SET offset = coalesce((SELECT p.offset FROM places p WHERE p.block_id = blobs.block_id), -1) WHERE compressed = 3")
+    db.execute("UPDATE blobs SET offset = coalesce((SELECT p.offset FROM places p WHERE p.block_id IS NULL AND p.blob_id = blobs.id), -1) WHERE compressed <> 3")
+    rows(c.entry_blobs.select("entry_id", "seq", "blob_id"), "entry_blobs")
+    if c.plan_log is not None:
+        rows(c.plan_log.select("entry_id", "transform_id", "gain", "cost", "applied", "reason").orderBy("entry_id"), "plan_log")
+    db.commit()
+
+
+def verify(spark: SparkSession, path: str, piece: int = 8 << 20) -> None:
+    """A ``ValueError`` if a one-file archive does not have the checksum of its footer."""
+    size = _length(spark, path)
+    if size < LEAST_BYTES:
+        raise ValueError(f"{path}: too small for an archive")
+    sums = hashlib.sha256()
+    for at in range(0, size - 24, piece):
+        sums.update(_read(spark, path, at, min(piece, size - 24 - at)))
+    if struct.unpack(FOOTER, _read(spark, path, size - 24, 24))[2] != sums.digest()[:8]:
+        raise ValueError(f"{path}: its bytes do not have the checksum in its footer")
+
+
 def layout(spark: SparkSession, path: str) -> dict[str, int]:
     """Bytes of a one-file archive: whole, blob region, catalog chunk, overhead."""
     size = _length(spark, path)
@@ -91,12 +180,15 @@ def _database(spark: SparkSession, path: str, magic: bytes | None) -> tuple[sqli
     return db, blobs, skip
 
 
-def read_packed(spark: SparkSession, path: str, magic: bytes | None = None) -> Catalog:
-    """The archive as catalog tables, with its payloads; ``magic``: the eight leading bytes to insist on.
+def read_packed(spark: SparkSession, path: str, magic: bytes | None = None, check: bool = False) -> Catalog:
+    """The archive as catalog tables, with its payloads; ``magic``: the eight leading bytes to insist on;
+    ``check``: compare the checksum first.
 
     Damaged input is a ``ValueError``.  Older catalogs without block columns are read as unblocked.
     """
     ship_package(spark)
+    if check:
+        verify(spark, path)
     db, blob_file, skip = _database(spark, path, magic)
     has = lambda table, column: any(r[1] == column for r in db.execute(f"PRAGMA table_info({table})"))
     table = lambda sql, schema: spark.createDataFrame(db.execute(sql).fetchall(), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import stat
 from collections.abc import Iterator
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import functions as fn
-from corpusmill.plans.staging import ship_package
+from corpusmill.plans.staging import ship_package, stage
+
+log = logging.getLogger(__name__)
 
 ENTRY = "rel_path string, kind string, size long, mode long, mtime_ns long, uid long, gid long, link_target string, path string"
 
@@ -35,48 +38,60 @@ def resolve_roots(roots: list[str]) -> list[str]:
 
 
 def _row(path: str, rel: str) -> tuple | None:
-    s = os.lstat(path)
-    kind = "dir" if stat.S_ISDIR(s.st_mode) else "link" if stat.S_ISLNK(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else None
-    if kind is None:
+    """A node as a row; None for other kinds of node, and for one that cannot be looked at, which is logged."""
+    try:
+        s = os.lstat(path)
+        kind = "dir" if stat.S_ISDIR(s.st_mode) else "link" if stat.S_ISLNK(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else None
+        if kind is None:
+            return None
+        return (rel, kind, s.st_size if kind == "file" else 0, stat.S_IMODE(s.st_mode), s.st_mtime_ns, s.st_uid, s.st_gid, os.readlink(path) if kind == "link" else None, path)
+    except OSError as e:
+        log.warning("skipped %s: %s", path, e)
         return None
-    return (rel, kind, s.st_size if kind == "file" else 0, stat.S_IMODE(s.st_mode), s.st_mtime_ns, s.st_uid, s.st_gid, os.readlink(path) if kind == "link" else None, path)
 
 
-def _below(path: str, rel: str) -> Iterator[tuple]:
-    own = _row(path, rel)
-    if own is None:
+def _inside(path: str, rel: str) -> Iterator[tuple]:
+    """The nodes of one directory; one that cannot be read is logged and has none."""
+    try:
+        names = sorted(os.listdir(path))
+    except OSError as e:
+        log.warning("skipped what is in %s: %s", path, e)
         return
-    yield own
-    if own[1] == "dir":
-        for name in sorted(os.listdir(path)):
-            yield from _below(os.path.join(path, name), name if rel == "." else f"{rel}/{name}")
+    for name in names:
+        row = _row(os.path.join(path, name), name if rel == "." else f"{rel}/{name}")
+        if row is not None:
+            yield row
 
 
-def scan(spark: SparkSession, roots: list[str]) -> DataFrame:
+def scan(spark: SparkSession, roots: list[str], tasks: int = 64) -> DataFrame:
     """Files, directories and symlinks below the roots, without content; other nodes are left out.
 
-    One root is listed relative to itself (itself as ``.``), several below their names.  The driver lists
-    the first level; executors, which must see the same mount, walk what is below.
+    One root is listed relative to itself (itself as ``.``), several below their names.  Executors, which
+    must see the same mount, read one level of directories after the other, dealt out anew each time, so a
+    deep root is no single task.  What cannot be read is logged and left out; a missing root is an error.
     """
     ship_package(spark)
     full = resolve_roots(roots)
-    tops = []
-    for r in full:
-        rel = "." if len(full) == 1 else os.path.basename(r)
-        tops.append((r, rel, False))
-        if os.path.isdir(r):
-            tops.extend((os.path.join(r, n), n if rel == "." else f"{rel}/{n}", True) for n in sorted(os.listdir(r)))
+    columns = [c.split()[0] for c in ENTRY.split(", ")]
 
     def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in ENTRY.split(", ")]
         for pdf in it:
-            for path, rel, deep in pdf.itertuples(index=False):
-                rows = list(_below(path, rel)) if deep else [x for x in [_row(path, rel)] if x]
-                for at in range(0, len(rows), 5000):
-                    yield pd.DataFrame(rows[at : at + 5000], columns=columns)
-
-    seeds = spark.createDataFrame(tops, "path string, rel string, deep boolean").repartition(max(1, min(len(tops), 64)))
-    return seeds.mapInPandas(walk, ENTRY)
+            for path, rel in pdf[["path", "rel_path"]].itertuples(index=False):
+                rows = []
+                for row in _inside(path, rel):
+                    rows.append(row)
+                    if len(rows) == 5000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns)
+
+    tops = [row for r in full if (row := _row(r, "." if len(full) == 1 else os.path.basename(r))) is not None]
+    level = spark.createDataFrame(tops, ENTRY)
+    found = level
+    while not (dirs := level.where("kind = 'dir'")).isEmpty():
+        level = stage(dirs.repartition(tasks, "path").mapInPandas(walk, ENTRY), "scan")
+        found = found.unionByName(level)
+    return found
 
 
 def contents(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
@@ -113,13 +128,16 @@ def guarded(entries: DataFrame, dest: str) -> DataFrame:
 
 
 def write_tree(entries: DataFrame, dest: str) -> None:
-    """Write ``(rel_path, kind, mode, mtime_ns, link_target, content)`` below ``dest``, a mount that executors share.
+    """Write ``(rel_path, kind, mode, mtime_ns, uid, gid, link_target, content)`` below ``dest``, a mount that
+    executors share; owners are optional.
 
-    Directories first, then files and links, then the directories' times, deepest first.
+    Directories first, then files and links, then the directories' owners, modes and times.  An owner that
+    may not be set is logged and left.
     """
     ship_package(entries.sparkSession)
     top = os.path.abspath(dest)
-    safe = guarded(entries, top).select("rel_path", "kind", "mode", "mtime_ns", "link_target", F.when(F.col("kind") == "file", F.col("content").cast("binary")).alias("content"))
+    owner = [F.col(c) if c in entries.columns else F.lit(None).cast("long").alias(c) for c in ("uid", "gid")]
+    safe = guarded(entries, top).select("rel_path", "kind", "mode", "mtime_ns", *owner, "link_target", F.when(F.col("kind") == "file", F.col("content").cast("binary")).alias("content"))
 
     def put(rows) -> None:
         for r in rows:
@@ -129,6 +147,7 @@ def write_tree(entries: DataFrame, dest: str) -> None:
                 if os.path.lexists(path):
                     os.unlink(path)
                 os.symlink(r.link_target, path)
+                _own(path, r)
             elif r.kind == "file":
                 with open(path, "wb") as f:
                     f.write(r.content or b"")
@@ -141,10 +160,21 @@ def write_tree(entries: DataFrame, dest: str) -> None:
     os.makedirs(top, exist_ok=True)
     safe.where("kind = 'dir'").select("rel_path", "kind").foreachPartition(put)
     safe.where("kind <> 'dir'").foreachPartition(put)
-    safe.where("kind = 'dir'").select("rel_path", "mode", "mtime_ns").foreachPartition(times)
+    safe.where("kind = 'dir'").select("rel_path", "mode", "mtime_ns", "uid", "gid").foreachPartition(times)
+
+
+def _own(path: str, r) -> None:
+    """Before the mode, since a change of owner clears bits of it."""
+    if r.uid is None or r.gid is None:
+        return
+    try:
+        os.lchown(path, r.uid, r.gid)
+    except (OSError, OverflowError) as e:
+        log.debug("owner of %s stays: %s", path, e)
 
 
 def _touch(path: str, r) -> None:
+    _own(path, r)
     if r.mode is not None:
         os.chmod(path, r.mode & 0o7777)
     if r.mtime_ns:
