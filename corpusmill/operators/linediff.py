@@ -71,6 +71,17 @@ def line_diff(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def replayed(base: Column, ops: Column) -> Column:
+    """What a script makes of an array<string>; null if either is."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([None if p is None or q is None else apply_ops(list(p), [(o["kind"], list(o["lines"])) for o in q]) for p, q in zip(x, y, strict=True)])
+
+    return run(base, ops)
+
+
 def changed(ops: Column, kind: str) -> Column:
     """Number of lines of one kind in a script."""
     return F.aggregate(ops, F.lit(0), lambda acc, o: acc + F.when(o["kind"] == kind, F.size(o["lines"])).otherwise(0))

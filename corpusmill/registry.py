@@ -17,6 +17,7 @@ from corpusmill.operators.ordering import numbered
 from corpusmill.plans import archive, planner
 from corpusmill.plans import rules as R
 from corpusmill.plans.staging import ship_package, stage
+from corpusmill.sources import tree as tree_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,7 +122,7 @@ def dedup_rank(spark, sf):
 
 @query(f"WITH {FILES} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files")
 def source_stats(spark, sf):
-    return corpus(spark, sf).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return tree_source.source_stats(corpus(spark, sf).withColumn("kind", F.lit("file")))
 
 
 @query(f"""WITH {FILES}, h AS (SELECT file_id, size, hex(encode(content)) AS x FROM files)
@@ -175,11 +176,11 @@ def line_subst_stats(spark, sf):
     return done.select("file_id", F.size(lines.split_lines(F.col("content"))).cast("long").alias("n_lines"), F.regexp_count("encoded", F.lit("\x00")).cast("long").alias("hits"), lines.encoded_bytes(F.col("encoded")).alias("encoded_bytes"))
 
 
-@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS mismatches FROM documents")
+@query(f"WITH {FILES} SELECT file_id, sha FROM files")
 def line_subst_roundtrip(spark, sf):
     d = stage(dictionary(spark, sf), "dictionary")
     back = lines.decode(lines.encode(corpus(spark, sf), d), d)
-    return back.agg(F.count("*").alias("files"), F.count(F.when(~F.col("decoded").eqNullSafe(F.col("content")), 1)).alias("mismatches"))
+    return back.select("file_id", dedup.sha(F.col("decoded")).alias("sha"))
 
 
 # --- JSON and logs
@@ -227,10 +228,10 @@ def log_suffix_savings(spark, sf):
     return t.agg(F.count("*").alias("logs"), F.count("template").alias("handled"), F.sum(F.octet_length("content")).cast("long").alias("original_bytes"), F.sum(stored).cast("long").alias("stored_bytes"))
 
 
-@query("SELECT count(DISTINCT user_id) AS logs, CAST(0 AS BIGINT) AS mismatches FROM events")
+@query(f"WITH {LOGS} SELECT user_id, sha256(string_agg(line || chr(10), '' ORDER BY event_id)) AS sha FROM evt GROUP BY 1")
 def log_roundtrip(spark, sf):
     t = canonical.log_template(logs(spark, sf)).withColumn("back", F.when(F.col("template").isNull(), F.col("content")).otherwise(canonical.log_restore(F.col("template"), F.col("suffixes"))))
-    return t.agg(F.count("*").alias("logs"), F.count(F.when(F.col("back") != F.col("content"), 1)).alias("mismatches"))
+    return t.select("user_id", dedup.sha(F.col("back")).alias("sha"))
 
 
 # --- licences and diffs
@@ -266,12 +267,22 @@ def license_summary(spark, sf):
     return license.detect(licensed(spark, sf), license.templates(spark)).groupBy("spdx", "match").agg(F.count("*").alias("files"))
 
 
-@query(f"WITH {HELD} SELECT count(*) AS files, count(spdx) AS handled, CAST(0 AS BIGINT) AS mismatches FROM det")
+@query(f"WITH {HELD} SELECT file_id, sha256(content) AS sha FROM lic JOIN det USING (file_id) WHERE spdx IS NOT NULL")
 def license_roundtrip(spark, sf):
     known = license.templates(spark)
-    done = license.apply_rule(licensed(spark, sf), known)
-    done = done.withColumn("back", license.restored(F.col("template"), F.col("params")))
-    return done.agg(F.count("*").alias("files"), F.count("params").alias("handled"), F.count(F.when(F.col("params").isNotNull() & ~F.col("back").eqNullSafe(F.col("content")), 1)).alias("mismatches"))
+    done = license.apply_rule(licensed(spark, sf), known).where("params is not null")
+    return done.select("file_id", dedup.sha(license.restored(F.col("template"), F.col("params"))).alias("sha"))
+
+
+@query(f"""WITH {HELD}, split AS (SELECT file_id, d.spdx, match, string_split(k.t, chr(10)) AS a, string_split(norm, chr(10)) AS b, content FROM det d JOIN known k USING (spdx) JOIN body USING (file_id)),
+    -- these files differ from their template in the copyright line only, so the lines before and after it are equal
+    pos AS (SELECT *, list_position(list_transform(a, lambda x: regexp_matches(x, '(?i)^\s*copyright')), true) AS i FROM split),
+    q AS (SELECT *, replace(a[i], '"', chr(92) || '"') AS old, replace(b[i], '"', chr(92) || '"') AS new FROM pos)
+    SELECT file_id, CASE WHEN match = 'full' THEN '{{"spdx":"' || spdx || '"' ELSE '{{"spdx":"' || spdx || '","ops":[' || CASE WHEN i > 1 THEN '{{"k":"=","n":' || (i - 1) || '}},' ELSE '' END
+        || '{{"k":"-","l":"' || old || '"}},{{"k":"+","l":"' || new || '"}},{{"k":"=","n":' || (len(a) - i) || '}}]' END || CASE WHEN content LIKE '%' || chr(10) THEN ',"nl":true' ELSE '' END || '}}' AS params
+    FROM q""")
+def license_params(spark, sf):
+    return license.apply_rule(licensed(spark, sf), license.templates(spark)).where("params is not null").select("file_id", "params")
 
 
 @query("""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
@@ -289,6 +300,14 @@ def line_diff_stats(spark, sf):
     return ops.select("file_id", linediff.changed(F.col("ops"), "+").alias("inserted"), linediff.changed(F.col("ops"), "-").alias("deleted"))
 
 
+@query(f"WITH {HELD} SELECT file_id, sha256(norm) AS sha FROM body")
+def line_diff_replay(spark, sf):
+    d = licensed(spark, sf)
+    base, own = F.split(F.lit(fixed.LICENSES[HELD_NAMES[0]]), "\n", -1), F.split(license.normalised(F.col("content")), "\n", -1)
+    back = d.select("file_id", linediff.replayed(base, linediff.line_diff(base, own)).alias("back"))
+    return back.select("file_id", dedup.sha(F.array_join("back", "\n")).alias("sha"))
+
+
 # --- planning
 
 
@@ -472,41 +491,81 @@ def dict_samples(spark, sf):
     return solid.dict_samples(corpus(spark, sf))
 
 
-@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS mismatches FROM documents")
+MIXED = f"""{PACKED}, mixed AS (SELECT blob_id, ulen, CASE WHEN blob_id % 5 = 0 THEN NULL ELSE CAST(block_id AS BIGINT) END AS block_id FROM packed),
+    lens AS (SELECT block_id, CAST(sum(ulen) AS BIGINT) // 2 + 7 AS clen FROM mixed WHERE block_id IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {MIXED} SELECT (SELECT count(*) FROM files) AS entries, (SELECT CAST(sum(size) AS BIGINT) FROM files) AS original_bytes, (SELECT count(*) FROM mixed) AS blobs, (SELECT CAST(sum(ulen) AS BIGINT) FROM mixed) AS unique_bytes,
+      CAST((SELECT coalesce(sum(clen), 0) FROM lens) + (SELECT coalesce(sum(ulen // 3 + 1), 0) FROM mixed WHERE block_id IS NULL) AS BIGINT) AS stored_bytes, (SELECT count(*) FROM lens) AS blocks""")
+def mixed_overview(spark, sf):
+    """Blobs in blocks beside blobs on their own, with lengths that differ from the contents'."""
+    packed = solid.pack(unique_contents(spark, sf), BLOCK).withColumn("block_id", F.when(F.col("blob_id") % 5 != 0, F.col("block_id")))
+    lengths = packed.where("block_id is not null").groupBy("block_id").agg((F.floor(F.sum("ulen") / 2) + 7).alias("c"))
+    blobs = packed.join(lengths, "block_id", "left").withColumn("clen", F.coalesce("c", F.floor(F.col("ulen") / 3) + 1))
+    return catalog.overview(corpus(spark, sf).select("size"), blobs)
+
+
+@query(f"WITH {FILES} SELECT file_id, sha FROM files")
 def compress_roundtrip(spark, sf):
-    c = corpus(spark, sf).withColumn("raw", F.encode("content", "utf-8"))
-    c = c.withColumn("frame", solid.compressed(F.col("raw"))).withColumn("back", solid.decompressed(F.col("frame")))
-    return c.agg(F.count("*").alias("files"), F.count(F.when(F.col("back") != F.col("raw"), 1)).alias("mismatches"))
+    c = corpus(spark, sf).withColumn("frame", solid.compressed(F.encode("content", "utf-8")))
+    return c.select("file_id", F.sha2(solid.decompressed(F.col("frame")), 256).alias("sha"))
+
+
+@query(f"WITH {FILES} SELECT file_id, sha FROM files")
+def compress_dict_roundtrip(spark, sf):
+    """With a dictionary of the bounded sample, for which the first files by id are taken."""
+    files = corpus(spark, sf)
+    trained = solid.train_dictionary(files)
+    c = files.withColumn("frame", solid.compressed(F.encode("content", "utf-8"), dictionary=trained))
+    return c.select("file_id", F.sha2(solid.decompressed(F.col("frame"), trained), 256).alias("sha"))
+
 
+@query(f"WITH {UNIQUE} SELECT blob_id, CAST(ulen AS BIGINT) AS ulen, CAST(ulen AS BIGINT) AS clen, 0 AS compressed FROM ids")
+def stored_plain(spark, sf):
+    return solid.single(blob_bytes(spark, sf), "none").select("blob_id", "ulen", "clen", "compressed")
 
-@query()
+
+def blob_bytes(spark, sf) -> DataFrame:
+    bytes_of = corpus(spark, sf).select(F.col("file_id").alias("first_id"), F.encode("content", "utf-8").alias("bytes"))
+    return unique_contents(spark, sf).join(bytes_of, "first_id").select("blob_id", "bytes")
+
+
+@query(f"WITH {FILES} SELECT file_id, size, true AS bounded FROM files")
 def compress_sizes(spark, sf):
+    """A frame is never longer than its content by more than the format's own bound."""
     c = corpus(spark, sf).withColumn("clen", F.octet_length(solid.compressed(F.encode("content", "utf-8"))))
-    return c.select("file_id", "size", F.col("clen").cast("long").alias("clen"))
+    return c.select("file_id", "size", (F.col("clen") <= F.col("size") + F.floor(F.col("size") / 256) + 64).alias("bounded"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PACKED} SELECT CAST(block_id AS BIGINT) AS block_id, CAST(sum(ulen) AS BIGINT) AS ulen, true AS smaller FROM packed GROUP BY 1 HAVING sum(ulen) > 0")
 def solid_compress_sizes(spark, sf):
+    """A block of texts is smaller than its contents."""
     blobs = stage(unique_contents(spark, sf), "blobs")
-    bytes_of = corpus(spark, sf).select(F.col("file_id").alias("first_id"), F.encode("content", "utf-8").alias("bytes"))
-    return solid.blocks(blobs.join(bytes_of, "first_id").select("blob_id", "bytes"), solid.pack(blobs, BLOCK)).select("block_id", "ulen", "clen")
+    done = solid.blocks(blob_bytes(spark, sf), solid.pack(blobs, BLOCK))
+    return done.where("ulen > 0").select("block_id", "ulen", (F.col("clen") < F.col("ulen")).alias("smaller"))
 
 
-@query("SELECT count(*) AS files, CAST(0 AS BIGINT) AS mismatches FROM documents")
+@query(f"WITH {FILES} SELECT rel_path, sha FROM files")
 def restore_mismatches(spark, sf):
-    files = corpus(spark, sf)
+    """Every file after archiving and restoring, by the hash of what came back."""
     d, known = stage(dictionary(spark, sf), "dictionary"), license.templates(spark)
-    back = archive.restore(archive.build(files, d, known, block_bytes=BLOCK), d)
-    both = files.join(back.select("rel_path", F.col("content").alias("back")), "rel_path", "left")
-    return both.agg(F.count("*").alias("files"), F.count(F.when(~F.col("back").eqNullSafe(F.col("content")), 1)).alias("mismatches"))
+    back = archive.restore(archive.build(corpus(spark, sf), d, known, block_bytes=BLOCK), d)
+    return back.where("kind = 'file'").select("rel_path", dedup.sha(F.col("content")).alias("sha"))
 
 
-@query(f"WITH {FILES} SELECT count(*) AS missing FROM files WHERE false")
+@query(f"""WITH {FILES}, a AS (SELECT sha FROM files WHERE file_id % 2 = 0), b AS (SELECT sha FROM files WHERE file_id % 3 = 0)
+    SELECT 'left' AS side, sha FROM (SELECT sha FROM a EXCEPT ALL SELECT sha FROM b) UNION ALL SELECT 'right', sha FROM (SELECT sha FROM b EXCEPT ALL SELECT sha FROM a)""")
 def set_difference(spark, sf):
-    """Hash lists of two ways to dedup, compared both ways as multisets."""
-    a = dedup.unique_blobs(dedup.with_hash(corpus(spark, sf))).select("sha")
-    b = dedup.rank_in_content(dedup.with_hash(corpus(spark, sf))).where("nth = 1").select("sha")
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("missing"))
+    """Hash lists of two overlapping parts of the corpus, compared both ways as multisets."""
+    hashed = dedup.with_hash(corpus(spark, sf))
+    a, b = (hashed.where(F.col("file_id") % n == 0).select("sha") for n in (2, 3))
+    return a.exceptAll(b).select(F.lit("left").alias("side"), "sha").unionByName(b.exceptAll(a).select(F.lit("right").alias("side"), "sha"))
+
+
+@query(f"""WITH {FILES} SELECT file_id, CASE WHEN file_id % 4 = 3 THEN 'dir' ELSE 'file' END AS kind, CASE WHEN file_id % 4 = 3 OR size = 0 THEN repeat('0', 64) ELSE sha END AS sha FROM files""")
+def entry_hashes(spark, sf):
+    kind = F.when(F.col("file_id") % 4 == 3, "dir").otherwise("file")
+    return corpus(spark, sf).select("file_id", kind.alias("kind"), dedup.entry_hash(kind, F.col("size"), F.col("content")).alias("sha"))
 
 
 # --- guards and small functions
@@ -520,9 +579,19 @@ def escape_guard(spark, sf):
     return table(spark, sf, "pages").select("page_id", path.alias("rel_path")).withColumn("outside", fn.escapes("/srv/out", F.col("rel_path")))
 
 
-@query("SELECT DISTINCT 'other/v9' AS transform FROM documents")
+@query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$|/$', '', 'g') AS rel_path FROM pages WHERE url IS NOT NULL),
+    u AS (SELECT *, repeat('../', CAST(page_id % 6 AS INTEGER)) || 'x' AS target, len(string_split(rel_path, '/')) - 1 AS depth FROM p)
+    SELECT page_id, rel_path, target, page_id % 6 > depth AS outside FROM u""")
+def link_guard(spark, sf):
+    """A link may climb as far as its own folder is deep."""
+    p = table(spark, sf, "pages").where("url is not null").select("page_id", url_path(F.col("url")).alias("rel_path"))
+    p = p.withColumn("target", F.concat(F.repeat(F.lit("../"), (F.col("page_id") % 6).cast("int")), F.lit("x")))
+    return p.withColumn("outside", fn.link_escapes("/srv/out", F.col("rel_path"), F.col("target")))
+
+
+@query("SELECT DISTINCT event_type || '/v9' AS transform FROM events WHERE length(event_type) % 2 = 1")
 def unknown_transform_check(spark, sf):
-    e = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 2 == 0, R.LINES.id).otherwise("other/v9").alias("transform"))
+    e = table(spark, sf, "events").select(F.when(F.length("event_type") % 2 == 0, R.LINES.id).otherwise(F.concat("event_type", F.lit("/v9"))).alias("transform"))
     return archive.check_transforms(e)
 
 
