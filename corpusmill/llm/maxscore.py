@@ -7,11 +7,15 @@ threshold are non-essential: the essential postings are traversed for all vector
 are probed, largest bound first, only for vectors that are still competitive.  Each shard returns its
 best ``k``, and the shards' lists are merged.  The result is exact; ties go to the smaller id.
 
-Queries and vectors meet in blocks of bounded size, each pair of blocks in one task.
+Queries and vectors meet in blocks of bounded size, each pair of blocks in one task.  So that no shard
+starts from nothing, a query first meets one bounded sample of the vectors; its ``k``-th best score
+there is a threshold that holds for all shards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,7 +75,8 @@ def block_search(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     if not len(vectors) or not len(queries):
         return empty
     shard = Shard(vectors["vec_id"].to_numpy(), np.stack(vectors["w"].to_numpy()).astype(np.int64))
-    ids, scores = zip(*(shard.top(a, np.asarray(w, np.int64), k) for a, w in zip(queries["vec_id"], queries["w"], strict=True)), strict=True)
+    each = zip(queries["vec_id"], queries["w"], queries["least"], strict=True)
+    ids, scores = zip(*(shard.top(a, np.asarray(w, np.int64), k, None if pd.isna(f) else int(f)) for a, w, f in each), strict=True)
     return pd.DataFrame({"query_id": queries["vec_id"].to_numpy(), "ids": ids, "scores": scores})
 
 
@@ -87,7 +92,26 @@ def quantised(df: DataFrame, scale: int = 256, id_col: str = "vec_id", vec_col:
     return vectors.select("vec_id", F.transform("v", lambda x: F.greatest(-most, F.least(most, whole(x)))).alias("w"))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
+def thresholds(asked: DataFrame, sample: DataFrame, k: int) -> DataFrame:
+    """``asked (vec_id, w)`` with ``least``, the ``k``-th best score among others in the sample; null if it has fewer.
+
+    The sample is bounded by its parameter and travels with the tasks.
+    """
+    rows = sample.toPandas()
+    ids, x = rows["vec_id"].to_numpy(np.int64), np.stack(rows["w"].to_numpy()).astype(np.int64) if len(rows) else np.zeros((0, 1), np.int64)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            least = []
+            for own, w in zip(pdf["vec_id"], pdf["w"], strict=True):
+                scores = (x @ np.asarray(w, np.int64))[ids != own] if len(ids) else ids
+                least.append(int(np.partition(scores, len(scores) - k)[-k]) if len(scores) >= k else None)
+            yield pdf.assign(least=pd.array(least, "Int64"))
+
+    return asked.mapInPandas(run, "vec_id long, w array<long>, least long")
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = 8192, query_rows: int = 8192, sample_rows: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: exactly the ``k`` largest inner products of each query.
 
     ``vectors``: ``(vec_id long, w array<long>)``, ids unique; ``queries``: a condition on ``vec_id``.
@@ -100,7 +124,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = 81
     deal = lambda salt, parts: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
     spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = vectors.select(deal(1, shards).alias("shard"), spread(blocks).alias("block"), "vec_id", "w")
-    right = vectors.where(queries).select(spread(shards).alias("shard"), deal(2, blocks).alias("block"), "vec_id", "w")
+    sample = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < min(1.0, sample_rows / max(1, n)) * (1 << 30)).limit(2 * sample_rows)
+    asked = stage(thresholds(vectors.where(queries).select("vec_id", "w"), sample, k), "maxscore-queries") if shards > 1 else vectors.where(queries).withColumn("least", F.lit(None).cast("long"))
+    right = asked.select(spread(shards).alias("shard"), deal(2, blocks).alias("block"), "vec_id", "w", "least")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return block_search(a, b, k)

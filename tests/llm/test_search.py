@@ -100,6 +100,17 @@ def test_topk_is_exact(spark, shard_rows):
     assert got == [(q, r, v, int(s)) for q, r, v, s in brute(x, ids, lambda i: i % 10 == 0, 5, lambda c: np.floor(256 * c))]
 
 
+def test_thresholds_hold_for_all_shards(spark):
+    rng = np.random.default_rng(2)
+    w = rng.integers(-99, 99, (300, 6))
+    df = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in enumerate(w)], "vec_id long, w array<long>")
+    got = {r["vec_id"]: r["least"] for r in maxscore.thresholds(df.where("vec_id < 20"), df.where("vec_id % 4 = 0"), 5).collect()}
+    for i in range(20):
+        assert got[i] == sorted((int(w[i] @ w[j]) for j in range(0, 300, 4) if j != i), reverse=True)[4]
+    few = maxscore.thresholds(df.where("vec_id < 3"), df.where("vec_id < 5"), 5)
+    assert [r["least"] for r in few.collect()] == [None] * 3
+
+
 def test_topk_of_very_large_components(spark):
     x = [[3e38, 1.0], [1.0, 1.0], [-3e38, 2.0], [2.0, 0.5]]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<float>")

@@ -679,6 +679,26 @@ def test_pipeline(spark):
         seen.append((name, before.count(), docs.count()))
         if f is not corpus_pipeline.encode:
             assert docs.columns == columns
+        texts = {r["doc_id"]: r["text"] for r in before.collect()}
+        if name == "quality classifier":
+            model = quality.fit(before, spark.read.parquet(f"{SF}/labels.parquet"))
+            want = {r["doc_id"]: r["text"] for r in quality.score(before, model).where("score >= 0.5").collect()}
+            assert {r["doc_id"]: r["text"] for r in docs.collect()} == want and 0 < len(want) < len(texts)
+        if name == "line dedup":
+            strip = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+            where = {}
+            for i, t in texts.items():
+                for k in {strip(x) for x in (t or "").split("\n")} - {""}:
+                    where.setdefault(k, set()).add(i)
+            goes = lambda i, x: len(where.get(strip(x), ())) >= 10 and i != min(where[strip(x)])
+            want = {i: t if t is None else "\n".join(x for x in t.split("\n") if not goes(i, x)) for i, t in texts.items()}
+            got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()}
+            assert {i: t for i, (t, _) in got.items()} == want and all(n == len(t) for t, n in got.values() if t is not None) and want != texts
+        if name == "mixing":
+            taken = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+            assert max(taken.values()) <= 2 and all(texts[i] == t for i, t in taken)
+            words_in = lambda rows: sum(len(words(t)) * n for (_, t), n in rows)
+            assert words_in(taken.items()) == pytest.approx(1.5 * words_in(((i, t), 1) for i, t in texts.items()), rel=0.1)
         if name == "near-dedup":
             rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
             want = groups(rows, 5, 80)[0]
@@ -686,6 +706,8 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in docs.collect()} == keep
     assert [n for n, *_ in seen] == ["quality classifier", "line dedup", "near-dedup", "mixing", "sentencepiece"]
     assert seen[1][1] == seen[1][2] and docs.where("not round_trip").count() == 0
+    back = sentencepiece.decode(docs, sentencepiece.load())
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((r["doc_id"], r["text"]) for r in before.collect())
     df = odd(spark, 12).select("doc_id", "text", "lang", "source", "n_chars")
     for _, f in corpus_pipeline.STAGES:
         df = stage(f(spark, df, SF), "t")
