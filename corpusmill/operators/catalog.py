@@ -78,18 +78,16 @@ def paths(entries: DataFrame, named: DataFrame) -> DataFrame:
     nodes = stage(entries.join(named.withColumnRenamed("id", "name_id"), "name_id").select("id", "parent_id", "name", "kind"), "nodes")
     dirs = nodes.where("kind = 'dir'").select("id", "parent_id", "name")
     known = dirs.select(F.col("id").alias("parent_id"), F.col("id").alias("up"))
-    parts = stage(dirs.join(known, "parent_id", "left").select("id", "up", F.col("name").alias("path")), "dir-paths")
+    parts = dirs.join(known, "parent_id", "left").select("id", "up", F.col("name").alias("path"))
     # below the root itself, which is named ".", paths begin anew
     joined = lambda above, end, own: F.when(end.isNull() & (above == "."), own).otherwise(F.concat_ws("/", above, own))
-    left = parts.where("up is not null").count()
-    while left:
+    left = before = None
+    while left is None or (left and left != before):  # if a round ends none, only loops are left
         upper = parts.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
         both = parts.join(upper, "up", "left")
         open_ = F.col("up").isNotNull()
         parts = stage(both.select("id", F.when(open_, F.col("next")).alias("up"), F.when(open_, joined(F.col("above"), F.col("next"), F.col("path"))).otherwise(F.col("path")).alias("path")), "dir-paths")
         left, before = parts.where("up is not null").count(), left
-        if left == before:  # only loops are left
-            break
     above = parts.select(F.col("id").alias("parent_id"), F.col("up").alias("end"), F.col("path").alias("above"))
     rest = nodes.where("kind <> 'dir'").join(above, "parent_id", "left").where("end is null")
     own = F.when(F.col("above").isNull(), F.col("name")).otherwise(joined(F.col("above"), F.col("end"), F.col("name")))

@@ -30,7 +30,7 @@ def line_frequency(files: DataFrame, min_count: int = 3) -> DataFrame:
 
     A trailing carriage return is not part of a line.
     """
-    lines = files.select(F.explode(split_lines(F.col("content"))).alias("l")).select(bare(F.regexp_replace("l", "\r$", "")).alias("line"))
+    lines = files.select(F.explode(split_lines(F.col("content"))).alias("l")).select(bare(F.when(F.endswith("l", F.lit("\r")), F.left("l", F.length("l") - 1)).otherwise(F.col("l"))).alias("line"))
     return lines.where(F.octet_length("line") > 5).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 

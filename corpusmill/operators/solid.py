@@ -105,7 +105,7 @@ def pack(blobs: DataFrame, most: int = DEFAULT_BLOCK) -> DataFrame:
         k = np.cumsum(some)
         return pdf.assign(block_id=ids[k], block_offset=ends[k] - sizes)[["blob_id", "ulen", "block_id", "block_offset"]]
 
-    return runs.join(stage(starts, "run-starts"), "run").groupBy("run", "block", "used").applyInPandas(place, "blob_id long, ulen long, block_id long, block_offset long")
+    return runs.join(starts, "run").groupBy("run", "block", "used").applyInPandas(place, "blob_id long, ulen long, block_id long, block_offset long")
 
 
 def compressed(content: Column, level: int = 3, dictionary: bytes | None = None) -> Column:

@@ -44,8 +44,8 @@ def build(
     own = files.where("kind = 'file'").select("rel_path", "size", "content")
     # contents are worked on once, where they are read; what is decided and numbered are narrow rows
     kept = stage(planner.candidates(own, context, rules, disabled), "candidates")
-    slim = stage(kept.drop("bytes").join(every.where("kind = 'file'").select("rel_path", "entry_id", "file_id"), "rel_path"), "plan")
-    log = stage(planner.decide(slim, rules, disabled), "log")
+    slim = kept.drop("bytes").join(every.where("kind = 'file'").select("rel_path", "entry_id", "file_id"), "rel_path")
+    log = planner.decide(slim, rules, disabled)  # a projection of a staged table
     sizes = slim.groupBy(F.col("own_sha").alias("sha")).agg(F.max("own_len").alias("ulen"))
     blobs = stage(catalog.blob_table(log, sizes), "blobs")
     # a blob's bytes are those of the file that first stored it
@@ -71,7 +71,7 @@ def build(
         singles = stage(solid.single(payload, compressor, level, trained, after), "blocks")
         blocks = singles.drop("compressed")
         full = blobs.join(singles.select("blob_id", "block_id", "clen", "compressed"), "blob_id").withColumn("block_offset", F.lit(None).cast("long"))
-    named = stage(catalog.names(every), "names")
+    named = catalog.names(every)
     entries = catalog.tree_entries(every, named).join(log.select(F.col("entry_id").alias("id"), "transform", "params"), "id", "left")
     links = catalog.entry_blobs(log, blobs)
     return catalog.Catalog(fn.literal_table(spark, meta, "key string, value string"), named, entries, full, links, log.drop("params") if keep_log else None, blocks)
@@ -79,14 +79,18 @@ def build(
 
 def check_transforms(entries: DataFrame, rules: tuple[R.Rule, ...] = R.ALL) -> DataFrame:
     """Rule ids in use that this registry does not know."""
-    return entries.where(F.col("transform").isNotNull() & ~F.col("transform").isin([r.id for r in rules])).select("transform").distinct()
+    return used_transforms(entries).where(~F.col("transform").isin([r.id for r in rules]))
+
+
+def used_transforms(entries: DataFrame) -> DataFrame:
+    return entries.where("transform is not null").select("transform").distinct()
 
 
 def restore(c: catalog.Catalog, dictionary: DataFrame | None = None, rules: tuple[R.Rule, ...] = R.ALL, known: DataFrame | None = None) -> DataFrame:
     """``(id, rel_path, kind, content)`` and the entries' metadata; an unknown rule id is an error before any output."""
     context = R.context(c.entries.sparkSession, dictionary, known)
-    unknown = [r["transform"] for r in check_transforms(c.entries, rules).limit(5).collect()]
-    if unknown:
+    used = {r["transform"] for r in used_transforms(c.entries).limit(len(rules) + 1).collect()}
+    if unknown := sorted(used - {r.id for r in rules}):
         raise ValueError(f"unknown transforms: {unknown}")
     trained = [base64.b64decode(r["value"]) for r in c.meta.where("key = 'dict'").collect()]
     data = solid.unpack(c.blobs, c.blocks, trained[0] if trained else None)
@@ -95,7 +99,6 @@ def restore(c: catalog.Catalog, dictionary: DataFrame | None = None, rules: tupl
     paths = catalog.paths(c.entries, c.names).withColumnRenamed("path", "rel_path")
     whole = c.entries.select("id", "kind", "transform", "params", *meta).join(paths, "id").join(c.entry_blobs.where("seq = 0").select(F.col("entry_id").alias("id"), "blob_id"), "id", "left")
     whole = whole.join(data, "blob_id", "left").withColumn("__stored", F.col("bytes").cast("string")).drop("bytes")
-    used = {r["transform"] for r in c.entries.where("transform is not null").select("transform").distinct().collect()}  # no more than there are rules
     content = F.col("__stored")
     for i, r in enumerate(rules):
         if r.restore is None or r.id not in used:

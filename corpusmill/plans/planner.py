@@ -108,14 +108,14 @@ def plan(files: DataFrame, dictionary: DataFrame, templates: DataFrame, rules: t
 def _dedup_hits(slim: DataFrame) -> DataFrame:
     """Add ``hit``: an earlier file stored bytes of this file's hash."""
     writers = slim.groupBy(F.col("own_sha").alias("sha")).agg(F.min("entry_id").alias("first"))
-    hit = lambda w: slim.join(w, "sha", "left").withColumn("hit", F.coalesce(F.col("first") < F.col("entry_id"), F.lit(False)) & (F.col("size") > 0)).drop("first")
-    done = stage(hit(writers), "hits")
+    hit = lambda rows, w: rows.join(w, "sha", "left").withColumn("hit", F.coalesce(F.col("first") < F.col("entry_id"), F.lit(False)) & (F.col("size") > 0)).drop("first")
+    done = stage(hit(slim, writers), "hits")
     while True:
         # a hit stores nothing of its own; if what it would have stored is what it has found, that is there already
         if done.where("hit and own_sha <> sha").isEmpty():
             return done
         real = done.where(~F.col("hit")).groupBy(F.col("own_sha").alias("sha")).agg(F.min("entry_id").alias("first"))
-        again = stage(hit(real), "hits")
+        again = stage(hit(done.drop("hit"), real), "hits")
         if again.join(done.select("entry_id", F.col("hit").alias("was")), "entry_id").where("hit <> was").isEmpty():
             return again
         done = again
