@@ -17,6 +17,7 @@ A null or empty text has no spans.  Rows are kept as they are, repeated ids and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 NEAR = 40
 #: So many matches, the shortest of 4 characters, fill a context.
 AROUND = NEAR // 4
+#: Characters of the blocks from which redaction cuts its pieces.
+CUT = 1000
 
 
 class Kind(NamedTuple):
@@ -75,10 +78,10 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _running(values: Column, base: Column) -> Column:
-    """``base`` plus the sum of the values before, for each value of a short array."""
+def _running(values: Column, base: Column, op: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """For each value of a short array, ``base`` and the values before it under ``op``."""
     none = F.array().cast("array<long>")
-    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    step = lambda acc, x: F.struct(op(acc["at"], x.cast("long")).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
     return F.aggregate(values, F.struct(base.cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
@@ -146,18 +149,30 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     return step.withColumn("findings", named).drop("__all", *[f"__{p}_{k.name}" for p in "mszlrt" for k in KINDS])
 
 
-def redacted(text: Column, findings: Column, mark: str = "<{}>") -> Column:
-    """The text with every span replaced by its kind's mark; overlapping spans are one, under the first kind."""
+def redact(found: DataFrame, mark: str = "<{}>", text_col: str = "text", name: str = "redacted") -> DataFrame:
+    """The result of :func:`find` with the text in which every span is replaced by its kind's mark; overlapping spans
+    are one, under the first kind.  Pieces are cut from blocks of the text, so many spans in a long text are no trouble."""
     begin, end = mark.split("{}")
+    text, all_ = F.coalesce(F.col(text_col), F.lit("")), F.col("__ends")
+    step = found.withColumn("__ends", F.when(F.size("findings") > 0, F.transform("findings", lambda x: x["end"].cast("long"))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / CUT).cast("int")), lambda i: F.substring(text, i * CUT + 1, F.lit(CUT)))
+    step = step.withColumns({"__runs": F.when(all_.isNotNull(), _runs(all_)), "__blocks": F.when(all_.isNotNull(), blocks)})
+    step = step.withColumn("__tops", F.when(all_.isNotNull(), _running(F.transform("__runs", F.array_max), F.lit(0), F.greatest)))
+    reached = F.flatten(F.transform(F.arrays_zip(F.col("__runs").alias("r"), F.col("__tops").alias("b")), lambda x: _running(x["r"], x["b"], F.greatest)))
+    step = step.withColumn("__reached", F.when(all_.isNotNull(), reached))
+
+    def piece(at: Column, to: Column) -> Column:
+        first, last = F.floor(at / CUT).cast("int"), F.floor(to / CUT).cast("int")
+        held = F.array_join(F.slice(F.col("__blocks"), first + 1, last - first + 1), "")
+        return F.substring(held, (at - first * CUT + 1).cast("int"), (to - at).cast("int"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], piece, F.lit(begin), x["kind"], F.lit(end))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def one(x: Column, i: Column) -> Column:
+        at = F.get(F.col("__reached"), i)
+        return F.when(x["start"] >= at, F.concat(piece(at, x["start"].cast("long")), F.lit(begin), x["kind"], F.lit(end))).otherwise(F.lit(""))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(findings, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    rest = piece(F.array_max(all_), F.char_length(text).cast("long"))
+    marked = F.when(all_.isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(F.transform("findings", one), ""), rest))
+    return step.withColumn(name, marked).drop("__ends", "__runs", "__blocks", "__tops", "__reached")
 
 
 def digest(found: DataFrame) -> DataFrame:
