@@ -44,7 +44,7 @@ def tree_of(top):
     return out
 
 
-@pytest.mark.parametrize("options", [[], ["--packed"], ["--no-solid", "--packed"], ["--no-solid", "--final-compressor", "none"], ["--solid-block-size", "1KB", "--disable-transform", "dedup/v1"]])
+@pytest.mark.parametrize("options", [["--packed"], ["--no-solid", "--final-compressor", "none"], ["--solid-block-size", "1KB", "--disable-transform", "dedup/v1"]])
 def test_archive_inspect_and_extract(spark, folder, tmp_path, capsys, options):
     out = str(tmp_path / "arc")
     assert cli.main(["archive", out, str(folder), "--keep-plan-log", "--explain", *options]) == 0
