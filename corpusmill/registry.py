@@ -276,7 +276,7 @@ def license_roundtrip(spark, sf):
 
 @query(f"""WITH {HELD}, split AS (SELECT file_id, d.spdx, match, string_split(k.t, chr(10)) AS a, string_split(norm, chr(10)) AS b, content FROM det d JOIN known k USING (spdx) JOIN body USING (file_id)),
     -- these files differ from their template in the copyright line only, so the lines before and after it are equal
-    pos AS (SELECT *, list_position(list_transform(a, lambda x: regexp_matches(x, '(?i)^\s*copyright')), true) AS i FROM split),
+    pos AS (SELECT *, list_position(list_transform(a, lambda x: regexp_matches(x, '(?i)^\\s*copyright')), true) AS i FROM split),
     q AS (SELECT *, replace(a[i], '"', chr(92) || '"') AS old, replace(b[i], '"', chr(92) || '"') AS new FROM pos)
     SELECT file_id, CASE WHEN match = 'full' THEN '{{"spdx":"' || spdx || '"' ELSE '{{"spdx":"' || spdx || '","ops":[' || CASE WHEN i > 1 THEN '{{"k":"=","n":' || (i - 1) || '}},' ELSE '' END
         || '{{"k":"-","l":"' || old || '"}},{{"k":"+","l":"' || new || '"}},{{"k":"=","n":' || (len(a) - i) || '}}]' END || CASE WHEN content LIKE '%' || chr(10) THEN ',"nl":true' ELSE '' END || '}}' AS params
