@@ -455,3 +455,20 @@ def _near_duplicates(docs: DataFrame, width: int, pct: int, id_col: str, text_co
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "fp", "rid").join(named.select("fp", "root", "component_id"), "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("fp").alias("class_fp"), F.col("root").alias("root_fp"), "rid")
+
+
+#: Every pair of sets that share a shingle, and all that can be reached: for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, doc_id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+k AS (SELECT r, doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(list_sort(sh), chr(10))) END AS cls, sh FROM s),
+c AS (SELECT cls, any_value(n) AS n, any_value(sh) AS sh, min(doc_id) AS id FROM k WHERE cls IS NOT NULL GROUP BY cls),
+e AS (SELECT cls, unnest(sh) AS g FROM c),
+meet AS (SELECT a.cls AS a, b.cls AS b, count(*) AS m FROM e a JOIN e b ON a.g = b.g AND a.cls < b.cls GROUP BY 1, 2),
+link AS (SELECT a, b FROM meet JOIN c x ON x.cls = a JOIN c y ON y.cls = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT cls AS a, cls AS b FROM c UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+least AS (SELECT reach.a AS cls, min(c.id) AS id FROM reach JOIN c ON c.cls = reach.b GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(least.id, doc_id) AS component_id, doc_id = coalesce(least.id, doc_id) AS kept FROM k LEFT JOIN least USING (cls)"""

@@ -79,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_pii": pii.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op6_neardup": neardup.ORACLE,
     "op7_urlfilter": urlfilter.ORACLE,
     "op5_topk": """
         WITH ok AS (
