@@ -133,8 +133,9 @@ def decompressed(frame: Column, dictionary: bytes | None = None) -> Column:
     return run(frame)
 
 
-def blocks(contents: DataFrame, packed: DataFrame, level: int = 3) -> DataFrame:
-    """:data:`STORED` rows, one a block; ``contents (blob_id, bytes)``.  A block is at most ``most`` bytes, or one blob."""
+def blocks(contents: DataFrame, packed: DataFrame | None = None, level: int = 3) -> DataFrame:
+    """:data:`STORED` rows, one a block; ``contents (blob_id, bytes)``, with the columns of ``packed`` if that is not
+    given.  A block is at most ``most`` bytes, or one blob."""
     ship_package(contents.sparkSession)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +144,8 @@ def blocks(contents: DataFrame, packed: DataFrame, level: int = 3) -> DataFrame:
         frame = zstandard.ZstdCompressor(level=level).compress(data)
         return pd.DataFrame({"block_id": [pdf["block_id"].iloc[0]], "blob_id": pd.array([None], "Int64"), "payload": [frame], "ulen": [len(data)], "clen": [len(frame)]})
 
-    joined = contents.join(packed, "blob_id").select("block_id", "block_offset", "blob_id", "bytes")
+    joined = contents if packed is None else contents.join(packed, "blob_id")
+    joined = joined.select("block_id", "block_offset", "blob_id", "bytes")
     return joined.groupBy("block_id").applyInPandas(build, STORED)
 
 

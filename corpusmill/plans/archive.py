@@ -50,15 +50,15 @@ def build(
     blobs = stage(catalog.blob_table(log, sizes), "blobs")
     # a blob's bytes are those of the file that first stored it
     holders = blobs.join(every.select(F.col("entry_id").alias("first_entry"), "rel_path"), "first_entry").select("rel_path", "blob_id")
-    payload = kept.select("rel_path", "bytes").join(holders, "rel_path").select("blob_id", "bytes")
+    contents_of = lambda rows: kept.select("rel_path", "bytes").join(rows, "rel_path").drop("rel_path")
     meta = [("version", "1"), ("transforms", ",".join(r.id for r in rules))]
     if block_bytes:
         packed = stage(solid.pack(blobs, block_bytes), "packed")
-        blocks = stage(solid.blocks(payload, packed, level), "blocks")
+        blocks = stage(solid.blocks(contents_of(holders.join(packed, "blob_id")), level=level), "blocks")
         # a block's length is on every row of it; a trailing run of empty blobs may have no block
         full = blobs.join(packed.select("blob_id", "block_id", "block_offset"), "blob_id").join(blocks.select("block_id", "clen"), "block_id", "left").withColumn("compressed", F.lit(solid.SOLID))
     else:
-        after, trained = 0, None
+        payload, after, trained = contents_of(holders), 0, None
         if train == "prescan":
             ordered = own.join(every.where("kind = 'file'").select("rel_path", "entry_id"), "rel_path")
             trained = solid.train_dictionary(ordered.select(F.col("entry_id").alias("file_id"), "size", "content"))
