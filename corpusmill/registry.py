@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,9 @@ from corpusmill.operators import canonical, catalog, dedup, fixed, license, line
 from corpusmill.operators.ordering import numbered
 from corpusmill.plans import archive, planner
 from corpusmill.plans import rules as R
-from corpusmill.plans.staging import ship_package, stage
+from corpusmill.plans.staging import new_dir, ship_package, stage
+from corpusmill.sources import packed as packed_source
+from corpusmill.sources import store as store_source
 from corpusmill.sources import tree as tree_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -568,6 +571,53 @@ def entry_hashes(spark, sf):
     return corpus(spark, sf).select("file_id", kind.alias("kind"), dedup.entry_hash(kind, F.col("size"), F.col("content")).alias("sha"))
 
 
+# --- sources and sinks
+
+
+def local_dir(spark, label) -> str:
+    """A fresh folder of the shared mount, as a path of the operating system."""
+    path = new_dir(spark, label)
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+@query(f"""WITH {FILES}, {TREE} SELECT rel_path, kind, size, CASE WHEN kind = 'dir' THEN 493 WHEN file_id % 2 = 0 THEN 384 ELSE 420 END AS mode, CASE WHEN kind = 'dir' THEN 1000000000000000000 ELSE 1000000000000000000 + file_id * 1001 END AS mtime_ns,
+    CASE WHEN size > 0 THEN (SELECT sha FROM files f WHERE f.file_id = every.file_id) ELSE repeat('0', 64) END AS sha FROM every""")
+def tree_roundtrip(spark, sf):
+    """The corpus written as a file tree and scanned again, with modes and times."""
+    folder = local_dir(spark, "tree")
+    every = catalog.with_directories(corpus(spark, sf).withColumns({"kind": F.lit("file"), "link_target": F.lit(None).cast("string")}))
+    is_dir, base = F.col("kind") == "dir", F.lit(10**18)
+    mode = F.when(is_dir, 0o755).when(F.col("file_id") % 2 == 0, 0o600).otherwise(0o644)
+    tree_source.write_tree(every.withColumns({"mode": mode, "mtime_ns": F.when(is_dir, base).otherwise(base + F.col("file_id") * 1001)}), folder)
+    found = tree_source.with_content(tree_source.scan(spark, [folder])).where("rel_path <> '.'")
+    return found.select("rel_path", "kind", "size", "mode", "mtime_ns", dedup.entry_hash(F.col("kind"), F.col("size"), F.col("content")).alias("sha"))
+
+
+@query(f"""WITH {BLOBS}, named AS (SELECT count(DISTINCT regexp_extract(rel_path, '[^/]*$')) AS n FROM ordered)
+    SELECT 'names' AS name, n AS rows FROM named UNION ALL SELECT 'entries', count(*) FROM ordered UNION ALL SELECT 'blobs', count(*) FROM blobs
+    UNION ALL SELECT 'entry_blobs', count(*) FROM files UNION ALL SELECT 'plan_log', count(*) FROM files""")
+def stored_tables(spark, sf):
+    """Rows of the tables of a saved catalog that verifies."""
+    path = new_dir(spark, "catalog")
+    store_source.save(archive.build(corpus(spark, sf), stage(dictionary(spark, sf), "dictionary"), block_bytes=BLOCK), path)
+    if wrong := store_source.verify(spark, path):
+        raise ValueError(f"the saved catalog differs: {wrong}")
+    c = store_source.load(spark, path)
+    each = [getattr(c, n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in ("names", "entries", "blobs", "entry_blobs", "plan_log")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).unionByName(each[4])
+
+
+@query(f"WITH {FILES} SELECT rel_path, size, sha FROM files")
+def packed_roundtrip(spark, sf):
+    """The corpus packed into one file, checked, read and restored."""
+    folder = local_dir(spark, "packed")
+    os.makedirs(folder)
+    d = stage(dictionary(spark, sf), "dictionary")
+    packed_source.write_packed(archive.build(corpus(spark, sf), d, block_bytes=BLOCK), f"{folder}/a.pack", b"CRPSMILL")
+    back = archive.restore(packed_source.read_packed(spark, f"{folder}/a.pack", b"CRPSMILL", check=True), d).where("kind = 'file'")
+    return back.select("rel_path", F.octet_length("content").cast("long").alias("size"), dedup.sha(F.col("content")).alias("sha"))
+
+
 # --- guards and small functions
 
 
@@ -627,7 +677,6 @@ def footer_fields(spark, sf):
 def stream_dedup(spark, sf):
     """Documents arrive as a stream in two runs; the store holds every content once."""
     from corpusmill import streaming
-    from corpusmill.plans.staging import new_dir
 
     folder = new_dir(spark, "arriving")
     files = corpus(spark, sf)
