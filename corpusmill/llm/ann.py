@@ -76,8 +76,14 @@ def extended(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
-def matrix(col: pd.Series) -> np.ndarray:
-    return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 1))
+def matrix(col: pd.Series, packed: str = "<f4") -> np.ndarray:
+    """Rows of arrays, or of bytes of this type, in double precision."""
+    if not len(col):
+        return np.zeros((0, 1))
+    rows = col.to_numpy()
+    if isinstance(rows[0], bytes | bytearray):
+        return np.frombuffer(b"".join(rows), packed).reshape(len(rows), -1).astype(np.float64)
+    return np.stack(rows).astype(np.float64)
 
 
 def prefix_sums(counts: np.ndarray) -> np.ndarray:
@@ -97,7 +103,7 @@ def common_depth(strings: np.ndarray, sums: np.ndarray, needed: int) -> np.ndarr
     return depth
 
 
-def search_cell(left: pd.DataFrame, right: pd.DataFrame, k: int, needed: int) -> pd.DataFrame:
+def search_cell(left: pd.DataFrame, right: pd.DataFrame, k: int, needed: int, packed: str = "<f4") -> pd.DataFrame:
     """The ``k`` best of one sorted array (or chunk of it) for each query that visits it.
 
     ``needed``: a query whose prefix of counted depth still holds more descends on its own here, to
@@ -109,9 +115,9 @@ def search_cell(left: pd.DataFrame, right: pd.DataFrame, k: int, needed: int) ->
     left = left.sort_values(["s", "rep"], kind="stable")
     s = left["s"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
     order = np.argsort(s, kind="stable")
-    s, ids, x = s[order], left["rep"].to_numpy()[order], matrix(left["v"])[order]
+    s, ids, x = s[order], left["rep"].to_numpy()[order], matrix(left["v"], packed)[order]
     qs = right["s"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-    qd, qid, q = right["depth"].to_numpy().astype(np.int64), right["q"].to_numpy(), matrix(right["v"])
+    qd, qid, q = right["depth"].to_numpy().astype(np.int64), right["q"].to_numpy(), matrix(right["v"], packed)
 
     def span(strings: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.where(depth > 0, ~np.uint64(0) >> depth.astype(np.uint64), ~np.uint64(0))
@@ -191,11 +197,13 @@ def nearest(
     def strings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
-                h = hash_strings(extended(matrix(pdf["v"]), norm, False), planes)
-                yield pd.DataFrame({"rep": pdf["rep"], "v": pdf["v"], "s": list((h ^ flip).view(np.int64))})
+                x = matrix(pdf["v"])
+                h = hash_strings(extended(x, norm, False), planes)
+                yield pd.DataFrame({"rep": pdf["rep"], "v": [r.tobytes() for r in x.astype(packed)], "s": list((h ^ flip).view(np.int64))})
 
-    kind = dict(reps.dtypes)["v"]
-    entries = stage(reps.mapInPandas(strings, f"rep long, v {kind}, s array<long>"), "ann-strings")
+    # from here on vectors travel as bytes, as wide as they came
+    packed = "<f4" if dict(reps.dtypes)["v"] == "array<float>" else "<f8"
+    entries = stage(reps.mapInPandas(strings, "rep long, v binary, s array<long>"), "ann-strings")
     at = entries.select(F.posexplode("s").alias("t", "s"))
     leaf = F.shiftrightunsigned(F.col("s").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), BITS - COUNTED)
     counts = np.zeros((trees, 1 << COUNTED), np.int64)
@@ -223,7 +231,7 @@ def nearest(
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in it:
             for start in range(0, len(whole), 256):
-                for t, _, _, _, cell in visited(matrix(whole["v"].iloc[start : start + 256])):
+                for t, _, _, _, cell in visited(matrix(whole["v"].iloc[start : start + 256], packed)):
                     n_of = np.bincount(cell, minlength=1 << cell_bits)
                     yield pd.DataFrame({"t": np.int32(t), "cell": np.flatnonzero(n_of), "n": n_of[n_of > 0]})
 
@@ -251,7 +259,7 @@ def nearest(
             for start in range(0, len(whole), 256):
                 pdf = whole.iloc[start : start + 256]
                 v, rep, part = pdf["v"].to_numpy(), pdf["rep"].to_numpy(), mixed(pdf["rep"], 0xC2B2AE3D27D4EB4F)
-                for t, h, depth, i, cell in visited(matrix(pdf["v"])):
+                for t, h, depth, i, cell in visited(matrix(pdf["v"], packed)):
                     many = chunks[t, cell]
                     j = np.repeat(np.arange(len(i)), many)
                     chunk = np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many)
@@ -259,12 +267,12 @@ def nearest(
                     block = (part[i] % blocks[t, cell].astype(np.uint64)).astype(np.int64)
                     yield pd.DataFrame({"t": np.int32(t), "cell": cell, "chunk": chunk, "block": block, "q": rep[i], "s": (h[i] ^ flip).view(np.int64), "depth": depth[i], "v": v[i]})
 
-    index = entries.mapInPandas(deal, f"t int, cell long, chunk long, block long, rep long, s long, v {kind}")
-    visits = ask_reps.mapInPandas(ask, f"t int, cell long, chunk long, block long, q long, s long, depth long, v {kind}")
+    index = entries.mapInPandas(deal, "t int, cell long, chunk long, block long, rep long, s long, v binary")
+    visits = ask_reps.mapInPandas(ask, "t int, cell long, chunk long, block long, q long, s long, depth long, v binary")
     by = ["t", "cell", "chunk", "block"]
 
     def cell_search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return search_cell(left, right, k + 1, need)
+        return search_cell(left, right, k + 1, need, packed)
 
     found = index.groupBy(*by).cogroup(visits.groupBy(*by)).applyInPandas(cell_search, "q long, ids array<long>, scores array<double>")
     pairs = found.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("q", F.col("p.ids").alias("rep"), F.col("p.scores").alias("score"))
