@@ -19,6 +19,10 @@ through an inverted index of full sets.  Outsiders and members are dealt out in
 and shingles, and each task holds a block of either.  There is no cap on buckets or partners, and no
 pair of a bucket that can join two components is left out.
 
+*Parities.*  Full sets are long, so a pair is first held to the parities of its sets: of each of at least
+twice as many bins as the set has shingles, whether it holds an odd number of them.  Two sets differ in at
+least as many shingles as parities, so a pair with too many is no link, whatever its sets; no link is lost.
+
 Components are found by alternating star contraction, all of it in tables.
 
 Nulls: a null text is empty.  A null id takes part; ``component_id`` is the smallest id of the
@@ -117,8 +121,42 @@ def sketches(sets: list[np.ndarray], functions: int) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether each bin holds an odd number of the set's hashes; the number of bins is a power of two."""
+    bins = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """What :func:`parities` are with fewer bins, ``size`` bytes of them."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+class Parities:
+    """The parities of the sets of a cell, at every size that occurs."""
+
+    def __init__(self, column) -> None:
+        own = [np.frombuffer(x, np.uint8) for x in column]
+        self.size = np.array([len(x) for x in own])
+        self.at = {k: (np.cumsum(self.size >= k) - 1, np.stack([folded(x, k) for x in own if len(x) >= k])) for k in np.unique(self.size)}
+
+    def differ(self, k: int, some: np.ndarray) -> np.ndarray:
+        """In how many parities each of ``some`` differs from ``k``: no more than the sets differ in shingles."""
+        out = np.zeros(len(some), np.int64)
+        common = np.minimum(self.size[some], self.size[k])
+        for size in np.unique(common):
+            (row, bits), here = self.at[size], common == size
+            out[here] = np.bitwise_count(bits[row[some[here]]] ^ bits[row[k]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def near_enough(differ: np.ndarray, sizes: np.ndarray, pct: int) -> np.ndarray:
+    """Whether sets that differ in this many shingles at least can be links; ``sizes`` is the sum of both."""
+    return (100 + pct) * differ <= (100 - pct) * sizes
+
+
 def signatures(docs: DataFrame, width: int, pct: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, rid, row, n, fp, bands, mins)`` of each row; the last three are null for an empty set."""
+    """``(doc_id, rid, row, n, fp, bits, bands, mins)`` of each row; the last four are null for an empty set."""
     m, _ = plan(pct)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,7 +173,7 @@ def signatures(docs: DataFrame, width: int, pct: int, id_col: str = "doc_id", te
                 bands, mins = iter(list(b.view(np.int64))), iter([x.tobytes() for x in (sk >> np.uint64(32)).astype("<u4")])
             return pd.DataFrame({
                 "doc_id": part["doc_id"], "rid": part["rid"], "row": part["row"], "n": [len(s) for s in sets],
-                "fp": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                "fp": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "bits": [parities(s) if len(s) else None for s in sets],
                 "bands": [next(bands) if len(s) else None for s in sets], "mins": [next(mins) if len(s) else None for s in sets],
             })
 
@@ -149,7 +187,7 @@ def signatures(docs: DataFrame, width: int, pct: int, id_col: str = "doc_id", te
                     at, sets, size = i + 1, [], 0
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return own.mapInPandas(_nullable_ids(run), "doc_id long, rid long, row long, n long, fp binary, bands array<long>, mins binary")
+    return own.mapInPandas(_nullable_ids(run), "doc_id long, rid long, row long, n long, fp binary, bits binary, bands array<long>, mins binary")
 
 
 def _nullable_ids(f):
@@ -183,6 +221,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str = "doc
     return one.groupBy("row").agg(F.first("text").alias("text")).select("text").mapInPandas(run, "fp binary, hashes binary")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+
+
+def among(table: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+    """The rows of ``table`` whose class is in ``wanted (fp)``."""
+    return table.join(join_side(stage(wanted, label), SIDE_ROWS // 2), "fp", "left_semi")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs ``(a, b)`` that are links, by their full sets."""
 
@@ -243,25 +290,24 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(mins.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "edges")
 
 
-def can_link(n: np.ndarray, sk: np.ndarray, comp: np.ndarray, own: tuple[int, np.ndarray, int], least: int, pct: int) -> np.ndarray:
-    """Which members can be linked with a document of another component, by size and sketch."""
-    size, sketch, label = own
-    can = (comp != label) & (100 * np.minimum(n, size) >= pct * np.maximum(n, size))
-    some = np.flatnonzero(can)
-    return some[(sk[some] == sketch).sum(axis=1) >= least]
+def can_link(n: np.ndarray, sk: np.ndarray, held: Parities, comp: np.ndarray, rest: np.ndarray, k: int, least: int, pct: int) -> np.ndarray:
+    """Which of the members ``rest`` can be linked with ``k``, of another component, by size, sketch and parities."""
+    m = n[rest]
+    some = rest[(comp[rest] != comp[k]) & (100 * np.minimum(m, n[k]) >= pct * np.maximum(m, n[k]))]
+    some = some[(sk[some] == sk[k]).sum(axis=1) >= least]
+    return some[near_enough(held.differ(k, some), n[some] + n[k], pct)]
 
 
-def plausible_pairs(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, out: np.ndarray, least: int, pct: int) -> tuple[list, list] | None:
+def plausible_pairs(fp: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, held: Parities, out: np.ndarray, least: int, pct: int) -> tuple[list, list] | None:
     """Pairs of an outsider (``out``) and a member in different components that can be links; None if they
     are many more than the rows."""
     a, b = [], []
-    rest = ~out
-    f, c, m, s = fp[rest], comp[rest], n[rest], sk[rest]
+    rest = np.flatnonzero(~out)
     for k in np.flatnonzero(out):
-        can = can_link(m, s, c, (n[k], sk[k], comp[k]), least, pct)
+        can = can_link(n, sk, held, comp, rest, k, least, pct)
         if len(a) + len(can) > 2 * len(fp):
             return None
-        for y in f[can]:
+        for y in fp[can]:
             a.append(max(fp[k], y))
             b.append(min(fp[k], y))
     return a, b
@@ -273,9 +319,9 @@ def dense_links(fp: np.ndarray, comp: np.ndarray, sk: np.ndarray, hashes: list[n
     rest = np.flatnonzero(~out)
     if not len(rest):
         return [], []
-    m, s = n[rest], sk[rest]
+    held = Parities(map(parities, hashes))
     known = np.concatenate([hashes[i] for i in rest])
-    owner = np.repeat(np.arange(len(rest), dtype=np.int32), m)
+    owner = np.repeat(rest.astype(np.int32), n[rest])
     order = np.argsort(known, kind="stable")
     known, posts = known[order], owner[order]  # an inverted index: runs of equal shingles
     comp = comp.copy()
@@ -286,13 +332,13 @@ def dense_links(fp: np.ndarray, comp: np.ndarray, sk: np.ndarray, hashes: list[n
         central += cnt[inv]
     outsiders = np.flatnonzero(out)
     for k in outsiders[np.argsort(-central[outsiders], kind="stable")]:  # those that most resemble the others link most
-        can = can_link(m, s, comp[rest], (n[k], sk[k], comp[k]), least, pct)
+        can = can_link(n, sk, held, comp, rest, k, least, pct)
         if not len(can):
             continue
         lo, hi = np.searchsorted(known, hashes[k], "left"), np.searchsorted(known, hashes[k], "right")
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
-        both = np.bincount(posts[at], minlength=len(rest))[can]
-        for x in rest[can[100 * both >= pct * (m[can] + n[k] - both)]]:
+        both = np.bincount(posts[at], minlength=len(fp))[can]
+        for x in can[100 * both >= pct * (n[can] + n[k] - both)]:
             if comp[x] != comp[k]:
                 a.append(max(fp[k], fp[x]))
                 b.append(min(fp[k], fp[x]))
@@ -332,10 +378,10 @@ def _sketch_search(least: int, pct: int):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, n, comp, out = pdf["fp"].to_numpy(), pdf["n"].to_numpy(), pd.factorize(pdf["comp"])[0], pdf["out"].to_numpy()
         key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
-        sk = np.stack([np.frombuffer(x, "<u4") for x in pdf["mins"]])
+        sk, bits = np.stack([np.frombuffer(x, "<u4") for x in pdf["mins"]]), pdf["bits"].to_numpy()
         pairs, dense = {}, []
         for s in _buckets(pdf):
-            found = plausible_pairs(fp[s], comp[s], n[s], sk[s], out[s], least, pct)
+            found = plausible_pairs(fp[s], comp[s], n[s], sk[s], Parities(bits[s]), out[s], least, pct)
             if found is None:
                 dense.append((key[s][0], i[s][0], j[s][0]))
             else:
@@ -397,15 +443,14 @@ def _near_duplicates(docs: DataFrame, width: int, pct: int, id_col: str, text_co
     _, least = plan(pct)
     sig = stage(signatures(docs, width, pct, id_col, text_col), "signatures")
     classes = stage(
-        sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("mins").alias("mins")),
+        sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("mins").alias("mins")),
         "classes",
     )
-    values = classes.select("fp", F.explode("bands").alias("h"))
-    common = stage(values.groupBy("h").count().where("count > 1").select("h"), "common")
-    live = values.join(common, "h", "left_semi").groupBy("fp").agg(F.sort_array(F.collect_set("h")).alias("hs")).where(F.size("hs") > 1)
+    values = classes.select("fp", "n", F.explode("bands").alias("h"))
+    common = join_side(stage(values.groupBy("h").count().where("count > 1").select("h"), "common"), SIDE_ROWS)
+    live = values.join(common, "h", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("h")).alias("hs")).where(F.size("hs") > 1)
     pairs_of = F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", i + 2, F.size("hs")), lambda y: F.xxhash64(x, y))))
-    keyed = live.select("fp", F.explode(pairs_of).alias("key"))
-    tables = stage(keyed.join(classes.select("fp", "n"), "fp"), "tables")
+    tables = stage(live.select("fp", "n", F.explode(pairs_of).alias("key")), "tables")
     # the pivot differs from table to table, so a large group is compared with many of its members
     pivots = stage(
         tables.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key").alias("o"), "fp", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.fp").alias("pivot"), F.col("p.n").alias("pn"), "c"),
@@ -413,41 +458,46 @@ def _near_duplicates(docs: DataFrame, width: int, pct: int, id_col: str, text_co
     )
     sized = F.lit(100) * F.least("n", "pn") >= F.lit(pct) * F.greatest("n", "pn")
     star = tables.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & sized).select(F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")).distinct()
-    mins = classes.select("fp", "mins")
+    marks = classes.select("fp", "n", "mins", "bits")
 
     def alike(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
                 x = np.stack([np.frombuffer(v, "<u4") for v in pdf["ma"]])
                 y = np.stack([np.frombuffer(v, "<u4") for v in pdf["mb"]])
-                yield pdf.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
+                pdf = pdf[(x == y).sum(axis=1) >= least]
+                differ = np.array([Parities(p).differ(0, np.array([1]))[0] for p in zip(pdf["xa"], pdf["xb"], strict=True)], np.int64)
+                yield pdf.loc[near_enough(differ, pdf["na"].to_numpy() + pdf["nb"].to_numpy(), pct), ["a", "b"]]
 
-    sketched = star.join(mins.select(F.col("fp").alias("b"), F.col("mins").alias("mb")), "b").join(mins.select(F.col("fp").alias("a"), F.col("mins").alias("ma")), "a")
-    star = stage(sketched.select("a", "b", "ma", "mb").mapInPandas(alike, "a binary, b binary"), "pairs")
+    side = lambda x: marks.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("mins").alias(f"m{x}"), F.col("bits").alias(f"x{x}"))
+    sketched = star.join(side("b"), "b").join(side("a"), "a")
+    star = stage(sketched.select("a", "b", "na", "nb", "ma", "mb", "xa", "xb").mapInPandas(alike, "a binary, b binary"), "pairs")
 
     def sets_for(wanted: DataFrame) -> DataFrame:
         rows = stage(classes.select("fp", "row").join(wanted, "fp", "left_semi").select("row"), "wanted")
         return stage(full_sets(docs, join_side(rows, SIDE_ROWS), width, id_col, text_col), "sets")
 
-    ends = lambda pairs: pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     star_sets = sets_for(ends(star))
     links = stage(confirm(star, star_sets, pct), "links")
     # buckets that still hold several components, those of the same documents once
-    labelled = tables.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
+    roots = join_side(components(links), SIDE_ROWS // 2)
+    labelled = tables.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
     buckets = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("who"))
     open_keys = buckets.where("lo != hi and c > 2").groupBy("who", "c").agg(F.min("key").alias("key"))
     open_keys = join_side(stage(open_keys.select("key"), "open-keys"), SIDE_ROWS)
     opened = stage(labelled.join(open_keys, "key", "left_semi").select("key", "fp", "n", "comp"), "open")
     grid = stage(_cells(opened), "cells")
+    marks = stage(among(marks.drop("n"), opened.select("fp").distinct(), "members"), "marks")
     bucket = ["key", "i", "j"]
     in_order = lambda df: df.repartition(*bucket).sortWithinPartitions(*bucket)
-    chosen = stage(in_order(grid.join(mins, "fp")).mapInPandas(_sketch_search(least, pct), "a binary, b binary, key long, i int, j int"), "plausible")
+    chosen = stage(in_order(grid.join(marks, "fp")).mapInPandas(_sketch_search(least, pct), "a binary, b binary, key long, i int, j int"), "plausible")
     pairs = stage(chosen.where("a is not null").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     dense = stage(grid.join(chosen.where("key is not null").select(*bucket), bucket, "left_semi"), "dense")
     more = sets_for(ends(pairs).union(dense.select("fp")).distinct().join(star_sets.select("fp"), "fp", "left_anti"))
     sets = star_sets.unionByName(more)
-    inside = in_order(dense.join(mins, "fp").join(sets, "fp")).mapInPandas(_dense_search(least, pct), "a binary, b binary")
-    links = links.unionByName(stage(confirm(pairs, sets, pct).unionByName(inside), "links"))
+    searched = among(sets, dense.select("fp").distinct(), "searched").join(marks.select("fp", "mins"), "fp")
+    inside = in_order(dense.join(searched, "fp")).mapInPandas(_dense_search(least, pct), "a binary, b binary")
+    links = links.unionByName(stage(confirm(pairs, among(sets, ends(pairs), "ends"), pct).unionByName(inside), "links"))
     roots = components(links)
     rooted = classes.select("fp", "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stage(rooted, "rooted")

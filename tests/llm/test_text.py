@@ -116,6 +116,43 @@ def test_cells_grow_with_outsiders_only(spark):
     assert cells.where("not out").count() == 5000 and cells.where("out").count() == 10 * -(-5000 // neardup.BLOCK)
 
 
+def test_parities_lose_no_link():
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), n, replace=False) for n in (1, 2, 31, 33, 60, 70, 700, 1000, 1100, 3900, 4000)]
+    sets += [s[: len(s) - len(s) // 9] for s in sets]
+    held = neardup.Parities(map(neardup.parities, sets))
+    every = np.arange(len(sets))
+    for k, a in enumerate(sets):
+        differ = held.differ(k, every)
+        apart = np.array([len(np.setxor1d(a, b)) for b in sets])
+        assert (differ <= apart).all() and differ[k] == 0
+        sizes = np.array([len(a) + len(b) for b in sets])
+        both = (sizes - apart) // 2
+        for pct in (80, 85):
+            near = neardup.near_enough(differ, sizes, pct)
+            assert near[100 * both >= pct * (sizes - both)].all()
+            assert not near[(2 * both < sizes - both) & (np.abs(sizes - 2 * len(a)) < len(a) / 5) & (len(a) >= 60)].any()
+
+
+def test_full_sets_only_where_parities_allow_a_link(spark, monkeypatch):
+    # documents of one form, alike to sketches but no links
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in range(150)]
+    docs = [(i, " ".join(f"n{rng.integers(0, 10**6)}" if p % 25 == rng_at else w for p, w in enumerate(base))) for i, rng_at in enumerate(rng.integers(0, 25, 60))]
+    docs += [(100, docs[0][1] + " end")]
+    staged, stage = {}, neardup.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        staged[label] = staged.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r["component_id"] for r in neardup.near_duplicates(df, 3, 85).orderBy("doc_id").collect()] == [*range(60), 0]
+    assert staged["open"] > 60 and staged["sets"] == 2 and staged["dense"] == 0
+
+
 def test_near_duplicates_odd(spark):
     df = odd(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
