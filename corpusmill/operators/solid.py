@@ -184,8 +184,9 @@ def unpack(blobs: DataFrame, stored: DataFrame, dictionary: bytes | None = None)
                     pieces = [data[x["block_offset"] : x["block_offset"] + x["ulen"]] for x in some]
                     yield pa.RecordBatch.from_arrays([pa.array([x["blob_id"] for x in some], pa.int64()), pa.array(pieces, pa.binary())], ["blob_id", "bytes"])
 
-    solid = parts.join(stored.where("block_id is not null").select("block_id", "payload"), "block_id", "left").select("payload", "parts").mapInArrow(cut, "blob_id long, bytes binary").unionByName(empty)
-    alone = blobs.where(F.col("compressed") != SOLID).select("blob_id", "compressed").join(stored.where("blob_id is not null").select("blob_id", "payload"), "blob_id", "left")
+    # payloads are never broadcast: what Python makes is of a size that Spark does not know
+    solid = parts.join(stored.where("block_id is not null").select("block_id", "payload").hint("merge"), "block_id", "left").select("payload", "parts").mapInArrow(cut, "blob_id long, bytes binary").unionByName(empty)
+    alone = blobs.where(F.col("compressed") != SOLID).select("blob_id", "compressed").join(stored.where("blob_id is not null").select("blob_id", "payload").hint("merge"), "blob_id", "left")
     raw = alone.where(F.col("compressed") == NONE).select("blob_id", F.col("payload").alias("bytes"))
     plain = alone.where(F.col("compressed") == ZSTD).select("blob_id", decompressed(F.col("payload")).alias("bytes"))
     with_dict = alone.where(F.col("compressed") == ZSTD_DICT).select("blob_id", decompressed(F.col("payload"), dictionary).alias("bytes"))

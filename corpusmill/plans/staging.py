@@ -63,6 +63,12 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def local_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder of the shared mount, as a path of the operating system."""
+    path = new_dir(spark, label)
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet and return it reread: what follows does not depend on executors."""
     spark = df.sparkSession

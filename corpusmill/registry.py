@@ -17,7 +17,7 @@ from corpusmill.operators import canonical, catalog, dedup, fixed, license, line
 from corpusmill.operators.ordering import numbered
 from corpusmill.plans import archive, planner
 from corpusmill.plans import rules as R
-from corpusmill.plans.staging import new_dir, ship_package, stage
+from corpusmill.plans.staging import local_dir, new_dir, ship_package, stage
 from corpusmill.sources import packed as packed_source
 from corpusmill.sources import store as store_source
 from corpusmill.sources import tree as tree_source
@@ -574,12 +574,6 @@ def entry_hashes(spark, sf):
 # --- sources and sinks
 
 
-def local_dir(spark, label) -> str:
-    """A fresh folder of the shared mount, as a path of the operating system."""
-    path = new_dir(spark, label)
-    return "/" + path.removeprefix("file:").lstrip("/")
-
-
 @query(f"""WITH {FILES}, {TREE} SELECT rel_path, kind, size, CASE WHEN kind = 'dir' THEN 493 WHEN file_id % 2 = 0 THEN 384 ELSE 420 END AS mode, CASE WHEN kind = 'dir' THEN 1000000000000000000 ELSE 1000000000000000000 + file_id * 1001 END AS mtime_ns,
     CASE WHEN size > 0 THEN (SELECT sha FROM files f WHERE f.file_id = every.file_id) ELSE repeat('0', 64) END AS sha FROM every""")
 def tree_roundtrip(spark, sf):

@@ -1,11 +1,14 @@
 """Import of packed archives, whole and damaged."""
 
+import os
 import sqlite3
 import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
+from corpusmill.operators import solid
 from corpusmill.plans import archive
 from corpusmill.sources import packed
 
@@ -55,3 +58,57 @@ def test_damaged(spark, whole, tmp_path):
         path.write_bytes(data)
         with pytest.raises(ValueError):
             packed.read_packed(spark, str(path), MAGIC)
+
+
+def files_of(spark):
+    rows = [(i, f"d{i % 3}/{i}.bin", bytes([i % 251]) * (i % 40)) for i in range(300)]
+    return spark.createDataFrame(rows, "file_id long, rel_path string, content binary").withColumn("size", F.octet_length("content").cast("long"))
+
+
+@pytest.mark.parametrize("block_bytes", [1000, 0])
+def test_nothing_large_passes_the_driver(spark, tmp_path, monkeypatch, block_bytes):
+    """Executors write chunks and rows of the catalog; the driver iterates over neither, and all comes back."""
+    built, path = archive.build(files_of(spark), block_bytes=block_bytes), str(tmp_path / "a.pack")
+    kind = type(built.blocks)
+
+    def none(*_, **__):
+        raise AssertionError("rows on the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(kind, "toLocalIterator", none)
+        m.setattr(kind, "toPandas", none)
+        m.setattr(packed, "RANGE_ROWS", 7)
+        packed.write_packed(built, path, MAGIC)
+        m.setattr(type(spark), "createDataFrame", none)
+        c = packed.read_packed(spark, path, MAGIC, check=True)
+    assert sorted(os.listdir(tmp_path)) == ["a.pack"]
+    back = {r["rel_path"]: bytes(r["content"]) for r in archive.restore(c).where("kind = 'file'").selectExpr("rel_path", "cast(content as binary) content").collect()}
+    assert back == {r["rel_path"]: bytes(r["content"]) for r in files_of(spark).collect()}
+    # chunks lie side by side, in the order of their ids
+    data, at, kinds = open(path, "rb").read(), 8, []
+    while at < len(data) - 24:
+        kind, n = struct.unpack(">BI", data[at : at + 5])
+        kinds.append(kind)
+        at += 5 + n
+    assert at == len(data) - 24 and kinds == [3 if block_bytes else 1] * (len(kinds) - 1) + [2] and len(kinds) == built.blocks.count() + 1
+    assert packed.layout(spark, path)["blob_region"] == len(data) - 24 - 8 - packed.layout(spark, path)["catalog"]
+
+
+def test_payloads_are_not_broadcast(spark, whole, tmp_path):
+    path = tmp_path / "x.bin"
+    path.write_bytes(whole)
+    c = packed.read_packed(spark, str(path), MAGIC)
+    plan = solid.unpack(c.blobs, c.blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "payload" in plan and not [x for x in plan.split("BroadcastExchange")[1:] if "payload" in x.split("\n")[1]]
+
+
+def test_tables_without_row_ids(spark, whole, tmp_path):
+    """A split archive whose table of links has no row ids."""
+    size = struct.unpack(">Q", whole[-24:-16])[0]
+    db = sqlite3.connect(":memory:")
+    db.deserialize(zstandard.decompress(whole[size + 5 : -24]))
+    db.executescript("CREATE TABLE l (entry_id INTEGER, seq INTEGER, blob_id INTEGER, PRIMARY KEY (entry_id, seq)) WITHOUT ROWID; INSERT INTO l SELECT * FROM entry_blobs; DROP TABLE entry_blobs; ALTER TABLE l RENAME TO entry_blobs; UPDATE blobs SET offset = offset + 5; VACUUM;")
+    (tmp_path / "s.db").write_bytes(db.serialize())
+    (tmp_path / "s.db.blobs").write_bytes(whole)
+    got = {r["rel_path"]: bytes(r["content"]) for r in archive.restore(packed.read_packed(spark, str(tmp_path / "s.db"))).where("kind = 'file'").selectExpr("rel_path", "cast(content as binary) content").collect()}
+    assert got == {"d/a.txt": b"first\n", "d/b.go": b'\t"bytes"\n', "c.bin": b"plain bytes \xff"}
