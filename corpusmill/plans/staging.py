@@ -96,6 +96,12 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> It
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def dealt_out(df: DataFrame, by: str, rows: int = 20_000) -> DataFrame:
+    """Narrow rows on which there is much work, with about ``rows`` of them a task, whatever the splits of their files."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks, by) if tasks > 1 else df
+
+
 def join_side(table: DataFrame, most: int) -> DataFrame:
     """A staged table of narrow rows as a side of a join: broadcast if it is counted to have at most ``most`` rows,
     else left to a shuffle."""

@@ -1,5 +1,6 @@
 """Boundaries of single operators on small made-up inputs."""
 
+import functools
 import os
 import random
 
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill import functions as fn
+from corpusmill import registry
 from corpusmill.operators import canonical, catalog, dedup, fixed, license, linediff, lines, solid
 from corpusmill.operators.ordering import numbered
 from corpusmill.plans import archive, planner, staging
@@ -81,6 +83,20 @@ def test_license(spark):
     assert [r["params"] is not None for r in got] == [True, True, False, False, True, False, False, False, False]
 
 
+def test_diffs_of_one_template(spark, tmp_path, monkeypatch):
+    """Texts that differ from a template alike share a search, and rows of one small file make several tasks."""
+    seen = []
+    monkeypatch.setattr(linediff, "_kept", functools.lru_cache(9)(lambda a, b: seen.append(a) or linediff._runs(a, b)))
+    for i in range(50):
+        assert linediff.diff(["x", "name", "y", "x"], ["x", f"Ann {i}", "y", "x"]) == [("=", ["x"]), ("-", ["name"]), ("+", [f"Ann {i}"]), ("=", ["y", "x"])]
+    assert len(seen) == 1
+    spark.range(0, 45_000, 1, 1).selectExpr("id c_custkey", "concat('Customer#', id) c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    done = registry.QUERIES["line_diff_replay"](spark, str(tmp_path))
+    assert done.rdd.getNumPartitions() == 3
+    want = registry.licensed(spark, str(tmp_path)).select("file_id", dedup.sha(license.normalised(F.col("content"))).alias("sha"))
+    assert done.count() == 45_000 and done.exceptAll(want).isEmpty()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_diff_is_shortest_and_replays(a, b):
