@@ -11,7 +11,7 @@ from corpusmill import functions as fn
 from corpusmill.operators import catalog, solid
 from corpusmill.plans import planner
 from corpusmill.plans import rules as R
-from corpusmill.plans.staging import stage
+from corpusmill.plans.staging import small_batches, stage
 
 
 def build(
@@ -68,7 +68,8 @@ def build(
             trained, after = solid.train_dictionary(small, sample), sample.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
         if trained:
             meta.append(("dict", base64.b64encode(trained).decode()))
-        singles = stage(solid.single(payload, compressor, level, trained, after), "blocks")
+        with small_batches(spark, 256):
+            singles = stage(solid.single(payload, compressor, level, trained, after), "blocks")
         blocks = singles.drop("compressed")
         full = blobs.join(singles.select("blob_id", "block_id", "clen", "compressed"), "blob_id").withColumn("block_offset", F.lit(None).cast("long"))
     named = catalog.names(every)

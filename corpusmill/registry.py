@@ -17,7 +17,7 @@ from corpusmill.operators import canonical, catalog, dedup, fixed, license, line
 from corpusmill.operators.ordering import numbered
 from corpusmill.plans import archive, planner
 from corpusmill.plans import rules as R
-from corpusmill.plans.staging import dealt_out, local_dir, new_dir, ship_package, stage
+from corpusmill.plans.staging import dealt_out, local_dir, new_dir, ship_package, small_batches, stage
 from corpusmill.sources import packed as packed_source
 from corpusmill.sources import store as store_source
 from corpusmill.sources import tree as tree_source
@@ -26,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BLOCK = 64 << 10
+#: Whole contents that Python is handed at once, within the bytes of a batch.
+WHOLE_ROWS = 256
 #: Templates whose texts customers hold in the licence queries.
 HELD_NAMES = ("MIT", "ISC")
 
@@ -512,7 +514,8 @@ def mixed_overview(spark, sf):
 @query(f"WITH {FILES} SELECT file_id, sha FROM files")
 def compress_roundtrip(spark, sf):
     c = corpus(spark, sf).withColumn("frame", solid.compressed(F.encode("content", "utf-8")))
-    return c.select("file_id", F.sha2(solid.decompressed(F.col("frame")), 256).alias("sha"))
+    with small_batches(spark, WHOLE_ROWS):
+        return stage(c.select("file_id", F.sha2(solid.decompressed(F.col("frame")), 256).alias("sha")), "shas")
 
 
 @query(f"WITH {FILES} SELECT file_id, sha FROM files")
@@ -521,7 +524,8 @@ def compress_dict_roundtrip(spark, sf):
     files = corpus(spark, sf)
     trained = solid.train_dictionary(files)
     c = files.withColumn("frame", solid.compressed(F.encode("content", "utf-8"), dictionary=trained))
-    return c.select("file_id", F.sha2(solid.decompressed(F.col("frame"), trained), 256).alias("sha"))
+    with small_batches(spark, WHOLE_ROWS):
+        return stage(c.select("file_id", F.sha2(solid.decompressed(F.col("frame"), trained), 256).alias("sha")), "shas")
 
 
 @query(f"WITH {UNIQUE} SELECT blob_id, CAST(ulen AS BIGINT) AS ulen, CAST(ulen AS BIGINT) AS clen, 0 AS compressed FROM ids")
@@ -537,7 +541,9 @@ def blob_bytes(spark, sf) -> DataFrame:
 @query(f"WITH {FILES} SELECT file_id, size, true AS bounded FROM files")
 def compress_sizes(spark, sf):
     """A frame is never longer than its content by more than the format's own bound."""
-    c = corpus(spark, sf).withColumn("clen", F.octet_length(solid.compressed(F.encode("content", "utf-8"))))
+    c = corpus(spark, sf).select("file_id", "size", F.octet_length(solid.compressed(F.encode("content", "utf-8"))).alias("clen"))
+    with small_batches(spark, WHOLE_ROWS):
+        c = stage(c, "lengths")
     return c.select("file_id", "size", (F.col("clen") <= F.col("size") + F.floor(F.col("size") / 256) + 64).alias("bounded"))
 
 

@@ -4,6 +4,7 @@ import functools
 import os
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,27 @@ def test_license(spark):
     assert [r["params"] is not None for r in got] == [True, True, False, False, True, False, False, False, False]
 
 
+@pytest.mark.parametrize("name", ["compress_sizes", "compress_roundtrip", "compress_dict_roundtrip"])
+def test_contents_reach_python_in_small_batches(spark, tmp_path, monkeypatch, name):
+    """However many rows a task has, and whatever the session says; its settings are as before."""
+    spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "concat('text ', id) text", "'s' source", "'en' lang").write.parquet(str(tmp_path / "documents.parquet"))
+    real = solid.compressed
+
+    def compressed(content, level=3, dictionary=None):
+        @F.pandas_udf("binary")
+        def few(s: pd.Series) -> pd.Series:
+            assert len(s) <= 256
+            return s
+
+        return real(few(content), level, dictionary)
+
+    monkeypatch.setattr(solid, "compressed", compressed)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert registry.QUERIES[name](spark, str(tmp_path)).count() == 3000
+    assert registry.QUERIES[name](spark, str(tmp_path)).distinct().count() == 3000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_diffs_of_one_template(spark, tmp_path, monkeypatch):
     """Texts that differ from a template alike share a search, and rows of one small file make several tasks."""
     seen = []
