@@ -138,15 +138,31 @@ def blocks(contents: DataFrame, packed: DataFrame | None = None, level: int = 3)
     given.  A block is at most ``most`` bytes, or one blob."""
     ship_package(contents.sparkSession)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block_offset", "blob_id"], kind="stable")
-        data = b"".join(pdf["bytes"])
-        frame = zstandard.ZstdCompressor(level=level).compress(data)
-        return pd.DataFrame({"block_id": [pdf["block_id"].iloc[0]], "blob_id": pd.array([None], "Int64"), "payload": [frame], "ulen": [len(data)], "clen": [len(frame)]})
+    into = pa.schema([("block_id", pa.int64()), ("blob_id", pa.int64()), ("payload", pa.binary()), ("ulen", pa.int64()), ("clen", pa.int64())])
+
+    def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks follow each other, so a task streams through its many small ones."""
+        c = zstandard.ZstdCompressor(level=level)
+
+        def whole(block: int, pieces: list[bytes]) -> pa.RecordBatch:
+            data = b"".join(pieces)
+            frame = c.compress(data)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, None, frame, len(data), len(frame)), into.types, strict=True)], schema=into)
+
+        now, pieces = None, []
+        for batch in it:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if pieces and block != now:
+                    yield whole(now, pieces)
+                    pieces = []
+                now = block
+                pieces.append(data)
+        if pieces:
+            yield whole(now, pieces)
 
     joined = contents if packed is None else contents.join(packed, "blob_id")
-    joined = joined.select("block_id", "block_offset", "blob_id", "bytes")
-    return joined.groupBy("block_id").applyInPandas(build, STORED)
+    dealt = joined.select("block_id", "block_offset", "blob_id", "bytes").repartition("block_id").sortWithinPartitions("block_id", "block_offset", "blob_id")
+    return dealt.select("block_id", "bytes").mapInArrow(build, STORED)
 
 
 def single(contents: DataFrame, compressor: str = "zstd", level: int = 3, dictionary: bytes | None = None, dict_after: int = 0) -> DataFrame:

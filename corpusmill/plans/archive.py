@@ -54,7 +54,8 @@ def build(
     meta = [("version", "1"), ("transforms", ",".join(r.id for r in rules))]
     if block_bytes:
         packed = stage(solid.pack(blobs, block_bytes), "packed")
-        blocks = stage(solid.blocks(contents_of(holders.join(packed, "blob_id")), level=level), "blocks")
+        with small_batches(spark):
+            blocks = stage(solid.blocks(contents_of(holders.join(packed, "blob_id")), level=level), "blocks")
         # a block's length is on every row of it; a trailing run of empty blobs may have no block
         full = blobs.join(packed.select("blob_id", "block_id", "block_offset"), "blob_id").join(blocks.select("block_id", "clen"), "block_id", "left").withColumn("compressed", F.lit(solid.SOLID))
     else:

@@ -551,7 +551,8 @@ def compress_sizes(spark, sf):
 def solid_compress_sizes(spark, sf):
     """A block of texts is smaller than its contents."""
     blobs = stage(unique_contents(spark, sf), "blobs")
-    done = solid.blocks(blob_bytes(spark, sf), solid.pack(blobs, BLOCK))
+    with small_batches(spark):
+        done = stage(solid.blocks(blob_bytes(spark, sf), solid.pack(blobs, BLOCK)).drop("payload"), "lengths")
     return done.where("ulen > 0").select("block_id", "ulen", (F.col("clen") < F.col("ulen")).alias("smaller"))
 
 

@@ -6,6 +6,7 @@ import random
 
 import pandas as pd
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -105,6 +106,20 @@ def test_contents_reach_python_in_small_batches(spark, tmp_path, monkeypatch, na
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_blocks_stream(spark):
+    """Blocks are built in one stream a task, not a call a block, across batches of any size."""
+    rows = [(i // 7, 10 * (i % 7), i, b"%d," % i) for i in range(700)]
+    random.Random(4).shuffle(rows)
+    contents = spark.createDataFrame(rows, "block_id long, block_offset long, blob_id long, bytes binary")
+    built = solid.blocks(contents)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    with staging.small_batches(spark, 3):
+        got = built.collect()
+    assert {r["block_id"]: zstandard.decompress(bytes(r["payload"])) for r in got} == {b: b"".join(b"%d," % i for i in range(7 * b, 7 * b + 7)) for b in range(100)}
+    assert len(got) == 100 and all(r["clen"] == len(r["payload"]) and r["blob_id"] is None for r in got)
+
+
 def test_diffs_of_one_template(spark, tmp_path, monkeypatch):
     """Texts that differ from a template alike share a search, and rows of one small file make several tasks."""
     seen = []
