@@ -63,6 +63,19 @@ def _inside(path: str, rel: str) -> Iterator[tuple]:
             yield row
 
 
+def _walk(it: Iterator[pd.DataFrame], most: int = 5000) -> Iterator[pd.DataFrame]:
+    """The nodes of directories, ``most`` at a time: many directories hold few."""
+    columns, rows = [c.split()[0] for c in ENTRY.split(", ")], []
+    for pdf in it:
+        for path, rel in pdf[["path", "rel_path"]].itertuples(index=False):
+            for row in _inside(path, rel):
+                rows.append(row)
+                if len(rows) == most:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+    yield pd.DataFrame(rows, columns=columns)
+
+
 def scan(spark: SparkSession, roots: list[str], tasks: int = 64) -> DataFrame:
     """Files, directories and symlinks below the roots, without content; other nodes are left out.
 
@@ -72,24 +85,11 @@ def scan(spark: SparkSession, roots: list[str], tasks: int = 64) -> DataFrame:
     """
     ship_package(spark)
     full = resolve_roots(roots)
-    columns = [c.split()[0] for c in ENTRY.split(", ")]
-
-    def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for path, rel in pdf[["path", "rel_path"]].itertuples(index=False):
-                rows = []
-                for row in _inside(path, rel):
-                    rows.append(row)
-                    if len(rows) == 5000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-                yield pd.DataFrame(rows, columns=columns)
-
     tops = [row for r in full if (row := _row(r, "." if len(full) == 1 else os.path.basename(r))) is not None]
     level = spark.createDataFrame(tops, ENTRY)
     found = level
     while not (dirs := level.where("kind = 'dir'")).isEmpty():
-        level = stage(dirs.repartition(tasks, "path").mapInPandas(walk, ENTRY), "scan")
+        level = stage(dirs.repartition(tasks, "path").mapInPandas(_walk, ENTRY), "scan")
         found = found.unionByName(level)
     return found
 

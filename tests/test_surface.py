@@ -5,6 +5,7 @@ import os
 import random
 import stat
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,17 @@ def test_packed_damage_is_found(spark, small, tmp_path):
         packed.write_packed(small, path, b"short")
 
 
+def test_directories_are_listed_together(tmp_path):
+    """A scan makes a table for thousands of nodes, not one for each directory."""
+    for i in range(300):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "x").write_bytes(b"1")
+    dirs = pd.DataFrame({"path": [str(tmp_path / f"d{i}") for i in range(300)], "rel_path": [f"d{i}" for i in range(300)]})
+    assert [len(x) for x in tree._walk(iter([dirs[:150], dirs[150:]]))] == [300]
+    some = list(tree._walk(iter([dirs]), 7))
+    assert max(map(len, some)) == 7 and sorted(pd.concat(some)["rel_path"]) == sorted(f"d{i}/x" for i in range(300))
+
+
 def test_random_bytes_are_no_archive(spark, tmp_path):
     rng = random.Random(5)
     for i in range(8):
